@@ -111,8 +111,7 @@ def ownership(scanned: DataFrame) -> DataFrame:
     that a third of all rows copy never meets in one task.
     """
     flat = scanned.select("doc_id", "owner", F.explode(F.array_distinct("hashes")).alias("hash"))
-    per_repo = flat.groupBy("hash", "owner", "doc_id").agg(F.lit(1).alias("one"))
-    per_owner = per_repo.groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
+    per_owner = flat.distinct().groupBy("hash", "owner").agg(F.count(F.lit(1)).alias("repos"))
     return per_owner.groupBy("hash").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
 
 
@@ -123,7 +122,6 @@ def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     single owner.  Bare candidates that are not owned are left out.
     """
     scanned = stored(scan(df, id_col, text_col, owner_col), "secrets")
-    # A row is named by a hash of its place-independent content, so that repeated ids keep their own spans.
     owned = ownership(scanned).where(F.col("owners") < COPIED_OWNERS).select("hash", F.lit(True).alias("single"))
     live = (
         scanned.select("doc_id", F.explode(F.arrays_zip("hashes", "live_looking")).alias("x"))

@@ -95,3 +95,36 @@ def flat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         flat += words
     coded = pa.array(flat, type=pa.binary()).dictionary_encode()
     return coded.indices.to_numpy(zero_copy_only=False), counts, coded.dictionary
+
+
+#: Positions of a candidate filter: 2**22 bits in 128 rows of 4 KB, 512 KB whatever the input.
+FILTER_BITS = 22
+
+
+def candidate_filter(keys: DataFrame, hash_col: str) -> DataFrame:
+    """A bitmap of the hashes' low bits, at most 128 rows of 4 KB, which is what makes it safe to broadcast.
+
+    It lets through every hash of ``keys`` and few others; with many keys it lets through more, never less.
+    """
+    slot = F.pmod(F.col(hash_col), F.lit(1 << FILTER_BITS)) + 1
+    return keys.groupBy(F.bitmap_bucket_number(slot).alias("filter_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("filter_bits")
+    )
+
+
+def may_contain(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose hash the filter lets through, without a shuffle."""
+    slot = F.pmod(F.col(hash_col), F.lit(1 << FILTER_BITS))
+    probed = df.withColumn("filter_slot", slot).join(
+        F.broadcast(bitmap), F.shiftright("filter_slot", 15) + 1 == F.col("filter_bucket")
+    )
+    at = F.col("filter_slot").bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(at, 3) + F.lit(1), F.lit(1))), 16, 10).cast("int")
+    bit = F.expr("1").cast("int")
+    hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(bit) == 1
+    return probed.where(hit).drop("filter_slot", "filter_bucket", "filter_bits")
+
+
+def bucket_count(rows: int, per_bucket: int, least: int = 64, most: int = 1 << 20) -> int:
+    """Buckets so that each holds about ``per_bucket`` of ``rows``."""
+    return max(least, min(most, rows // per_bucket))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets
+from . import bpe, exactdedup, linededup, mixing, quality, secrets, sharding
 from .common import table
 
 
@@ -17,6 +17,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.equal_groups(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
+    )
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), marks=True)
+    return cleaned.select(
+        "doc_id", "n_removed", "removed_words", F.length("text").cast("long").alias("clean_chars"),
+        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("clean_sha256"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -46,7 +68,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_bpe": op4_bpe, "op5_secrets": op5_secrets, "op10_quality": op10_quality}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_bpe, op5_secrets, op7_exact_dedup, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

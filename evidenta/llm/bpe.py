@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, text_bytes
+from .common import arrow_map, steps, text_bytes
 
 #: Entries that a worker's cache holds before it starts anew; bounds its memory.
 CACHE_ENTRIES = 400_000
@@ -144,7 +144,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = [codec(path).encode(t) for t in text_bytes(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return picked.mapInArrow(run, "doc_id long, ids array<int>")
+    return arrow_map(picked, run, "doc_id long, ids array<int>")
 
 
 def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -156,7 +156,7 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             decoded = [codec(path).decode(x or []) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoded, pa.string())], names=["doc_id", "decoded"])
 
-    return picked.mapInArrow(run, "doc_id long, decoded string")
+    return arrow_map(picked, run, "doc_id long, decoded string")
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,4 +174,4 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return picked.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(picked, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

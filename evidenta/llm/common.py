@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidenta.runtime import ship
+
 #: The characters that separate words in every contract: space and U+0009..U+000D.
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]"
@@ -128,3 +130,9 @@ def may_contain(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
 def bucket_count(rows: int, per_bucket: int, least: int = 64, most: int = 1 << 20) -> int:
     """Buckets so that each holds about ``per_bucket`` of ``rows``."""
     return max(least, min(most, rows // per_bucket))
+
+
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors' Python path."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_words, mix64, steps, stored, text_bytes
+from .common import arrow_map, flat_words, mix64, steps, stored, text_bytes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -93,7 +93,7 @@ def measure_raw(df: DataFrame, text_col: str, carry: tuple[str, ...]) -> DataFra
                 names=[f"c{i}" for i in range(len(carry))] + list(MEASURES),
             )
 
-    return picked.mapInArrow(run, schema)
+    return arrow_map(picked, run, schema)
 
 
 def measure(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:

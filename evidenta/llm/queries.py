@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, linededup, mixing, quality, secrets, sharding
+from . import bpe, exactdedup, linededup, minhash, mixing, quality, secrets, sharding
 from .common import table
 
 
@@ -25,6 +25,14 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, over=85, under=100))
+    return found.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
+        (F.col("id") == F.col("component")).alias("kept"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.equal_groups(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256")
@@ -68,7 +76,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_bpe, op5_secrets, op7_exact_dedup, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_bpe, op5_secrets, op6_minhash, op7_exact_dedup, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

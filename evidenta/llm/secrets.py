@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import steps, stored
+from .common import arrow_map, steps, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -101,7 +101,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
                 names=["doc_id", "owner", "kinds", "starts", "ends", "hashes", "live_looking"],
             )
 
-    return picked.mapInArrow(run, SPAN_SCHEMA)
+    return arrow_map(picked, run, SPAN_SCHEMA)
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

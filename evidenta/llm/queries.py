@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, linededup, minhash, mixing, quality, secrets, sharding
+from . import bpe, exactdedup, linededup, minhash, mixing, quality, secrets, sharding, wavelet
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cleaned = linededup.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), marks=True)
     return cleaned.select(
@@ -76,7 +80,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_bpe, op5_secrets, op6_minhash, op7_exact_dedup, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_bpe, op5_secrets, op6_minhash, op7_exact_dedup, op8_wavelet, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exactdedup, linededup, minhash, mixing, quality, secrets, sharding, wavelet
+from . import bpe, exactdedup, langid, linededup, minhash, mixing, quality, secrets, sharding, wavelet
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -80,7 +84,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_mixing, op4_bpe, op5_secrets, op6_minhash, op7_exact_dedup, op8_wavelet, op9_line_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_sharding, op2_mixing, op3_langid, op4_bpe, op5_secrets, op6_minhash, op7_exact_dedup, op8_wavelet, op9_line_dedup, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,7 +19,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]"
 
 #: Bytes of text that one vectorised step of a Python worker takes at a time; bounds its memory.
-STEP_BYTES = 6_000_000
+STEP_BYTES = 4_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ from .bpe import _Memo
 from .common import arrow_map, steps, stored
 
 SHARD_TOKENS = 1 << 20
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_000_000
 #: Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
 MAGIC = b"WVM1"
@@ -181,7 +181,9 @@ class ByteLevelEncoder:
     """The library's byte-level encoding, from memoised pieces.
 
     A text is cut before each run of white space that follows another character.  The pre-tokeniser always has a
-    boundary there: what comes before never reaches into white space, and a token only starts with it.
+    boundary there: what comes before never reaches into white space, and a token only starts with it.  In plain
+    texts (single spaces and line feeds between words) the pieces are the words themselves, each with its one space
+    or line feed in front.  New words go to the library together: a token that starts with a space starts a word.
     """
 
     def __init__(self, path: str):
@@ -190,23 +192,55 @@ class ByteLevelEncoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
+        size = self.library.get_vocab_size(with_added_tokens=True)
+        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.split = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.plain = re.compile(" ?[A-Za-z]+").fullmatch
-        self.pieces = _Memo(self._piece)
+        self.pieces = _Memo(self._piece)  # of any form
+        self.words: dict[str, bytes] = {}  # after one space; a word that starts with a line feed stands for itself
 
     def _piece(self, piece: str) -> bytes:
-        if self.plain(piece):  # one pre-token; the byte alphabet writes a space as U+0120
-            ids = [t.id for t in self.model.tokenize(piece.replace(" ", "\u0120"))]
-        else:
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
+        return np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _learn(self, new: list[str]) -> None:
+        for w in new:
+            if not w or w[0] == "\n":
+                self.words[w] = self._piece(w or " ")
+        spaced = [w for w in new if w and w[0] != "\n"]
+        for begin in range(0, len(spaced), 20_000):
+            part = spaced[begin : begin + 20_000]
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
+            if len(cuts) != len(part) + 1:
+                raise AssertionError("a word has other than one token that starts with its space")
+            raw, ends = ids.tobytes(), cuts.tolist()
+            self.words.update(zip(part, [raw[x:y] for x, y in zip(ends, ends[1:])]))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers."""
         if len(self.pieces) > CACHE_ENTRIES:
             self.pieces.clear()
-        return b"".join(map(self.pieces.__getitem__, self.split(text)))
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        cut = [t.replace("\n", " \n").split(" ") if is_plain(t) else None for t in texts]
+        new = set().union(*[c[1:] for c in cut if c is not None]).difference(self.words)
+        if new:
+            self._learn(list(new))
+        piece, word = self.pieces.__getitem__, self.words.__getitem__
+        return [
+            b"".join(map(piece, self.split(t))) if c is None else piece(c[0]) + b"".join(map(word, c[1:])) if t else b""
+            for t, c in zip(texts, cut, strict=True)
+        ]
+
+
+_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
+_ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def is_plain(text: str) -> bool:
+    """Whether white space is single spaces and line feeds between other characters."""
+    if any(x in text for x in _ODD) or text[-1:] in ("", " ", "\n") or text[:1] in (" ", "\n"):
+        return False
+    return text.isascii() or not any(x in text for x in _ODD_WIDE)
 
 
 @functools.lru_cache(maxsize=2)
@@ -240,9 +274,10 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
         names = ["part", "seq", "first_id", "docs", "tokens", "file"]
         for b in steps(batches, 1):
             part = b.column(2)[0].as_py()
-            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            texts = encoder(path).encode_all([t or "" for t in b.column(1).to_pylist()])
+            for i, ids_of_text in zip(b.column(0).to_pylist(), texts, strict=True):
                 ids.append(i)
-                coded.append(encoder(path).encode(text or "") + end)
+                coded.append(ids_of_text + end)
                 held += len(coded[-1]) // 4
                 if held >= SHARD_TOKENS:
                     yield shard()
@@ -266,22 +301,30 @@ def shard_starts(shards: DataFrame) -> DataFrame:
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
-    placed = shards.select("part", "seq", "file").join(shard_starts(shards), ["part", "seq"]).select("base", "file")
+    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
+
+    The files are decoded where they are read; only the documents' narrow rows meet the shards' first positions.
+    """
+    files = shards.select("part", "seq", "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for part, seq, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 matrix, ids, valid, lengths = WaveletMatrix.from_bytes(data)
                 ends = np.cumsum(lengths)
                 raw = memoryview(matrix.decode().astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, mask=~valid), pa.array(base + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-
-    return arrow_map(placed, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+                    [
+                        pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(np.full(len(ids), seq, dtype=np.int64)),
+                        pa.array(ids, mask=~valid), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()),
+                    ],
+                    names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
+                )
+
+    found = arrow_map(files, run, "part int, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    placed = found.join(shard_starts(shards), ["part", "seq"])
+    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def round_trip(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

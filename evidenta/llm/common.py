@@ -73,8 +73,8 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
-def steps(batches: Iterable[pa.RecordBatch], text_index: int) -> Iterator[pa.RecordBatch]:
-    """Slices of record batches that hold about STEP_BYTES of text each (one very long text is a slice alone)."""
+def steps(batches: Iterable[pa.RecordBatch], text_index: int, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of record batches that hold about ``size`` bytes of text each (one very long text is a slice alone)."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -82,7 +82,7 @@ def steps(batches: Iterable[pa.RecordBatch], text_index: int) -> Iterator[pa.Rec
         ends = np.cumsum(sizes.astype(np.int64))
         begin, base = 0, 0
         while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(ends, base + STEP_BYTES, side="right")))
+            end = max(begin + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(begin, end - begin)
             begin, base = end, int(ends[end - 1])
 

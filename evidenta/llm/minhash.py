@@ -36,6 +36,8 @@ from .components import components
 
 BLOCK = 128
 WHOLE_PART = 4096
+#: Bytes of text that are cut into words at a time.
+SKETCH_BYTES = 2_000_000
 #: Shingles that one pass over the permutations takes: small enough for a core's cache.
 PASS_SHINGLES = 1 << 16
 #: Columns of a block's incidence matrix that are multiplied at a time.
@@ -134,7 +136,7 @@ def sketch(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = s.permutations()
-        for part in steps(batches, 1):
+        for part in steps(batches, 1, SKETCH_BYTES):
             shingles, sizes = shingle_sets(text_bytes(part.column(1)), s.words)
             full = np.flatnonzero(sizes)
             some = sizes[full]
@@ -163,7 +165,7 @@ def full_sets(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFra
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, 1):
+        for part in steps(batches, 1, SKETCH_BYTES):
             shingles, sizes = shingle_sets(text_bytes(part.column(1)), s.words)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
             arrays = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))]

@@ -15,6 +15,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import struct
 import zlib
@@ -31,7 +32,9 @@ from .bpe import _Memo
 from .common import arrow_map, steps, stored
 
 SHARD_TOKENS = 1 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 600_000
+#: Bytes of text that are cut into words at a time.
+ENCODE_BYTES = 1_000_000
 #: Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
 MAGIC = b"WVM1"
@@ -187,6 +190,7 @@ class ByteLevelEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -272,7 +276,7 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
         names = ["part", "seq", "first_id", "docs", "tokens", "file"]
-        for b in steps(batches, 1):
+        for b in steps(batches, 1, ENCODE_BYTES):
             part = b.column(2)[0].as_py()
             texts = encoder(path).encode_all([t or "" for t in b.column(1).to_pylist()])
             for i, ids_of_text in zip(b.column(0).to_pylist(), texts, strict=True):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidenta.plans import exact_queries
+from evidenta.plans import exact_queries, prepare_queries
 
-MODULES = (exact_queries,)
+MODULES = (exact_queries, prepare_queries)
 
 
 def queries() -> dict:

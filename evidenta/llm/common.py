@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -19,7 +21,7 @@ WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]"
 
 #: Bytes of text that one vectorised step of a Python worker takes at a time; bounds its memory.
-STEP_BYTES = 4_000_000
+STEP_BYTES = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,6 +135,21 @@ def bucket_count(rows: int, per_bucket: int, least: int = 64, most: int = 1 << 2
 
 
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors' Python path."""
+    """``df.mapInArrow`` with this package on the executors' Python path; a worker gives its memory back after a task."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker should not hold what its last task needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU allocator
+        pass

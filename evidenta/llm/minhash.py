@@ -37,7 +37,7 @@ from .components import components
 BLOCK = 128
 WHOLE_PART = 4096
 #: Bytes of text that are cut into words at a time.
-SKETCH_BYTES = 2_000_000
+SKETCH_BYTES = 1_500_000
 #: Shingles that one pass over the permutations takes: small enough for a core's cache.
 PASS_SHINGLES = 1 << 16
 #: Columns of a block's incidence matrix that are multiplied at a time.

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,18 +76,27 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if v is None else v for v in column.cast(pa.binary()).to_pylist()]
 
 
+def step_bounds(texts: pa.Array, size: int) -> Iterator[tuple[int, int]]:
+    """(begin, rows) of runs of about ``size`` bytes of text (one very long text is a run alone)."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes.astype(np.int64))
+    begin, base = 0, 0
+    while begin < len(texts):
+        end = max(begin + 1, int(np.searchsorted(ends, base + size, side="right")))
+        yield begin, end - begin
+        begin, base = end, int(ends[end - 1])
+
+
+def array_steps(texts: pa.Array, size: int = STEP_BYTES) -> Iterator[pa.Array]:
+    for begin, rows in step_bounds(texts, size):
+        yield texts.slice(begin, rows)
+
+
 def steps(batches: Iterable[pa.RecordBatch], text_index: int, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of record batches that hold about ``size`` bytes of text each (one very long text is a slice alone)."""
+    """Slices of record batches that hold about ``size`` bytes of text each."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(text_index)), 0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(sizes.astype(np.int64))
-        begin, base = 0, 0
-        while begin < batch.num_rows:
-            end = max(begin + 1, int(np.searchsorted(ends, base + size, side="right")))
-            yield batch.slice(begin, end - begin)
-            begin, base = end, int(ends[end - 1])
+        for begin, rows in step_bounds(batch.column(text_index), size):
+            yield batch.slice(begin, rows)
 
 
 def flat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:

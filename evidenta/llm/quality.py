@@ -11,8 +11,6 @@ host; an empty table gives an empty result; extra columns are ignored unless nam
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
@@ -20,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_map, flat_words, mix64, steps, stored, text_bytes
+from evidenta.runtime import ship
+
+from .common import array_steps, flat_words, mix64, stored, text_bytes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -77,28 +77,23 @@ def measure_texts(texts: list[bytes]) -> dict[str, np.ndarray]:
     }
 
 
-def measure_raw(df: DataFrame, text_col: str, carry: tuple[str, ...]) -> DataFrame:
-    """The carried columns as c0, c1, ... (no name can clash) and the MEASURES, in one pass without a shuffle."""
-    columns = list(carry) if text_col in carry else [*carry, text_col]
-    at = columns.index(text_col)
-    picked = df.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
-    fields = [T.StructField(f"c{i}", picked.schema[f"c{i}"].dataType) for i in range(len(carry))]
-    schema = T.StructType(fields + [T.StructField(m, T.LongType()) for m in MEASURES])
+MEASURED = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in steps(batches, at):
-            found = measure_texts(text_bytes(part.column(at)))
-            yield pa.RecordBatch.from_arrays(
-                [*part.columns[: len(carry)], *[pa.array(found[m]) for m in MEASURES]],
-                names=[f"c{i}" for i in range(len(carry))] + list(MEASURES),
-            )
 
-    return arrow_map(picked, run, schema)
+@F.arrow_udf(MEASURED)
+def measures_of(text: pa.Array) -> pa.Array:
+    """The MEASURES of each text.  Only texts go to Python and only numbers come back."""
+    parts = []
+    for part in array_steps(text):
+        found = measure_texts(text_bytes(part))
+        parts.append(pa.StructArray.from_arrays([pa.array(found[m]) for m in MEASURES], names=list(MEASURES)))
+    return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * len(MEASURES), names=list(MEASURES))
 
 
 def measure(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
-    """The carried columns under their names, and the MEASURES of each row's whole text."""
-    return measure_raw(df, text_col, carry).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], *MEASURES)
+    """The carried columns and the MEASURES of each row's whole text, in one pass without a shuffle."""
+    ship(df.sparkSession)
+    return df.select(*carry, measures_of(F.col(text_col)).alias("measured")).select(*carry, "measured.*")
 
 
 def rules(measured: DataFrame) -> DataFrame:
@@ -152,11 +147,12 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     The verdict of a row is a function of its measures and its host, so the texts are not shuffled: the rows are
     measured in a first pass for the hosts, and again where they stand in the second.
     """
-    ruled = rules(stored(measure_raw(df, text_col, (host_col,)), "quality"))
-    bad = host_verdicts(ruled, "c0").where("host_bad").select("host", "host_bad")
-    again = rules(measure_raw(df, text_col, tuple(df.columns)))
-    own = f"c{df.columns.index(host_col)}"
-    kept = again.join(bad, F.col(own).eqNullSafe(F.col("host")), "left").where(
+    narrow = df.select(F.col(host_col).alias("host_key"), F.col(text_col).alias("measured_text"))
+    ruled = rules(stored(measure(narrow, "measured_text", ("host_key",)), "quality"))
+    bad = host_verdicts(ruled, "host_key").where("host_bad").select("host", "host_bad")
+    packed = df.select(F.struct(*df.columns).alias("row"), measures_of(F.col(text_col)).alias("measured"))
+    again = rules(packed.select("row", "measured.*"))
+    kept = again.join(bad, F.col(f"row.{host_col}").eqNullSafe(F.col("host")), "left").where(
         ~F.col("base_failed") & ~(F.coalesce("host_bad", F.lit(False)) & F.col("any_failed"))
     )
-    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+    return kept.select(*[F.col("row")[c].alias(c) for c in df.columns])

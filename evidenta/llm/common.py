@@ -144,9 +144,24 @@ def bucket_count(rows: int, per_bucket: int, least: int = 64, most: int = 1 << 2
     return max(least, min(most, rows // per_bucket))
 
 
+#: Arrow batches between the JVM and Python: texts are long, so batches are bounded by bytes rather than by 10,000 rows.
+BATCH_CONF = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", "67108864b", "4194304"),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "10000", "2000"),
+}
+
+
+def prepare(spark: SparkSession) -> None:
+    """The package on the executors' Python path, and batches small enough for long texts unless the session says otherwise."""
+    ship(spark)
+    for key, (*defaults, ours) in BATCH_CONF.items():
+        if spark.conf.get(key, None) in defaults:
+            spark.conf.set(key, ours)
+
+
 def arrow_map(df: DataFrame, run, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package on the executors' Python path; a worker gives its memory back after a task."""
-    ship(df.sparkSession)
+    """``df.mapInArrow`` for texts; a worker gives its memory back after a task."""
+    prepare(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)

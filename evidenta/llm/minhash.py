@@ -29,9 +29,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidenta.runtime import ship
-
-from .common import arrow_map, candidate_filter, flat_words, may_contain, mix64, steps, stored, text_bytes
+from .common import arrow_map, candidate_filter, flat_words, may_contain, mix64, prepare, steps, stored, text_bytes
 from .components import components
 
 BLOCK = 128
@@ -228,7 +226,7 @@ def _confirm(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         links = spanning_links(ids, [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], over, under)
         return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
 
-    ship(members.sparkSession)
+    prepare(members.sparkSession)
     return tasks.join(sets, "id").groupBy("part", "i", "j").applyInArrow(compare, "a long, b long")
 
 

@@ -18,9 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from evidenta.runtime import ship
-
-from .common import array_steps, flat_words, mix64, stored, text_bytes
+from .common import array_steps, flat_words, mix64, prepare, stored, text_bytes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -92,7 +90,7 @@ def measures_of(text: pa.Array) -> pa.Array:
 
 def measure(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The carried columns and the MEASURES of each row's whole text, in one pass without a shuffle."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.select(*carry, measures_of(F.col(text_col)).alias("measured")).select(*carry, "measured.*")
 
 

@@ -4,7 +4,7 @@ A merge can only join neighbours that stand next to each other inside some vocab
 that no token holds is therefore a certain cut: no merge crosses it, and the fragments on both sides can be encoded
 on their own and concatenated.  White space is such a cut everywhere (no token holds it), so texts fall into words,
 words into pre-tokens, and pre-tokens into fragments at every impossible pair.  Only a pre-token's last fragment
-carries the word-end mark.  Fragments and words repeat, so their encodings are kept in bounded caches.
+carries the word-end mark.  Words repeat, so their encodings are kept in a bounded cache.
 
 Defined cases: a null or empty text has no tokens and decodes to the empty text; special-token strings in a text
 become their special ids, as the library does; repeated rows are encoded row by row; an empty table gives an empty
@@ -23,7 +23,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, steps, text_bytes
+from .common import HOLDERS, arrow_map, steps, text_bytes
 
 #: Entries that a worker's cache holds before it starts anew; bounds its memory.
 CACHE_ENTRIES = 400_000
@@ -66,7 +66,6 @@ class ForcedBoundaryCodec:
         for token in model["vocab"]:
             body = token.removesuffix(self.suffix)
             self.joined.update(map(str.__add__, body, body[1:]))
-        self.fragments = _Memo(self._fragment)
         self.words = _Memo(self._word)
         self.written = _Memo(self._written)
 
@@ -79,8 +78,7 @@ class ForcedBoundaryCodec:
                 begin = i
         return [*out, pre_token[begin:]]
 
-    def _fragment(self, key: tuple[str, bool]) -> list[int]:
-        fragment, last = key
+    def _fragment(self, fragment: str, last: bool) -> list[int]:
         return [t.id for t in (self.final if last else self.inner).tokenize(fragment)]
 
     def _word(self, word: bytes) -> list[int]:
@@ -97,8 +95,8 @@ class ForcedBoundaryCodec:
         for p in pre_tokens:
             parts = self.cuts(p)
             for f in parts[:-1]:
-                ids += self.fragments[f, False]
-            ids += self.fragments[parts[-1], True]
+                ids += self._fragment(f, False)
+            ids += self._fragment(parts[-1], True)
         return ids
 
     def _written(self, word: bytes) -> tuple[bytes, bytes]:
@@ -106,7 +104,7 @@ class ForcedBoundaryCodec:
         return b"".join(b" %d" % i for i in ids), "".join(" " + self.tokens[i] for i in ids).encode()
 
     def trim(self) -> None:
-        for memo in (self.fragments, self.words, self.written):
+        for memo in (self.words, self.written):
             if len(memo) > CACHE_ENTRIES:
                 memo.clear()
 
@@ -135,6 +133,9 @@ def codec(path: str) -> ForcedBoundaryCodec:
     return ForcedBoundaryCodec(path)
 
 
+HOLDERS["bpe"] = codec.cache_clear
+
+
 def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>) of every row."""
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -144,7 +145,7 @@ def encode_texts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
             ids = [codec(path).encode(t) for t in text_bytes(part.column(1))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return arrow_map(picked, run, "doc_id long, ids array<int>")
+    return arrow_map(picked, run, "doc_id long, ids array<int>", "bpe")
 
 
 def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -156,7 +157,7 @@ def decode_ids(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
             decoded = [codec(path).decode(x or []) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(decoded, pa.string())], names=["doc_id", "decoded"])
 
-    return arrow_map(picked, run, "doc_id long, decoded string")
+    return arrow_map(picked, run, "doc_id long, decoded string", "bpe")
 
 
 def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,4 +175,4 @@ def round_trip_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_co
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return arrow_map(picked, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow_map(picked, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")

@@ -7,7 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -159,11 +159,30 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, ours)
 
 
-def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+#: What operators keep in a Python worker between tasks: name and how to drop it.
+HOLDERS: dict[str, Callable[[], None]] = {}
+_current = [""]
+
+
+def enter(operator: str) -> None:
+    """Called by a task of an operator: what other operators left in this worker is dropped.
+
+    Spark reuses workers, so without this the caches of all operators that ever ran there would add up.
+    """
+    if _current[0] != operator:
+        for name, drop in HOLDERS.items():
+            if name != operator:
+                drop()
+        give_back()
+        _current[0] = operator
+
+
+def arrow_map(df: DataFrame, run, schema, operator: str = "") -> DataFrame:
     """``df.mapInArrow`` for texts; a worker gives its memory back after a task."""
     prepare(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(operator)
         yield from run(batches)
         give_back()
 

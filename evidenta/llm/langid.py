@@ -254,4 +254,4 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(named), pa.array(score)], names=names)
 
     names = ["doc_id", "held_out", "lang_pred", "score"]
-    return arrow_map(picked, run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return arrow_map(picked, run, "doc_id long, held_out boolean, lang_pred string, score double", "langid")

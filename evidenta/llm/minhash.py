@@ -155,7 +155,7 @@ def sketch(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "
                 names=["id", "n", "set_a", "set_b", "bands"],
             )
 
-    return arrow_map(picked, run, "id long, n long, set_a long, set_b long, bands array<long>")
+    return arrow_map(picked, run, "id long, n long, set_a long, set_b long, bands array<long>", "minhash")
 
 
 def full_sets(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
@@ -169,7 +169,7 @@ def full_sets(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFra
             arrays = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "shingles"])
 
-    return arrow_map(picked, run, "id long, shingles array<long>")
+    return arrow_map(picked, run, "id long, shingles array<long>", "minhash")
 
 
 def spanning_links(ids: np.ndarray, sets: list[np.ndarray], over: int, under: int) -> list[tuple[int, int]]:

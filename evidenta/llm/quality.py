@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array_steps, flat_words, mix64, prepare, stored, text_bytes
+from .common import array_steps, enter, flat_words, mix64, prepare, stored, text_bytes
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -81,6 +81,7 @@ MEASURED = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
 @F.arrow_udf(MEASURED)
 def measures_of(text: pa.Array) -> pa.Array:
     """The MEASURES of each text.  Only texts go to Python and only numbers come back."""
+    enter("quality")
     parts = []
     for part in array_steps(text):
         found = measure_texts(text_bytes(part))

@@ -101,7 +101,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_co
                 names=["doc_id", "owner", "kinds", "starts", "ends", "hashes", "live_looking"],
             )
 
-    return arrow_map(picked, run, SPAN_SCHEMA)
+    return arrow_map(picked, run, SPAN_SCHEMA, "secrets")
 
 
 def ownership(scanned: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import _Memo
-from .common import arrow_map, steps, stored
+from .common import HOLDERS, arrow_map, steps, stored
 
 SHARD_TOKENS = 1 << 20
 CACHE_ENTRIES = 600_000
@@ -252,6 +252,9 @@ def encoder(path: str) -> ByteLevelEncoder:
     return ByteLevelEncoder(path)
 
 
+HOLDERS["wavelet"] = encoder.cache_clear
+
+
 def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(part, seq, first_id, docs, tokens, file) in the shared folder, one row per shard file.
 
@@ -289,7 +292,7 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
         if ids:
             yield shard()
 
-    return stored(arrow_map(ordered, run, "part int, seq long, first_id long, docs long, tokens long, file binary"), "tokens")
+    return stored(arrow_map(ordered, run, "part int, seq long, first_id long, docs long, tokens long, file binary", "wavelet"), "tokens")
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -326,7 +329,7 @@ def read_documents(shards: DataFrame) -> DataFrame:
                     names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
                 )
 
-    found = arrow_map(files, run, "part int, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = arrow_map(files, run, "part int, seq long, doc_id long, at long, n_tokens long, ids_crc32 long", "wavelet")
     placed = found.join(shard_starts(shards), ["part", "seq"])
     return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 

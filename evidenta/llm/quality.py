@@ -29,6 +29,9 @@ MAX_DUP_LINE_PERCENT = 30
 #: A host is bad when its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
 
+#: Up to so many bad hosts are sent to all tasks (a few MB); more of them are joined by a shuffle.
+BROADCAST_HOSTS = 20_000
+
 SYMBOLS = b"#*$%&|<>"
 NOT_WORD_START = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 
@@ -148,7 +151,9 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """
     narrow = df.select(F.col(host_col).alias("host_key"), F.col(text_col).alias("measured_text"))
     ruled = rules(stored(measure(narrow, "measured_text", ("host_key",)), "quality"))
-    bad = host_verdicts(ruled, "host_key").where("host_bad").select("host", "host_bad")
+    bad = stored(host_verdicts(ruled, "host_key").where("host_bad").select("host", "host_bad"), "bad-hosts")
+    if bad.count() <= BROADCAST_HOSTS:
+        bad = F.broadcast(bad)
     packed = df.select(F.struct(*df.columns).alias("row"), measures_of(F.col(text_col)).alias("measured"))
     again = rules(packed.select("row", "measured.*"))
     kept = again.join(bad, F.col(f"row.{host_col}").eqNullSafe(F.col("host")), "left").where(

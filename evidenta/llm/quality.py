@@ -92,6 +92,10 @@ def measures_of(text: pa.Array) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * len(MEASURES), names=list(MEASURES))
 
 
+#: Declared non-deterministic so that a filter on its result does not evaluate it a second time below.
+measures_of = measures_of.asNondeterministic()
+
+
 def measure(df: DataFrame, text_col: str = "text", carry: tuple[str, ...] = ("doc_id", "source")) -> DataFrame:
     """The carried columns and the MEASURES of each row's whole text, in one pass without a shuffle."""
     prepare(df.sparkSession)

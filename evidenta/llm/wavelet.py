@@ -1,6 +1,6 @@
 """Token-ID output as one wavelet-matrix file per shard.
 
-Documents are encoded in ascending id order, an end id closes each, and the ids of about SHARD_TOKENS tokens become
+Documents are encoded in ascending id order, an end id closes each, and the ids of SHARD_TOKENS tokens or some more become
 one file: a header, the shard's alphabet, one packed bit plane per bit of an alphabet rank (tokens with a zero bit
 move before those with a one bit, stably, on the way to the next plane), a rank directory over each plane, and the
 documents' ids and lengths.  From the file alone a reader can access any token, count a token in a range and find its
@@ -28,13 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .bpe import _Memo
 from .common import HOLDERS, arrow_map, steps, stored
 
-SHARD_TOKENS = 1 << 20
-CACHE_ENTRIES = 600_000
+SHARD_TOKENS = 700_000
+CACHE_ENTRIES = 900_000
 #: Bytes of text that are cut into words at a time.
-ENCODE_BYTES = 1_000_000
+ENCODE_BYTES = 4_000_000
 #: Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
 MAGIC = b"WVM1"
@@ -181,15 +180,18 @@ def _directory(plane: np.ndarray) -> np.ndarray:
 
 
 class ByteLevelEncoder:
-    """The library's byte-level encoding, from memoised pieces.
+    """The library's byte-level encoding, from remembered pieces.
 
     A text is cut before each run of white space that follows another character.  The pre-tokeniser always has a
     boundary there: what comes before never reaches into white space, and a token only starts with it.  In plain
     texts (single spaces and line feeds between words) the pieces are the words themselves, each with its one space
-    or line feed in front.  New words go to the library together: a token that starts with a space starts a word.
+    or line feed in front; they are cut and numbered by Arrow, so only new words are seen by Python.  New words go to
+    the library together: a token that starts with a space starts a word.
+
+    The ids of all remembered pieces stand in one array; a text is a list of piece numbers until its ids are gathered.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -197,43 +199,95 @@ class ByteLevelEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
-        self.starts = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.split = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-        self.pieces = _Memo(self._piece)  # of any form
-        self.words: dict[str, bytes] = {}  # after one space; a word that starts with a line feed stands for itself
-
-    def _piece(self, piece: str) -> bytes:
-        return np.array(self.library.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.end_id = end_id
+        self.forget()
+
+    def forget(self) -> None:
+        self.words: dict[str, int] = {}  # after one space; a word that starts with a line feed stands for itself
+        self.pieces: dict[str, int] = {}  # of any form
+        self.ids = np.empty(1 << 16, dtype=np.uint32)
+        self.starts, self.used, self.count = np.zeros(1 << 14, dtype=np.int64), 0, 0
+        self.end = self._remember(np.array([self.end_id], dtype=np.uint32), [0])
+
+    def _remember(self, ids: np.ndarray, begins: list[int] | np.ndarray) -> int:
+        """Append pieces that begin at ``begins`` of ``ids``; the number of the first."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.count + len(begins) + 1 > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[self.count : self.count + len(begins)] = np.asarray(begins) + self.used
+        first, self.used, self.count = self.count, self.used + len(ids), self.count + len(begins)
+        self.starts[self.count] = self.used
+        return first
+
+    def _piece(self, piece: str) -> int:
+        found = self.pieces.get(piece)
+        if found is None:
+            ids = self.library.encode(piece, add_special_tokens=False).ids
+            found = self.pieces[piece] = self._remember(np.array(ids, dtype=np.uint32), [0])
+        return found
 
     def _learn(self, new: list[str]) -> None:
+        spaced = []
         for w in new:
             if not w or w[0] == "\n":
                 self.words[w] = self._piece(w or " ")
-        spaced = [w for w in new if w and w[0] != "\n"]
+            else:
+                spaced.append(w)
         for begin in range(0, len(spaced), 20_000):
             part = spaced[begin : begin + 20_000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
-            cuts = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
-            if len(cuts) != len(part) + 1:
+            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            begins = np.flatnonzero(self.spaced[ids])
+            if len(begins) != len(part):
                 raise AssertionError("a word has other than one token that starts with its space")
-            raw, ends = ids.tobytes(), cuts.tolist()
-            self.words.update(zip(part, [raw[x:y] for x, y in zip(ends, ends[1:])]))
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        cut = [t.replace("\n", " \n").split(" ") if is_plain(t) else None for t in texts]
-        new = set().union(*[c[1:] for c in cut if c is not None]).difference(self.words)
-        if new:
-            self._learn(list(new))
-        piece, word = self.pieces.__getitem__, self.words.__getitem__
-        return [
-            b"".join(map(piece, self.split(t))) if c is None else piece(c[0]) + b"".join(map(word, c[1:])) if t else b""
-            for t, c in zip(texts, cut, strict=True)
-        ]
+            first = self._remember(ids, begins)
+            self.words.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _numbers(self, texts: list[str]) -> list[np.ndarray]:
+        """Piece numbers of each text, the end's at its end."""
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if is_plain(t)]
+        if plain:
+            spaced = pa.compute.replace_substring(pa.array([texts[i] for i in plain], pa.string()), "\n", " \n")
+            cut = pa.compute.split_pattern(spaced, " ")
+            offsets = cut.offsets.to_numpy()
+            coded = cut.flatten().dictionary_encode()
+            uniques = coded.dictionary.to_pylist()
+            table = np.array([self.words.get(w, -1) for w in uniques], dtype=np.int64)
+            if len(fresh := np.flatnonzero(table < 0)):
+                new = [uniques[i] for i in fresh.tolist()]
+                self._learn(new)
+                table[fresh] = [self.words[w] for w in new]
+            numbers = table[coded.indices.to_numpy(zero_copy_only=False)]
+            heads = (offsets - offsets[0])[:-1]
+            numbers[heads] = [self._piece(texts[i].replace("\n", " ").split(" ", 1)[0]) for i in plain]
+            numbers = np.insert(numbers, (offsets - offsets[0])[1:], self.end)
+            if len(plain) == len(texts):
+                self.lengths = np.diff(offsets) + 1
+                return [numbers]
+            ends = (offsets - offsets[0])[1:] + np.arange(1, len(plain) + 1)
+            for i, begin, end in zip(plain, [0, *ends[:-1]], ends, strict=True):
+                out[i] = numbers[begin:end]
+        for i, t in enumerate(texts):
+            if out[i] is None:
+                out[i] = np.array([*map(self._piece, self.split(t)), self.end], dtype=np.int64)
+        self.lengths = np.array([len(x) for x in out], dtype=np.int64)
+        return out
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, ids of each text); every text is closed by the end id."""
+        if len(self.words) + len(self.pieces) > CACHE_ENTRIES:
+            self.forget()
+        numbers = np.concatenate(self._numbers(texts))
+        begins = self.starts[numbers]
+        sizes = self.starts[numbers + 1] - begins
+        upto = np.cumsum(sizes)
+        at = np.arange(upto[-1]) + np.repeat(begins - (upto - sizes), sizes)
+        doc_ends = upto[np.cumsum(self.lengths) - 1]
+        return self.ids[at], np.diff(doc_ends, prepend=0)
 
 
 _ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
@@ -248,8 +302,8 @@ def is_plain(text: str) -> bool:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str) -> ByteLevelEncoder:
-    return ByteLevelEncoder(path)
+def encoder(path: str, end_id: int) -> ByteLevelEncoder:
+    return ByteLevelEncoder(path, end_id)
 
 
 HOLDERS["wavelet"] = encoder.cache_clear
@@ -262,35 +316,33 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     """
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    end = np.array([end_id], dtype="<u4").tobytes()
+    names = ["part", "seq", "first_id", "docs", "tokens", "file"]
+    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+
+    def shard(part: int, seq: int, ids: list[int | None], coded: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
+        tokens = np.concatenate(coded)
+        valid = np.array([i is not None for i in ids])
+        made = WaveletMatrix.build(tokens).to_bytes(np.array([i or 0 for i in ids], dtype=np.int64), valid, np.concatenate(lengths))
+        values = ([part], [seq], [ids[0]], [len(ids)], [len(tokens)], [made])
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list[int | None] = []
-        coded: list[bytes] = []
+        coded: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         held, seq, part = 0, 0, 0
-
-        def shard() -> pa.RecordBatch:
-            tokens = np.frombuffer(b"".join(coded), dtype="<u4")
-            lengths = np.array([len(c) // 4 for c in coded], dtype=np.int64)
-            valid = np.array([i is not None for i in ids])
-            made = WaveletMatrix.build(tokens).to_bytes(np.array([i or 0 for i in ids], dtype=np.int64), valid, lengths)
-            values = ([part], [seq], [ids[0]], [len(ids)], [len(tokens)], [made])
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
-
-        names = ["part", "seq", "first_id", "docs", "tokens", "file"]
         for b in steps(batches, 1, ENCODE_BYTES):
             part = b.column(2)[0].as_py()
-            texts = encoder(path).encode_all([t or "" for t in b.column(1).to_pylist()])
-            for i, ids_of_text in zip(b.column(0).to_pylist(), texts, strict=True):
-                ids.append(i)
-                coded.append(ids_of_text + end)
-                held += len(coded[-1]) // 4
-                if held >= SHARD_TOKENS:
-                    yield shard()
-                    ids, coded, held, seq = [], [], 0, seq + 1
+            tokens, sizes = encoder(path, end_id).encode_all([t or "" for t in b.column(1).to_pylist()])
+            ids += b.column(0).to_pylist()
+            coded.append(tokens)
+            lengths.append(sizes)
+            held += len(tokens)
+            if held >= SHARD_TOKENS:
+                yield shard(part, seq, ids, coded, lengths)
+                ids, coded, lengths, held, seq = [], [], [], 0, seq + 1
         if ids:
-            yield shard()
+            yield shard(part, seq, ids, coded, lengths)
 
     return stored(arrow_map(ordered, run, "part int, seq long, first_id long, docs long, tokens long, file binary", "wavelet"), "tokens")
 

@@ -9,7 +9,7 @@ Within a source rows are ordered by a hash-random key.  The key's leading bits a
 word counts are bucket totals plus running sums inside a bucket, and no task ever holds a source.  A source is taken
 whole as many times as its budget allows (epochs); the rest is cut at the exact word.
 
-Defined cases: a null text has no words; an empty source has target 0; ties of the key fall back to the id and size;
+Defined cases: a null text has no words (its row goes along with every whole epoch of its source); an empty source has target 0; ties of the key fall back to the id and size;
 repeated rows are rows of their own; an empty table gives an empty result; extra columns are ignored.
 """
 

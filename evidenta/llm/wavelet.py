@@ -1,9 +1,9 @@
 """Token-ID output as one wavelet-matrix file per shard.
 
 Documents are encoded in ascending id order, an end id closes each, and the ids of SHARD_TOKENS tokens or some more become
-one file: a header, the shard's alphabet, one packed bit plane per bit of an alphabet rank (tokens with a zero bit
-move before those with a one bit, stably, on the way to the next plane), a rank directory over each plane, and the
-documents' ids and lengths.  From the file alone a reader can access any token, count a token in a range and find its
+one file: a header, the shard's alphabet with counts and code lengths, one packed bit plane per bit of a Huffman code (tokens
+with a zero bit move before those with a one bit, stably, on the way to the next plane, and those whose code ends leave
+at the end), a rank directory over each plane, and the documents' ids and lengths.  From the file alone a reader can access any token, count a token in a range and find its
 occurrences.  Files are rows of a table in the shared folder (one binary cell each), so any store that Spark reaches
 holds them.
 
@@ -15,11 +15,12 @@ extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import heapq
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,59 @@ HEADER = struct.Struct("<4sQIIQ")
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Bits of each symbol's code in a Huffman code; one symbol alone has one bit."""
+    if len(counts) < 2:
+        return np.ones(len(counts), dtype=np.uint8)
+    heap = [(int(c), i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    parent = np.zeros(2 * len(counts) - 1, dtype=np.int64)
+    node = len(counts)
+    while len(heap) > 1:
+        x, i = heapq.heappop(heap)
+        y, j = heap[0]
+        parent[i] = parent[j] = node
+        heapq.heapreplace(heap, (x + y, node))
+        node += 1
+    depth = np.zeros(node, dtype=np.uint8)
+    for i in range(node - 2, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    return depth[: len(counts)]
+
+
+class Codes:
+    """Code words for a wavelet matrix: at every level the words that end there stand last.
+
+    The nodes of a level are the nodes of the one before with a zero bit, then with a one bit; of these the last ones
+    become leaves.  A level's array is grouped by its nodes in that order, so what ends is its tail and the positions
+    of what goes on do not change.
+    """
+
+    def __init__(self, counts: np.ndarray, lengths: np.ndarray):
+        self.lengths = lengths
+        self.levels = int(lengths.max()) if len(lengths) else 0
+        self.bits = [np.zeros(len(counts), dtype=bool) for _ in range(self.levels)]
+        self.leaves: list[np.ndarray] = [np.empty(0, dtype=np.int64)]
+        self.sizes = [int(counts.sum())]
+        nodes = np.zeros(1, dtype=np.int64)  # paths, the first step as the highest bit
+        for level in range(self.levels):
+            nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
+            ending = np.flatnonzero(lengths == level + 1)
+            keep = len(nodes) - len(ending)
+            for k in range(level + 1):
+                self.bits[k][ending] = nodes[keep:] >> (level - k) & 1
+            nodes = nodes[:keep]
+            self.leaves.append(ending)
+            self.sizes.append(self.sizes[-1] - int(counts[ending].sum()))
+
+
 class WaveletMatrix:
-    """Succinct sequence of token ids with access, rank, count and select."""
+    """Succinct sequence of token ids, Huffman-shaped, with access, rank, count and select."""
 
-    def __init__(self, n: int, alphabet: np.ndarray, zeros: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray]):
-        self.n, self.alphabet, self.zeros, self.planes, self.ranks = n, alphabet, zeros, planes, ranks
+    def __init__(self, alphabet: np.ndarray, counts: np.ndarray, lengths: np.ndarray, planes: list[np.ndarray], ranks: list[np.ndarray]):
+        self.alphabet, self.counts, self.planes, self.ranks = alphabet, counts.astype(np.int64), planes, ranks
+        self.codes = Codes(self.counts, lengths)
+        self.n = self.codes.sizes[0]
 
     @property
     def levels(self) -> int:
@@ -55,26 +104,28 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, tokens: np.ndarray) -> WaveletMatrix:
-        seen = np.zeros(int(tokens.max()) + 1 if len(tokens) else 1, dtype=bool)
-        seen[tokens] = True
-        alphabet = np.flatnonzero(seen).astype(np.uint32) if len(tokens) else np.empty(0, dtype=np.uint32)
-        to_rank = np.cumsum(seen) - 1
+        every = np.bincount(tokens) if len(tokens) else np.zeros(1, dtype=np.int64)
+        alphabet = np.flatnonzero(every).astype(np.uint32)
+        counts = every[alphabet]
+        lengths = code_lengths(counts)
+        codes = Codes(counts, lengths)
         small = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
-        now = to_rank.astype(small)[tokens]
-        levels = max(1, int(len(alphabet) - 1).bit_length()) if len(alphabet) else 1
-        planes, ranks, zeros = [], [], []
-        for level in range(levels):
-            bits = (now & small(1 << (levels - 1 - level))) != 0
+        symbol = np.zeros(len(every), dtype=small)
+        symbol[alphabet] = np.arange(len(alphabet))
+        now = symbol[tokens]
+        planes, ranks = [], []
+        for level in range(codes.levels):
+            bits = codes.bits[level][now]
             plane = np.packbits(bits)
             planes.append(plane)
             ranks.append(_directory(plane))
-            ones = now[bits]
-            zeros.append(len(now) - len(ones))
-            now = np.concatenate([now[~bits], ones])
-        return cls(len(tokens), alphabet, np.array(zeros, dtype=np.uint64), planes, ranks)
+            # compress finds the places without a branch per token, several times faster than indexing by a mask
+            now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])[: codes.sizes[level + 1]]
+        return cls(alphabet, counts, lengths, planes, ranks)
 
     def to_bytes(self, doc_ids: np.ndarray, valid: np.ndarray, lengths: np.ndarray) -> bytes:
-        parts = [HEADER.pack(MAGIC, self.n, len(self.alphabet), self.levels, len(doc_ids)), self.alphabet.astype("<u4").tobytes(), self.zeros.astype("<u8").tobytes()]
+        parts = [HEADER.pack(MAGIC, self.n, len(self.alphabet), self.levels, len(doc_ids)), self.alphabet.astype("<u4").tobytes()]
+        parts += [self.counts.astype("<u8").tobytes(), self.codes.lengths.astype("u1").tobytes()]
         for plane, rank in zip(self.planes, self.ranks, strict=True):
             parts += [plane.tobytes(), rank.astype("<u4").tobytes()]
         parts += [doc_ids.astype("<i8").tobytes(), valid.astype("u1").tobytes(), lengths.astype("<u8").tobytes()]
@@ -83,7 +134,7 @@ class WaveletMatrix:
     @classmethod
     def from_bytes(cls, data: bytes) -> tuple[WaveletMatrix, np.ndarray, np.ndarray, np.ndarray]:
         """(matrix, document ids, which of them are not null, tokens of each document)."""
-        magic, n, sigma, levels, docs = HEADER.unpack_from(data)
+        magic, _, sigma, levels, docs = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a wavelet matrix file")
         at = HEADER.size
@@ -94,79 +145,93 @@ class WaveletMatrix:
             at += out.nbytes
             return out
 
-        alphabet, zeros = take("<u4", sigma), take("<u8", levels)
-        size = (n + 7) // 8
-        planes, ranks = [], []
-        for _ in range(levels):
-            planes.append(take("u1", size))
-            ranks.append(take("<u4", size * 8 // RANK_BITS + 1))
-        matrix = cls(n, alphabet, zeros, planes, ranks)
+        alphabet, counts, lengths = take("<u4", sigma), take("<u8", sigma), take("u1", sigma)
+        planes, ranks, left = [], [], int(counts.sum())
+        for level in range(levels):
+            planes.append(take("u1", (left + 7) // 8))
+            ranks.append(take("<u4", len(planes[-1]) * 8 // RANK_BITS + 1))
+            left -= int(counts[lengths == level + 1].sum())
+        matrix = cls(alphabet, counts, lengths, planes, ranks)
         return matrix, take("<i8", docs), take("u1", docs).astype(bool), take("<u8", docs).astype(np.int64)
 
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
-        """One bits before position i of a plane."""
-        plane, block = self.planes[level], np.asarray(i, dtype=np.int64) // RANK_BITS
+        """One bits before positions i of a plane: the directory's entry, then the bytes of its block."""
+        plane, i = self.planes[level], np.asarray(i, dtype=np.int64)
+        block = i // RANK_BITS
         out = self.ranks[level][block].astype(np.int64)
         for k in range(RANK_BITS // 8):
             byte = block * (RANK_BITS // 8) + k
-            whole = byte < np.asarray(i) // 8
             value = np.where(byte < len(plane), plane[np.minimum(byte, len(plane) - 1)], 0).astype(np.uint8)
-            partial = (byte == np.asarray(i) // 8) & (np.asarray(i) % 8 > 0)
-            mask = np.where(whole, 0xFF, np.where(partial, (0xFF00 >> (np.asarray(i) % 8)) & 0xFF, 0)).astype(np.uint8)
+            partial = (byte == i // 8) & (i % 8 > 0)
+            mask = np.where(byte < i // 8, 0xFF, np.where(partial, (0xFF00 >> (i % 8)) & 0xFF, 0)).astype(np.uint8)
             out = out + np.bitwise_count(value & mask)
         return out
 
+    def _zeros(self, level: int) -> int:
+        size = self.codes.sizes[level]
+        return size - int(self._ones(level, np.array([size]))[0])
+
     def access(self, i) -> np.ndarray:
         """Token ids at positions i."""
-        i = np.atleast_1d(np.asarray(i, dtype=np.int64))
-        code = np.zeros(len(i), dtype=np.int64)
+        i = np.atleast_1d(np.asarray(i, dtype=np.int64)).copy()
+        out, open_ = np.zeros(len(i), dtype=np.int64), np.arange(len(i))
         for level in range(self.levels):
             bit = (self.planes[level][i // 8] >> (7 - i % 8).astype(np.uint8)) & 1
             ones = self._ones(level, i)
-            i = np.where(bit == 1, int(self.zeros[level]) + ones, i - ones)
-            code = code * 2 + bit
-        return self.alphabet[code]
-
-    def _range(self, token: int, begin: int, end: int) -> tuple[int, int] | None:
-        code = int(np.searchsorted(self.alphabet, token))
-        if code == len(self.alphabet) or self.alphabet[code] != token:
-            return None
-        for level in range(self.levels):
-            ones = self._ones(level, np.array([begin, end]))
-            if code >> (self.levels - 1 - level) & 1:
-                begin, end = int(self.zeros[level]) + int(ones[0]), int(self.zeros[level]) + int(ones[1])
-            else:
-                begin, end = begin - int(ones[0]), end - int(ones[1])
-        return begin, end
+            i = np.where(bit == 1, self._zeros(level) + ones, i - ones)
+            tail = i - self.codes.sizes[level + 1]
+            done = tail >= 0
+            ends = np.cumsum(self.counts[self.codes.leaves[level + 1]])
+            out[open_[done]] = self.codes.leaves[level + 1][np.searchsorted(ends, tail[done], side="right")]
+            i, open_ = i[~done], open_[~done]
+        return self.alphabet[out]
+
+    def _symbol(self, token: int) -> int | None:
+        s = int(np.searchsorted(self.alphabet, token))
+        return s if s < len(self.alphabet) and self.alphabet[s] == token else None
 
     def count(self, token: int, begin: int = 0, end: int | None = None) -> int:
         """Occurrences of a token in a range."""
-        found = self._range(token, begin, self.n if end is None else end)
-        return 0 if found is None else found[1] - found[0]
+        s, end = self._symbol(token), self.n if end is None else end
+        if s is None:
+            return 0
+        for level in range(int(self.codes.lengths[s])):
+            ones = self._ones(level, np.array([begin, end]))
+            if self.codes.bits[level][s]:
+                begin, end = (self._zeros(level) + int(k) for k in ones)
+            else:
+                begin, end = begin - int(ones[0]), end - int(ones[1])
+        return end - begin
 
     def select(self, token: int) -> np.ndarray:
         """Positions of all occurrences of a token."""
-        found = self._range(token, 0, self.n)
-        if found is None:
+        s = self._symbol(token)
+        if s is None:
             return np.empty(0, dtype=np.int64)
-        at = np.arange(*found)
-        code = int(np.searchsorted(self.alphabet, token))
-        for level in reversed(range(self.levels)):
-            bits = np.unpackbits(self.planes[level], count=self.n).astype(bool)
-            one = code >> (self.levels - 1 - level) & 1
-            at = np.flatnonzero(bits == bool(one))[at - (int(self.zeros[level]) if one else 0)]
+        depth = int(self.codes.lengths[s])
+        leaves = self.codes.leaves[depth]
+        own = int(np.searchsorted(leaves, s))
+        first = self.codes.sizes[depth] + int(self.counts[leaves[:own]].sum())
+        at = np.arange(first, first + int(self.counts[s]))
+        for level in reversed(range(depth)):
+            bits = np.unpackbits(self.planes[level], count=self.codes.sizes[level]).view(bool)
+            one = bool(self.codes.bits[level][s])
+            at = np.flatnonzero(bits == one)[at - (self._zeros(level) if one else 0)]
         return at
 
     def decode(self) -> np.ndarray:
         """All token ids, from the last plane back to the first."""
         small = np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32
-        now = np.zeros(self.n, dtype=small)
+        now = np.empty(0, dtype=small)
         for level in reversed(range(self.levels)):
-            bits = np.unpackbits(self.planes[level], count=self.n).view(bool)
-            z = int(self.zeros[level])
+            leaves = self.codes.leaves[level + 1]
+            now = np.concatenate([now, np.repeat(leaves.astype(small), self.counts[leaves])])
+            bits = np.unpackbits(self.planes[level], count=len(now)).view(bool)
             out = np.empty_like(now)
-            out[~bits] = now[:z]
-            out[bits] = now[z:] | small(1 << (self.levels - 1 - level))
+            ones = np.flatnonzero(bits)
+            zeros = len(now) - len(ones)
+            out[np.flatnonzero(~bits)] = now[:zeros]
+            out[ones] = now[zeros:]
             now = out
         return self.alphabet[now]
 
@@ -200,12 +265,14 @@ class ByteLevelEncoder:
         self.library.no_padding()
         size = self.library.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.library.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.lined = np.array([(self.library.id_to_token(i) or "").startswith("\u010a") for i in range(size)])
         self.split = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.end_id = end_id
         self.forget()
 
     def forget(self) -> None:
         self.words: dict[str, int] = {}  # after one space; a word that starts with a line feed stands for itself
+        self.heads: dict[str, int] = {}  # first words of texts, after nothing
         self.pieces: dict[str, int] = {}  # of any form
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.starts, self.used, self.count = np.zeros(1 << 14, dtype=np.int64), 0, 0
@@ -230,21 +297,43 @@ class ByteLevelEncoder:
             found = self.pieces[piece] = self._remember(np.array(ids, dtype=np.uint32), [0])
         return found
 
-    def _learn(self, new: list[str]) -> None:
-        spaced = []
-        for w in new:
-            if not w or w[0] == "\n":
-                self.words[w] = self._piece(w or " ")
-            else:
-                spaced.append(w)
-        for begin in range(0, len(spaced), 20_000):
-            part = spaced[begin : begin + 20_000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            begins = np.flatnonzero(self.spaced[ids])
+    def _learn(self, new: list[str], mark: str, into: dict[str, int], whole: bool) -> None:
+        """Encode new words together, each behind the mark (a space or a line feed); its token starts a word.
+
+        With ``whole`` the mark belongs to the word (a space merges into its first token); without, it is a token of
+        its own and left out.
+        """
+        starts = self.spaced if mark == " " else self.lined
+        for begin in range(0, len(new), 20_000):
+            part = new[begin : begin + 20_000]
+            ids = np.array(self.library.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            begins = np.flatnonzero(starts[ids])
             if len(begins) != len(part):
-                raise AssertionError("a word has other than one token that starts with its space")
+                raise AssertionError("a word has other than one token that starts with its mark")
+            if not whole:
+                keep = np.ones(len(ids), dtype=bool)
+                keep[begins] = False
+                ids, begins = ids[keep], begins - np.arange(len(begins))
             first = self._remember(ids, begins)
-            self.words.update(zip(part, range(first, first + len(part)), strict=True))
+            into.update(zip(part, range(first, first + len(part)), strict=True))
+
+    def _look_up(self, keys: list[str], into: dict[str, int], learn: Callable[[list[str]], None]) -> np.ndarray:
+        found = np.array([into.get(k, -1) for k in keys], dtype=np.int64)
+        if len(fresh := np.flatnonzero(found < 0)):
+            new = [keys[i] for i in fresh.tolist()]
+            learn(list(dict.fromkeys(new)))
+            found[fresh] = [into[k] for k in new]
+        return found
+
+    def _learn_words(self, new: list[str]) -> None:
+        self._learn([w for w in new if w[0] != "\n"], " ", self.words, True)
+        lined = [w for w in new if w[0] == "\n"]
+        bare: dict[str, int] = {}
+        self._learn([w[1:] for w in lined], "\n", bare, True)
+        self.words.update((w, bare[w[1:]]) for w in lined)
+
+    def _learn_heads(self, new: list[str]) -> None:
+        self._learn(new, "\n", self.heads, False)
 
     def _numbers(self, texts: list[str]) -> list[np.ndarray]:
         """Piece numbers of each text, the end's at its end."""
@@ -255,15 +344,10 @@ class ByteLevelEncoder:
             cut = pa.compute.split_pattern(spaced, " ")
             offsets = cut.offsets.to_numpy()
             coded = cut.flatten().dictionary_encode()
-            uniques = coded.dictionary.to_pylist()
-            table = np.array([self.words.get(w, -1) for w in uniques], dtype=np.int64)
-            if len(fresh := np.flatnonzero(table < 0)):
-                new = [uniques[i] for i in fresh.tolist()]
-                self._learn(new)
-                table[fresh] = [self.words[w] for w in new]
+            table = self._look_up(coded.dictionary.to_pylist(), self.words, self._learn_words)
             numbers = table[coded.indices.to_numpy(zero_copy_only=False)]
-            heads = (offsets - offsets[0])[:-1]
-            numbers[heads] = [self._piece(texts[i].replace("\n", " ").split(" ", 1)[0]) for i in plain]
+            first = (offsets - offsets[0])[:-1]
+            numbers[first] = self._look_up(cut.flatten().take(pa.array(first)).to_pylist(), self.heads, self._learn_heads)
             numbers = np.insert(numbers, (offsets - offsets[0])[1:], self.end)
             if len(plain) == len(texts):
                 self.lengths = np.diff(offsets) + 1
@@ -279,7 +363,7 @@ class ByteLevelEncoder:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); every text is closed by the end id."""
-        if len(self.words) + len(self.pieces) > CACHE_ENTRIES:
+        if len(self.words) + len(self.heads) + len(self.pieces) > CACHE_ENTRIES:
             self.forget()
         numbers = np.concatenate(self._numbers(texts))
         begins = self.starts[numbers]

@@ -101,5 +101,5 @@ def equal_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     out = entries.join(stored(chains, "exact-groups"), ["key", "sha"], "left")
     return out.select(
         "id", F.coalesce("keep_id", "id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        (F.coalesce("keep_id", "id") == F.col("id")).alias("kept"), "sha",
+        F.coalesce(F.coalesce("keep_id", "id") == F.col("id"), F.coalesce("keep_id", "id").isNull()).alias("kept"), "sha",
     )

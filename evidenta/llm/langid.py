@@ -12,8 +12,8 @@ labels, whose remainder (crc32 of the id as text, modulo 4) is not HELD_OUT.  Ev
 whole text; language, source and id are never inputs of a prediction.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is
-``und``; ties go to the label that is first in code-point order; repeated rows are predicted row by row; an empty
-table gives an empty result; extra columns are ignored.
+``und``; ties go to the label that is first in code-point order; repeated rows are predicted row by row; a null id
+is not held out and never trained on; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -246,7 +246,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """(doc_id, held_out, lang_pred, score) of every row."""
     field = fit(training_sample(df, id_col, text_col, lang_col))
     small = Field(field.labels, field.weights.astype(np.float32), field.steps, field.lexicon, field.lexicon_label)
-    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), (fold(F.col(id_col)) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
+    picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold(F.col(id_col)) == HELD_OUT, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, 2):

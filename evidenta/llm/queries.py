@@ -30,7 +30,7 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Settings(words=3, over=85, under=100))
     return found.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
-        (F.col("id") == F.col("component")).alias("kept"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
     )
 
 

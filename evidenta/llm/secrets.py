@@ -7,7 +7,7 @@ owner that look live (mixed character classes, enough entropy, no placeholder wo
 tokens are added to the base spans as kind ``live``; base spans always stay.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count once as a repository (same id); a
-null owner is one owner; an empty table gives an empty result; extra columns are ignored.
+null owner is one owner; a row with a null id keeps its base spans and gets no live ones; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

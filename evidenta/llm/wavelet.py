@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import os
 import re
 import struct
@@ -276,14 +277,33 @@ class ByteLevelEncoder:
         self.pieces: dict[str, int] = {}  # of any form
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.starts, self.used, self.count = np.zeros(1 << 14, dtype=np.int64), 0, 0
+        self.seen = np.zeros(1 << 14, dtype=np.int32)  # steps that used a piece
         self.end = self._remember(np.array([self.end_id], dtype=np.uint32), [0])
 
+    def shrink(self) -> None:
+        """Forget what only one step has used: most new words never come again.  Forget all if that is not enough."""
+        ids, starts, seen = self.ids, self.starts, self.seen
+        old = {name: getattr(self, name) for name in ("words", "heads", "pieces")}
+        self.forget()
+        for name, numbers in old.items():
+            keys = [k for k, n in numbers.items() if seen[n] > 1]
+            if len(keys) > CACHE_ENTRIES // 2:
+                continue
+            kept = np.fromiter(map(numbers.__getitem__, keys), dtype=np.int64, count=len(keys))
+            sizes = starts[kept + 1] - starts[kept]
+            begins = np.cumsum(sizes) - sizes
+            at = np.arange(int(sizes.sum())) + np.repeat(starts[kept] - begins, sizes)
+            first = self._remember(ids[at], begins)
+            getattr(self, name).update(zip(keys, range(first, first + len(keys)), strict=True))
+            self.seen[first : first + len(keys)] = 1
+
     def _remember(self, ids: np.ndarray, begins: list[int] | np.ndarray) -> int:
         """Append pieces that begin at ``begins`` of ``ids``; the number of the first."""
         while self.used + len(ids) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.count + len(begins) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.empty_like(self.starts)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.ids[self.used : self.used + len(ids)] = ids
         self.starts[self.count : self.count + len(begins)] = np.asarray(begins) + self.used
         first, self.used, self.count = self.count, self.used + len(ids), self.count + len(begins)
@@ -318,11 +338,12 @@ class ByteLevelEncoder:
             into.update(zip(part, range(first, first + len(part)), strict=True))
 
     def _look_up(self, keys: list[str], into: dict[str, int], learn: Callable[[list[str]], None]) -> np.ndarray:
-        found = np.array([into.get(k, -1) for k in keys], dtype=np.int64)
+        found = np.fromiter(map(into.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
         if len(fresh := np.flatnonzero(found < 0)):
             new = [keys[i] for i in fresh.tolist()]
             learn(list(dict.fromkeys(new)))
             found[fresh] = [into[k] for k in new]
+        self.seen[found] += 1
         return found
 
     def _learn_words(self, new: list[str]) -> None:
@@ -364,7 +385,7 @@ class ByteLevelEncoder:
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); every text is closed by the end id."""
         if len(self.words) + len(self.heads) + len(self.pieces) > CACHE_ENTRIES:
-            self.forget()
+            self.shrink()
         numbers = np.concatenate(self._numbers(texts))
         begins = self.starts[numbers]
         sizes = self.starts[numbers + 1] - begins

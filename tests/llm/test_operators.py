@@ -383,3 +383,31 @@ def test_beta_prior_shrinks_towards_the_mean():
     a, b = quality.beta_prior(0.2, 0.01)
     assert a / (a + b) == pytest.approx(0.2) and a + b == pytest.approx(15)
     assert quality.beta_prior(None, None) == (0.0, 1.0) and quality.beta_prior(0.3, None) == (0.3, 0.7)
+
+
+# nulls in every column, all operators
+
+
+@pytest.fixture(scope="module")
+def nulls(spark):
+    text = " ".join(f"n{i}" for i in range(40))
+    rows = [(None, text, None, None, None), (None, None, None, None, None), (None, text, "en", "s", 1), (5, text, None, None, None), (6, None, "en", None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_null_ids_and_columns(nulls):
+    words_path, bytes_path = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
+    assert sharding.shard_documents(nulls, 3).where("shard is null or slot is null").count() == 0
+    assert mixing.mix(nulls).count() == 5 and mixing.mix(nulls).where("taken is null").count() == 0
+    assert langid.identify(nulls).where("held_out is null or lang_pred is null").count() == 0
+    assert bpe.round_trip_digests(nulls, words_path).count() == 5
+    assert secrets.find_secrets(nulls).count() == 5
+    near = minhash.near_duplicates(nulls, minhash.Settings()).collect()
+    assert len(near) == 5 and {(r["id"], r["component"]) for r in near} == {(None, None), (5, 5), (6, 6)}
+    exact = exactdedup.equal_groups(nulls).collect()
+    assert Counter((r["id"], r["kept"]) for r in exact) == Counter([(None, False), (None, False), (None, False), (5, True), (6, True)])
+    assert wavelet.round_trip(nulls, bytes_path).where("start is null").count() == 0
+    assert linededup.clean(nulls).count() == 5
+    judged = quality.judge(nulls)
+    assert judged.count() == 5 and judged.where("kept is null").count() == 0
+    assert quality.keep_good(nulls).count() == judged.where("kept").count()

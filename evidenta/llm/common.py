@@ -99,6 +99,20 @@ def steps(batches: Iterable[pa.RecordBatch], text_index: int, size: int = STEP_B
             yield batch.slice(begin, rows)
 
 
+def joined(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together until they hold about ``size`` bytes."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        held.append(batch)
+        total += batch.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def flat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words of all texts as codes: (code of each word, words per text, dictionary of the codes)."""
     flat: list[bytes] = []

@@ -1,6 +1,6 @@
 """Token-ID output as one wavelet-matrix file per shard.
 
-Documents are encoded in ascending id order, an end id closes each, and the ids of SHARD_TOKENS tokens or some more become
+Documents are encoded in ascending id order, an end id closes each, and the ids of about SHARD_TOKENS tokens become
 one file: a header, the shard's alphabet with counts and code lengths, one packed bit plane per bit of a Huffman code (tokens
 with a zero bit move before those with a one bit, stably, on the way to the next plane, and those whose code ends leave
 at the end), a rank directory over each plane, and the documents' ids and lengths.  From the file alone a reader can access any token, count a token in a range and find its
@@ -30,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import HOLDERS, arrow_map, steps, stored
+from .common import HOLDERS, arrow_map, joined, steps, stored
 
-SHARD_TOKENS = 700_000
+SHARD_TOKENS = 1 << 20
 CACHE_ENTRIES = 900_000
 #: Bytes of text that are cut into words at a time.
-ENCODE_BYTES = 4_000_000
+ENCODE_BYTES = 8_000_000
+#: New words that go to the library at a time.
+LEARN_WORDS = 100_000
 #: Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
 MAGIC = b"WVM1"
@@ -324,8 +326,8 @@ class ByteLevelEncoder:
         its own and left out.
         """
         starts = self.spaced if mark == " " else self.lined
-        for begin in range(0, len(new), 20_000):
-            part = new[begin : begin + 20_000]
+        for begin in range(0, len(new), LEARN_WORDS):
+            part = new[begin : begin + LEARN_WORDS]
             ids = np.array(self.library.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
             begins = np.flatnonzero(starts[ids])
             if len(begins) != len(part):
@@ -432,22 +434,15 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[int | None] = []
-        coded: list[np.ndarray] = []
-        lengths: list[np.ndarray] = []
-        held, seq, part = 0, 0, 0
-        for b in steps(batches, 1, ENCODE_BYTES):
-            part = b.column(2)[0].as_py()
+        seq = 0
+        for b in steps(joined(batches, ENCODE_BYTES), 1, ENCODE_BYTES):
             tokens, sizes = encoder(path, end_id).encode_all([t or "" for t in b.column(1).to_pylist()])
-            ids += b.column(0).to_pylist()
-            coded.append(tokens)
-            lengths.append(sizes)
-            held += len(tokens)
-            if held >= SHARD_TOKENS:
-                yield shard(part, seq, ids, coded, lengths)
-                ids, coded, lengths, held, seq = [], [], [], 0, seq + 1
-        if ids:
-            yield shard(part, seq, ids, coded, lengths)
+            ids, upto, begin = b.column(0).to_pylist(), np.cumsum(sizes), 0
+            while begin < len(ids):
+                base = int(upto[begin - 1]) if begin else 0
+                end = max(begin + 1, int(np.searchsorted(upto, base + SHARD_TOKENS, side="right")))
+                yield shard(b.column(2)[0].as_py(), seq, ids[begin:end], [tokens[base : upto[end - 1]]], [sizes[begin:end]])
+                begin, seq = end, seq + 1
 
     return stored(arrow_map(ordered, run, "part int, seq long, first_id long, docs long, tokens long, file binary", "wavelet"), "tokens")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidenta.functions.scalars import everything, mid_rank, seeded
+from evidenta.functions.scalars import everything, mid_rank, money, seeded
 from evidenta.plans.config import GATE
 from evidenta.runtime import ship
 
@@ -134,6 +134,56 @@ def paired_change_test(df: DataFrame, value: str, entity: str, ordinal: str, res
     return p_value(seen, drawn)
 
 
+def unpaired_change_test(df: DataFrame, value: str, ordinal: str, row_id: str, resamples: int, seed: int = GATE.seed) -> DataFrame:
+    """Relative change of means between the last two periods against rows that move between them."""
+    now, before = last_two_periods(df, ordinal)
+    rows = df.where(F.col(ordinal).isin(now, before) & F.col(value).isNotNull())
+    rows = rows.select(F.col(row_id).alias("rid"), (F.col(ordinal) == now).cast("int").alias("a"), money(F.col(value)).alias("v"))
+    placed = numbered(rows, "rid").select("rid", "i", "a", "v").persist()
+    sizes = F.broadcast(placed.agg(F.sum("a").alias("n1"), F.sum(1 - F.col("a")).alias("n0"), F.sum("v").cast("double").alias("all")).withColumn("one", F.lit(0)))
+
+    def change(sums: DataFrame) -> DataFrame:
+        sized = sums.withColumn("one", F.lit(0)).join(sizes, "one")
+        rest = (F.col("all") - F.col("t")) / F.col("n0")
+        return sized.withColumn("stat", F.round((F.col("t") / F.col("n1") - rest) / F.abs(rest), 12))
+
+    total = F.sum("v").cast("double").alias("t")
+    moved = shuffled(placed.select("rid", "a"), resamples, seed, "rid").where("a = 1").select("b", "j")
+    sums = moved.join(placed.select("i", "v"), F.col("j") == F.col("i")).groupBy("b").agg(total)
+    return p_value(change(placed.where("a = 1").agg(total)).select("stat"), change(sums).select("b", "stat"))
+
+
+def latest_change_test(df: DataFrame, value: str, ordinal: str, row_id: str, resamples: int, entity: str | None = None, seed: int = GATE.seed) -> DataFrame:
+    """The change of the last two periods: paired by entity where there is one, else rows against rows."""
+    if entity:
+        return paired_change_test(df, value, entity, ordinal, resamples, seed)
+    return unpaired_change_test(df, value, ordinal, row_id, resamples, seed)
+
+
+def drawn_units(units: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(b, unit): every resample draws as many units as there are, by the hash of (seed, resample, draw)."""
+    placed = numbered(units.select("unit").distinct(), "unit").persist()
+    n = placed.agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(0))
+    draws = replicated(placed.select(F.col("i").alias("k")), resamples).withColumn("one", F.lit(0)).join(F.broadcast(n), "one")
+    head = F.conv(F.substring(seeded(seed, F.col("b"), F.col("k")), 1, 8), 16, 10).cast("long")
+    return draws.select("b", "k", (F.pmod(head, F.col("n")) + 1).cast("int").alias("j")).join(placed, F.col("j") == F.col("i")).select("b", "k", "unit")
+
+
+def effect_interval(df: DataFrame, x: str, y: str, unit: str, resamples: int = GATE.interval_resamples, seed: int = GATE.seed, level: float = GATE.level, least_valid: float = 0.8) -> DataFrame:
+    """Percentile interval of a rank correlation; the resampled unit (row, entity or period) follows the test's null.
+
+    Ranks are taken again in every resample.  Null where fewer than 80 % of the resamples have an effect.
+    """
+    rows = df.select(F.col(unit).alias("unit"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().persist()
+    picked = drawn_units(rows, resamples, seed).join(rows, "unit")
+    r = picked.withColumn("rx", mid_rank(F.col("x"), "b")).withColumn("ry", mid_rank(F.col("y"), "b"))
+    effects = r.groupBy("b").agg(F.round(F.nanvl(F.corr("rx", "ry"), F.lit(None).cast("double")), 9).alias("e"))
+    half = (1 - level) / 2
+    out = effects.agg(F.count(F.lit(1)).alias("resamples"), F.count("e").alias("valid"), F.percentile("e", half).alias("low"), F.percentile("e", 1 - half).alias("high"))
+    enough = F.col("valid") >= least_valid * F.col("resamples")
+    return out.withColumns({"low": F.when(enough, F.col("low")), "high": F.when(enough, F.col("high"))})
+
+
 def bootstrap_mean(df: DataFrame, value: str, row_id: str, resamples: int, seed: int = GATE.seed, level: float = GATE.level) -> DataFrame:
     """Percentile interval of a mean: every resample draws n rows by the hash of (seed, resample, draw)."""
     rows = numbered(df.where(F.col(value).isNotNull()).select(F.col(row_id).alias("rid"), F.col(value).cast("double").alias("v")), "rid").select("rid", "i", "v").persist()

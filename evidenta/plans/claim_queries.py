@@ -98,6 +98,19 @@ def perm_paired(spark, d):
     return rounded(R.paired_change_test(p, "revenue", "nation", "month_no", B), 9)
 
 
+def perm_unpaired(spark, d):
+    e = table(spark, d, "events").withColumn("day", F.datediff("ts", F.lit("2024-01-01").cast("date"))).where("day < 30")
+    return rounded(R.latest_change_test(e, "value", "day", "event_id", B), 9)
+
+
+def effect_interval(spark, d):
+    return rounded(R.effect_interval(_suppliers(spark, d), "s_nationkey", "s_acctbal", "s_suppkey", B), 6)
+
+
+def effect_interval_entities(spark, d):
+    return rounded(R.effect_interval(region_month(spark, d), "units", "lines", "region", B), 6)
+
+
 def bootstrap_ci(spark, d):
     return rounded(R.bootstrap_mean(_suppliers(spark, d), "s_acctbal", "s_suppkey", B), 3)
 
@@ -206,7 +219,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         scan_correlation, scan_group_difference, scan_trend, prioritise, screen_words, split_random, split_time, split_entity, perm_free, perm_stratified,
-        perm_groups, perm_cluster, perm_paired, bootstrap_ci, bh_qvalues, bh_rejections, gate_outcomes, evidence_score, proof_invariants, power_notes, spec_hash,
+        perm_groups, perm_cluster, perm_paired, perm_unpaired, effect_interval, effect_interval_entities, bootstrap_ci, bh_qvalues, bh_rejections, gate_outcomes, evidence_score, proof_invariants, power_notes, spec_hash,
         look_ledger, data_digest, story_order, attack_trim, attack_halves, attack_control, attack_subgroups, attack_alternative, attack_detrend,
         attack_identity, skeptic_controls, fragility,
     )
@@ -254,6 +267,13 @@ def _delta_sql(body: str) -> str:
 SELECT round(stat, 9) AS statistic, resamples, extreme, round((extreme + 1) / (resamples + 1), 9) AS p_value FROM c"""
 
 
+def _interval(rows: str, with_: str = "WITH") -> str:
+    return f"""{with_} r AS ({rows}), u AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM r)),
+k AS (SELECT b, CAST('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8) AS BIGINT) % n + 1 AS j FROM u, (SELECT unnest(range({B})) AS b)), g AS (SELECT b, x, y FROM k JOIN u ON u.i = k.j JOIN r ON r.unit = u.unit),
+e AS (SELECT b, round(corr(rx, ry), 9) AS e FROM (SELECT b, {rank_sql('x', 'b')} AS rx, {rank_sql('y', 'b')} AS ry FROM g) GROUP BY 1)
+SELECT count(*) AS resamples, count(e) AS valid, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high FROM e"""
+
+
 def _rho_sql(where: str = "", source: str = "region_month", x: str = "units", y: str = "lines") -> str:
     return f"(SELECT count(*) AS n, coalesce(corr(rx, ry), 0) AS e FROM (SELECT {rank_sql(x)} AS rx, {rank_sql(y)} AS ry FROM {source} {where}))"
 
@@ -287,6 +307,12 @@ z AS (SELECT sum(CASE WHEN a = 1 THEN sr END) AS t, sum(CASE WHEN a = 1 THEN m E
     "perm_paired": _delta_sql(f"""WITH {SALES_SQL}, v AS (SELECT nation, month_no, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales WHERE month_no < 2001 * 12 + 6 GROUP BY 1, 2), l AS (SELECT max(month_no) AS now, (SELECT max(month_no) FROM v WHERE month_no < (SELECT max(month_no) FROM v)) AS bef FROM v),
 st AS (SELECT a.nation AS e, b.revenue AS v0, a.revenue - b.revenue AS step FROM v a JOIN v b ON a.nation = b.nation JOIN l ON a.month_no = now AND b.month_no = bef), sc AS (SELECT avg(v0) AS m0, count(*) AS k, sum(step) AS t FROM st),
 d AS (SELECT b, sum(step * CASE WHEN substr(md5('{SEED}:' || b || ':' || e), 1, 1) >= '8' THEN -1.0 ELSE 1.0 END) AS t FROM st, (SELECT unnest(range({B})) AS b) GROUP BY 1), o AS (SELECT round(t / k / abs(m0), 12) AS stat FROM sc), e AS (SELECT round(d.t / k / abs(m0), 12) AS stat FROM d, sc)"""),
+    "perm_unpaired": _delta_sql(f"""WITH ev AS (SELECT event_id AS rid, CAST(ts AS DATE) - DATE '2024-01-01' AS day, CAST(value AS DECIMAL(18,4)) AS v FROM events WHERE value IS NOT NULL AND CAST(ts AS DATE) - DATE '2024-01-01' < 30),
+l AS (SELECT max(day) AS now, (SELECT max(day) FROM ev WHERE day < (SELECT max(day) FROM ev)) AS bef FROM ev), r AS (SELECT rid, v, CAST(day = now AS INTEGER) AS a FROM ev, l WHERE day IN (now, bef)), p AS (SELECT *, row_number() OVER (ORDER BY rid) AS i FROM r),
+z AS (SELECT sum(a) AS n1, sum(1 - a) AS n0, CAST(sum(v) AS DOUBLE) AS al, CAST(sum(CASE WHEN a = 1 THEN v END) AS DOUBLE) AS t FROM p), s AS (SELECT b, a, row_number() OVER (PARTITION BY b ORDER BY md5('{SEED}:' || b || ':' || rid), rid) AS j FROM p, (SELECT unnest(range({B})) AS b)),
+d AS (SELECT b, CAST(sum(v) AS DOUBLE) AS t FROM s JOIN p ON p.i = s.j WHERE s.a = 1 GROUP BY 1), o AS (SELECT round((t / n1 - (al - t) / n0) / abs((al - t) / n0), 12) AS stat FROM z), e AS (SELECT round((d.t / n1 - (al - d.t) / n0) / abs((al - d.t) / n0), 12) AS stat FROM d, z)"""),
+    "effect_interval": _interval("SELECT s_suppkey AS unit, CAST(s_nationkey AS DOUBLE) AS x, s_acctbal AS y FROM supplier"),
+    "effect_interval_entities": _interval("SELECT region AS unit, units AS x, CAST(lines AS DOUBLE) AS y FROM region_month", f"{_P},"),
     "bootstrap_ci": f"""WITH p AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_suppkey) AS i, count(*) OVER () AS n FROM supplier), k AS (SELECT b, CAST('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8) AS BIGINT) % n + 1 AS j FROM p, (SELECT unnest(range({B})) AS b)),
 m AS (SELECT b, round(avg(v), 9) AS m FROM k JOIN p ON p.i = k.j GROUP BY 1) SELECT count(*) AS resamples, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m""",
     "bh_qvalues": f"WITH {_TESTED} SELECT claim_id, round(p_value, 9) AS p_value, round(q_value, 9) AS q_value, family FROM q",

@@ -81,6 +81,13 @@ def share(part: Column, whole: Column) -> Column:
     return F.when(whole != 0, part / whole)
 
 
+def safe_corr(x: Column | str, y: Column | str) -> Column:
+    """Pearson correlation; null for a constant column, where ``corr`` would divide by zero."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = lambda c: F.when(x.isNotNull() & y.isNotNull(), c)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(both(x)) * F.stddev_pop(both(y)))
+
+
 def mid_rank(value: Column, *partition: Column | str) -> Column:
     """Average rank among ties."""
     by = Window.partitionBy(*partition)

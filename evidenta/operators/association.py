@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidenta.functions.distributions import chi2_sf, f_sf, t_two_sided
-from evidenta.functions.scalars import everything, whole
+from evidenta.functions.scalars import everything, safe_corr, whole
 from evidenta.plans.config import SCAN
 
 #: Rows up to which all row pairs are compared (Kendall, Sen); longer series are compared by period means.
@@ -50,19 +50,19 @@ def running_total(levels: DataFrame, key: str, m: str) -> DataFrame:
 
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """n and r; 0 for a constant column."""
-    return pairs(df, x, y).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("pearson_r"))
+    return pairs(df, x, y).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(safe_corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("pearson_r"))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = pairs(df, x, y)
     both = ranked(ranked(rows, "x", "rx"), "y", "ry", rows)
-    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("spearman_rho"))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(safe_corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)).alias("spearman_rho"))
 
 
 def outlier_divergence(df: DataFrame, x: str, y: str) -> DataFrame:
     rows = pairs(df, x, y)
     both = ranked(ranked(rows, "x", "rx"), "y", "ry", rows)
-    return both.agg(F.abs(F.corr("x", "y") - F.corr("rx", "ry")).alias("divergence"))
+    return both.agg(F.abs(safe_corr("x", "y") - safe_corr("rx", "ry")).alias("divergence"))
 
 
 def two_groups(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
@@ -74,7 +74,7 @@ def cliffs_delta(df: DataFrame, group: str, value: str, reference: str) -> DataF
     r = ranked(two_groups(df, group, value, reference), "v", "r")
     sums = r.agg(F.sum("a").cast("double").alias("na"), F.sum(1 - F.col("a")).cast("double").alias("nb"), F.sum(F.when(F.col("a") == 1, F.col("r"))).alias("ra"))
     u = F.col("ra") - F.col("na") * (F.col("na") + 1) / 2
-    return sums.select(F.col("na").cast("long").alias("n_reference"), F.col("nb").cast("long").alias("n_other"), (2 * u / (F.col("na") * F.col("nb")) - 1).alias("cliffs_delta"))
+    return sums.select(F.col("na").cast("long").alias("n_reference"), F.col("nb").cast("long").alias("n_other"), (F.try_divide(2 * u, F.col("na") * F.col("nb")) - 1).alias("cliffs_delta"))
 
 
 def hedges_g(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
@@ -99,8 +99,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     h = sums.agg(F.sum(F.col("sr") * F.col("sr") / F.col("m")).alias("s"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("groups")).withColumn("one", F.lit(0))
     out = h.join(F.broadcast(ties.withColumn("one", F.lit(0))), "one")
     n = F.col("n")
-    corrected = (12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)) / (1 - F.col("ties") / (F.pow(n, F.lit(3)) - n))
-    return out.select(n.cast("long").alias("n"), "groups", corrected.alias("kruskal_h"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), corrected / (n - 1))).alias("epsilon_squared"))
+    spread = 1 - F.try_divide(F.col("ties"), F.pow(n, F.lit(3)) - n)
+    corrected = F.coalesce(F.try_divide(12.0 / (n * (n + 1)) * F.col("s") - 3 * (n + 1), spread), F.lit(0.0))
+    return out.select(n.cast("long").alias("n"), "groups", corrected.alias("kruskal_h"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(corrected, n - 1), F.lit(0.0)))).alias("epsilon_squared"))
 
 
 def eta_squared(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -109,13 +110,13 @@ def eta_squared(df: DataFrame, group: str, value: str) -> DataFrame:
     grand = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
     w = m.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("groups"), grand.alias("grand"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("raw"), F.sum(F.col("n") * F.col("var")).alias("within"))
     between = F.col("raw") - F.col("n") * F.col("grand") * F.col("grand")
-    return w.select("n", "groups", (between / (between + F.col("within"))).alias("eta_squared"), between.alias("between"), "within")
+    return w.select("n", "groups", F.coalesce(F.try_divide(between, between + F.col("within")), F.lit(0.0)).alias("eta_squared"), between.alias("between"), "within")
 
 
 def anova_f(df: DataFrame, group: str, value: str) -> DataFrame:
     """F of a one-way analysis of variance; the p-value comes from one row on the driver."""
     w = eta_squared(df, group, value)
-    return w.select("n", "groups", ((F.col("between") / (F.col("groups") - 1)) / (F.col("within") / (F.col("n") - F.col("groups")))).alias("f_stat"))
+    return w.select("n", "groups", F.try_divide(F.try_divide(F.col("between"), F.col("groups") - 1), F.try_divide(F.col("within"), F.col("n") - F.col("groups"))).alias("f_stat"))
 
 
 def with_p(stat: DataFrame, test: str) -> DataFrame:
@@ -134,8 +135,8 @@ def welch_t(df: DataFrame, group: str, value: str, reference: str) -> DataFrame:
     at = lambda k, c: F.max(F.when(F.col("a") == k, F.col(c)))
     w = m.agg(at(1, "mean").alias("m1"), at(0, "mean").alias("m0"), (at(1, "var") / at(1, "n")).alias("e1"), (at(0, "var") / at(0, "n")).alias("e0"), at(1, "n").alias("n1"), at(0, "n").alias("n0"))
     e = F.col("e1") + F.col("e0")
-    dof = e * e / (F.col("e1") * F.col("e1") / (F.col("n1") - 1) + F.col("e0") * F.col("e0") / (F.col("n0") - 1))
-    return w.select(((F.col("m1") - F.col("m0")) / F.sqrt(e)).alias("t_stat"), dof.alias("dof"))
+    dof = F.try_divide(e * e, F.try_divide(F.col("e1") * F.col("e1"), F.col("n1") - 1) + F.try_divide(F.col("e0") * F.col("e0"), F.col("n0") - 1))
+    return w.select(F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(e)).alias("t_stat"), dof.alias("dof"))
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -158,7 +159,7 @@ def chi_square(df: DataFrame, a: str, b: str, yates: bool = True) -> DataFrame:
     )
     dof = (F.col("rows") - 1) * (F.col("cols") - 1)
     k = F.least("rows", "cols")
-    return sums.select("n", dof.alias("dof"), F.when((dof == 1) & F.lit(yates), F.col("corrected")).otherwise(F.col("plain")).alias("chi_square"), k.alias("table_k"), F.sqrt(F.col("plain") / (F.col("n") * (k - 1))).alias("cramers_v"))
+    return sums.select("n", dof.alias("dof"), F.when((dof == 1) & F.lit(yates), F.col("corrected")).otherwise(F.col("plain")).alias("chi_square"), k.alias("table_k"), F.sqrt(F.try_divide(F.col("plain"), F.col("n") * (k - 1))).alias("cramers_v"))
 
 
 def row_pairs(df: DataFrame, x: str, y: str, row_id: str, most: int = PAIR_ROWS) -> DataFrame:
@@ -198,10 +199,10 @@ def partial_rank(df: DataFrame, x: str, y: str, z: str) -> DataFrame:
     r = rows
     for c in "xyz":
         r = ranked(r, c, f"r{c}", rows)
-    c = r.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("xy"), F.corr("rx", "rz").alias("xz"), F.corr("ry", "rz").alias("yz"))
+    c = r.agg(F.count(F.lit(1)).alias("n"), safe_corr("rx", "ry").alias("xy"), safe_corr("rx", "rz").alias("xz"), safe_corr("ry", "rz").alias("yz"))
     left = 1 - F.col("xz") * F.col("xz")
     right = 1 - F.col("yz") * F.col("yz")
-    return c.select("n", F.col("xy").alias("raw"), ((F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt(left * right)).alias("partial"), F.col("xz").alias("control_x"), F.col("yz").alias("control_y"))
+    return c.select("n", F.col("xy").alias("raw"), F.try_divide(F.col("xy") - F.col("xz") * F.col("yz"), F.sqrt(F.greatest(left * right, F.lit(0.0)))).alias("partial"), F.col("xz").alias("control_x"), F.col("yz").alias("control_y"))
 
 
 def rank_matrix(df: DataFrame, columns: list[str], least: int = SCAN.rows) -> DataFrame:
@@ -215,7 +216,7 @@ def rank_matrix(df: DataFrame, columns: list[str], least: int = SCAN.rows) -> Da
         r = rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
         for c in columns:
             r = ranked(r, c, f"rank_{c}", rows)
-        wide = r.agg(F.count(F.lit(1)).alias("n"), *[F.corr(f"rank_{a}", f"rank_{b}").alias(f"p{i}") for i, (a, b) in enumerate(duos)])
+        wide = r.agg(F.count(F.lit(1)).alias("n"), *[safe_corr(f"rank_{a}", f"rank_{b}").alias(f"p{i}") for i, (a, b) in enumerate(duos)])
         cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col("n").alias("n"), F.coalesce(F.nanvl(F.col(f"p{i}"), F.lit(0.0)), F.lit(0.0)).alias("rho")) for i, (a, b) in enumerate(duos)]
         out = wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
     else:
@@ -235,7 +236,7 @@ def lag1_autocorrelation(df: DataFrame, value: str, order: str, *partition: str)
     by = Window.partitionBy(*partition).orderBy(order)
     centred = df.withColumn("d", F.col(value) - F.avg(value).over(whole(*partition) if partition else everything()))
     paired = centred.withColumn("back", F.lag("d").over(by))
-    return paired.groupBy(*partition).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("d") * F.col("back")) / F.sum(F.col("d") * F.col("d")), F.lit(0.0)).alias("lag1"))
+    return paired.groupBy(*partition).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.try_divide(F.sum(F.col("d") * F.col("back")), F.sum(F.col("d") * F.col("d"))), F.lit(0.0)).alias("lag1"))
 
 
 def first_differences(df: DataFrame, value: str, order: str, *partition: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidenta.functions.quantiles import exact_quantile
-from evidenta.functions.scalars import everything, mid_rank, seeded
+from evidenta.functions.scalars import everything, mid_rank, safe_corr, seeded
 from evidenta.operators import association as A
 
 TRIM, OUTLIER_Z, SHRINK, SUBGROUP_ROWS, HALF_PERIODS, SUBGROUP_WEIGHT = 0.10, 3.5, 0.5, 30, 8, 0.2
@@ -34,7 +34,7 @@ def grouped_correlation(df: DataFrame, x: str, y: str, by: Column, name: str = "
     """(level, n, effect): rank correlation inside every level, ranks taken within it."""
     rows = df.select(by.cast("string").alias(name), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
     r = rows.withColumn("rx", mid_rank(F.col("x"), name)).withColumn("ry", mid_rank(F.col("y"), name))
-    return r.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.nanvl(F.corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)), 12).alias("effect"))
+    return r.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.round(F.coalesce(F.nanvl(safe_corr("rx", "ry"), F.lit(0.0)), F.lit(0.0)), 12).alias("effect"))
 
 
 def _judged(attack: str, original: DataFrame, attacked: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def identity(df: DataFrame, x: str, y: str, others: list[str]) -> DataFrame:
     z = [F.col(o).cast("double") for o in others]
     a, b = F.col(x).cast("double"), F.col(y).cast("double")
     sums = [F.max(F.abs(c - b)).alias(f"m{i}_{k}") for i, o in enumerate(z) for k, c in enumerate((a + o, a - o, o - a))]
-    row = df.where(a.isNotNull() & b.isNotNull()).agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop(b).alias("sd"), F.corr(a, b).alias("r"), *sums)
+    row = df.where(a.isNotNull() & b.isNotNull()).agg(F.count(F.lit(1)).alias("rows"), F.stddev_pop(b).alias("sd"), safe_corr(a, b).alias("r"), *sums)
     gaps = F.array(*[F.col(f"m{i}_{k}") for i in range(len(z)) for k in range(3)]) if z else F.array().cast("array<double>")
     exact = F.exists(gaps, lambda g: g <= IDENTITY * F.col("sd")) | (F.abs("r") >= 1 - IDENTITY**2)
     return row.select(F.lit("identity").alias("attack"), "rows", F.when(F.coalesce(exact, F.lit(False)), "broken").otherwise("survived").alias("outcome"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidenta.functions.scalars import close, everything, seeded
+from evidenta.functions.scalars import close, everything, safe_corr, seeded
 from evidenta.operators.attacks import robust_scores
 from evidenta.runtime import ship
 
@@ -146,7 +146,7 @@ def leakage_lint(df: DataFrame, target: str, numeric: list[str], tolerance: floa
         x = F.col(c).cast("double")
         if lines[f"s{i}"] is not None:
             cells.append((c, "line", F.avg(close(F.lit(lines[f"s{i}"]) * x + F.lit(lines[f"t{i}"]), y, tolerance).cast("int"))))
-        cells.append((c, "unique_id", F.when(F.min((x % 1 == 0).cast("int")) == 1, F.count_distinct(x) / F.count(x)).otherwise(0.0)))
+        cells.append((c, "unique_id", F.when(F.min((x % 1 == 0).cast("int")) == 1, F.try_divide(F.count_distinct(x), F.count(x))).otherwise(0.0)))
         for o in numeric:
             if o == c:
                 continue
@@ -239,8 +239,8 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     left = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(pairs("n").alias("left")).withColumn("one", F.lit(0))
     right = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(pairs("n").alias("right")).withColumn("one", F.lit(0))
     row = both.join(F.broadcast(left), "one").join(F.broadcast(right), "one")
-    expected = F.col("left") * F.col("right") / (F.col("total") * (F.col("total") - 1) / 2)
-    return row.select("total", ((F.col("both") - expected) / ((F.col("left") + F.col("right")) / 2 - expected)).alias("ari"))
+    expected = F.try_divide(F.col("left") * F.col("right"), F.col("total") * (F.col("total") - 1) / 2)
+    return row.select("total", F.coalesce(F.try_divide(F.col("both") - expected, (F.col("left") + F.col("right")) / 2 - expected), F.lit(1.0)).alias("ari"))
 
 
 def isolation_trees(sample: np.ndarray, trees: int, seed: int) -> list:
@@ -306,7 +306,7 @@ def components(df: DataFrame, features: list[str], nulls: int = 20, quantile: fl
     """
     p = len(features)
     duos = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    row = df.dropna(subset=features).agg(F.count(F.lit(1)).alias("n"), *[F.corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"r{i}_{j}") for i, j in duos]).first()
+    row = df.dropna(subset=features).agg(F.count(F.lit(1)).alias("n"), *[safe_corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"r{i}_{j}") for i, j in duos]).first()
     matrix = np.eye(p)
     for i, j in duos:
         matrix[i, j] = matrix[j, i] = row[f"r{i}_{j}"] or 0.0

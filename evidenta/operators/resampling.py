@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidenta.functions.scalars import everything, mid_rank, money, seeded
+from evidenta.functions.scalars import everything, mid_rank, money, safe_corr, seeded
 from evidenta.plans.config import GATE
 from evidenta.runtime import ship
 
@@ -177,7 +177,7 @@ def effect_interval(df: DataFrame, x: str, y: str, unit: str, resamples: int = G
     rows = df.select(F.col(unit).alias("unit"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().persist()
     picked = drawn_units(rows, resamples, seed).join(rows, "unit")
     r = picked.withColumn("rx", mid_rank(F.col("x"), "b")).withColumn("ry", mid_rank(F.col("y"), "b"))
-    effects = r.groupBy("b").agg(F.round(F.nanvl(F.corr("rx", "ry"), F.lit(None).cast("double")), 9).alias("e"))
+    effects = r.groupBy("b").agg(F.round(F.nanvl(safe_corr("rx", "ry"), F.lit(None).cast("double")), 9).alias("e"))
     half = (1 - level) / 2
     out = effects.agg(F.count(F.lit(1)).alias("resamples"), F.count("e").alias("valid"), F.percentile("e", half).alias("low"), F.percentile("e", 1 - half).alias("high"))
     enough = F.col("valid") >= least_valid * F.col("resamples")

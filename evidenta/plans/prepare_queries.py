@@ -82,7 +82,7 @@ def column_brief(spark, d):
 
 def rollup_panel(spark, d):
     s = sales(spark, d).withColumn("discount", F.col("discount").cast("double"))
-    return rounded(P.rollup(s, "month", "region", ["revenue", "units"], ["discount"], ["nation"]), 4)
+    return rounded(P.rollup(s, "month", "region", ["revenue", "units"], ["discount"], ["nation"]), 9)
 
 
 def histogram(spark, d):
@@ -164,8 +164,8 @@ SELECT c AS column_name, 'outliers' AS kind, rows FROM o WHERE n >= 30 AND (rows
 UNION ALL SELECT c, 'skewed', n FROM p WHERE n >= 30 AND abs(skew) >= 2
 UNION ALL SELECT c, CASE WHEN missing / (n + missing) >= 0.2 THEN 'high_missing' ELSE 'some_missing' END, missing FROM p WHERE missing / (n + missing) >= 0.05
 UNION ALL SELECT c, 'possible_missing_code', k FROM s WHERE k >= 3 AND k / n >= 0.01 AND n - k >= 20 AND 9999 > hi + greatest(1, 0.25 * (hi - lo))""",
-    "rollup_panel": f"""WITH {SALES_SQL} SELECT month, region, round(CAST(sum(revenue) AS DOUBLE), 4) AS revenue, round(CAST(sum(CAST(units AS DECIMAL(18,4))) AS DOUBLE), 4) AS units,
-round(avg(discount), 4) AS discount, CASE WHEN min(nation) = max(nation) THEN min(nation) END AS nation, count(*) AS lines FROM sales GROUP BY 1, 2""",
+    "rollup_panel": f"""WITH {SALES_SQL} SELECT month, region, round(CAST(sum(revenue) AS DOUBLE), 9) AS revenue, round(CAST(sum(CAST(units AS DECIMAL(18,4))) AS DOUBLE), 9) AS units,
+round(avg(discount), 9) AS discount, CASE WHEN min(nation) = max(nation) THEN min(nation) END AS nation, count(*) AS lines FROM sales GROUP BY 1, 2""",
     "histogram": """WITH e AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, least(12, count(DISTINCT o_totalprice)) AS bins FROM orders),
 b AS (SELECT least(bins, CAST(floor((o_totalprice - lo) / ((hi - lo) / bins)) AS INTEGER) + 1) AS bin, lo, hi, bins FROM orders, e)
 SELECT CAST(bin AS INTEGER) AS bin, round(lo + (bin - 1) * ((hi - lo) / bins), 4) AS low, round(lo + bin * ((hi - lo) / bins), 4) AS high, count(*) AS n FROM b GROUP BY bin, lo, hi, bins""",

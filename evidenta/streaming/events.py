@@ -18,9 +18,15 @@ def event_stream(spark: SparkSession, path: str, schema: str, per_trigger: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
+def _marked(events: DataFrame, time: str, late: str) -> DataFrame:
+    """Event time as an instant (watermarks need one), with a watermark on streams."""
+    timed = events.withColumn(time, F.col(time).cast("timestamp"))
+    return timed.withWatermark(time, late) if events.isStreaming else timed
+
+
 def window_totals(events: DataFrame, time: str = "ts", by: str = "event_type", value: str = "value", late: str = LATE, window: str = WINDOW) -> DataFrame:
     """(window start, group, n, total) of tumbling windows."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = _marked(events, time, late)
     return marked.groupBy(F.window(time, window).alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(money(F.col(value))).cast("double").alias("total")).select(
         F.col("w.start").alias("window_start"), by, "n", "total"
     )
@@ -28,7 +34,7 @@ def window_totals(events: DataFrame, time: str = "ts", by: str = "event_type", v
 
 def sessions(events: DataFrame, time: str = "ts", user: str = "user_id", gap: str = GAP, late: str = LATE) -> DataFrame:
     """(user, start, end, n) of sessions that end after ``gap`` without an event."""
-    marked = events.withWatermark(time, late) if events.isStreaming else events
+    marked = _marked(events, time, late)
     return marked.groupBy(F.session_window(time, gap).alias("s"), user).agg(F.count(F.lit(1)).alias("n")).select(user, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 

@@ -148,11 +148,12 @@ def period_outliers(df: DataFrame, period: str, measure: str) -> DataFrame:
 def row_outliers(df: DataFrame, keys: list[str], segment: str, measure: str, cutoff: float = EXACT.robust_z) -> DataFrame:
     """Rows whose log ratio to the median of their segment's positive values is an outlier.
 
-    The medians come from bracketed selection, so neither a segment nor the table is gathered in one task.
+    The medians come from bracketed selection, so neither a segment nor the table is gathered in one task.  The narrow
+    rows are read several times and are persisted (memory, then disk).
     """
-    rows = df.select(*keys, label(F.col(segment)).alias("segment"), F.col(measure).cast("double").alias("value")).where("value > 0")
+    rows = df.select(*keys, label(F.col(segment)).alias("segment"), F.col(measure).cast("double").alias("value")).where("value > 0").persist()
     medians = exact_quantile(rows, "value", 0.5, ["segment"], "segment_median").select(F.col("segment").alias("s"), "segment_median")
-    logs = rows.join(medians, F.col("segment") == F.col("s")).withColumn("ratio", F.log(F.col("value") / F.col("segment_median")))
+    logs = rows.join(medians, F.col("segment") == F.col("s")).withColumn("ratio", F.log(F.col("value") / F.col("segment_median"))).persist()
     centre = exact_quantile(logs, "ratio", 0.5, None, "q").first()
     if centre is None:
         return logs.select(*keys, "segment", "value", "segment_median", F.lit(None).cast("double").alias("z")).limit(0)

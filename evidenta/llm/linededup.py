@@ -5,7 +5,7 @@ boundary: after a line whose rolling hash (over the hashes of WINDOW lines) is d
 of a line of HEAVY_WORDS words or more.  Chunks are counted over the whole corpus by a 64-bit hash; those that occur
 again are compared by their bytes, and each chunk keeps its first occurrence (smallest id, then place).  A run of
 consecutive later occurrences that together hold MIN_WORDS words is a repeated passage and is removed; shorter
-repeats (headings, licence lines) stay.
+repeats (headings, licence lines) stay.  Chunks without a word are not counted: they break no run and stay in the text.
 
 Defined cases: a null text stays null; an empty text has one empty line and loses nothing; rows that share an id are
 one document, and rows with a null id lose nothing; ties fall to the smaller place; an empty table gives an empty
@@ -70,10 +70,14 @@ def chunks(text: Column) -> Column:
 
 
 def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, chunk, key, digest, words) of every chunk of every document with an id."""
+    """(id, nth, place, chunk, words, key) of every chunk with a word of every document with an id.
+
+    ``place`` counts all chunks of the document, ``nth`` those that hold a word.
+    """
     picked = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    flat = picked.select("id", F.posexplode(chunks(F.col("text"))).alias("place", "chunk"))
-    return flat.withColumn("key", F.xxhash64("chunk")).withColumn("words", word_count(F.col("chunk"))).where("words > 0")
+    placed = F.transform(chunks(F.col("text")), lambda x, k: F.struct(k.alias("place"), x.alias("chunk"), word_count(x).alias("words")))
+    flat = picked.select("id", F.posexplode(F.filter(placed, lambda x: x["words"] > 0)).alias("nth", "x"))
+    return flat.select("id", "nth", "x.place", "x.chunk", "x.words").withColumn("key", F.xxhash64("chunk"))
 
 
 def place_rank(id_col: Column, place: Column) -> Column:
@@ -84,7 +88,7 @@ def place_rank(id_col: Column, place: Column) -> Column:
 def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, removed array<int>, removed_words) of the documents that hold repeated passages."""
     found = occurrences(df, id_col, text_col)
-    narrow = stored(found.select("id", "place", "key", F.md5("chunk").alias("digest"), "words"), "line-chunks")
+    narrow = stored(found.select("id", "nth", "place", "key", F.md5("chunk").alias("digest"), "words"), "line-chunks")
     again = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     compared = may_contain(found.select("id", "place", "key", "chunk"), "key", candidate_filter(again, "key"))
     firsts = (
@@ -94,9 +98,9 @@ def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         .select("key", F.md5("chunk").alias("digest"), "first")
     )
     later = narrow.join(stored(firsts, "line-firsts"), ["key", "digest"]).where(place_rank(F.col("id"), F.col("place")) > F.col("first"))
-    by_place = Window.partitionBy("id").orderBy("place")
-    # Chunks without a word were left out, so a run is consecutive among the chunks that have words only if places are.
-    runs = later.select("id", "place", "words").distinct().withColumn("run", F.col("place") - F.row_number().over(by_place))
+    by_place = Window.partitionBy("id").orderBy("nth")
+    # Consecutive among the chunks that hold words, so that blank lines between paragraphs break no run.
+    runs = later.select("id", "nth", "place", "words").distinct().withColumn("run", F.col("nth") - F.row_number().over(by_place))
     in_run = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "run")))
     return (
         in_run.where(F.col("run_words") >= MIN_WORDS)

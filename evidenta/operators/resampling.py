@@ -5,7 +5,7 @@ engine.  Ranks are taken once: a permutation of values permutes their ranks, so
 A p-value is (1 + extreme resamples) / (resamples + 1), two-sided with a tolerance of 1e-12.
 
 ``*_test`` functions run as DataFrame operations.  ``fast_rank_test`` spreads resamples of a short series over Python
-workers with NumPy, for the production count of resamples.
+workers with NumPy, for the production count of resamples; ``spread_rank_test`` spreads the rows, for whole tables.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidenta.functions.scalars import everything, mid_rank, money, safe_corr, seeded
+from evidenta.operators.association import ranked
 from evidenta.plans.config import GATE
 from evidenta.runtime import ship
 
@@ -248,3 +249,57 @@ def fast_rank_test(df: DataFrame, x: str, y: str, resamples: int = GATE.resample
     parts = df.sparkSession.range(0, chunks, 1, min(chunks, df.sparkSession.sparkContext.defaultParallelism))
     total = parts.mapInPandas(run, "resamples long, extreme long").agg(F.sum("resamples").alias("resamples"), F.sum("extreme").alias("extreme"))
     return total.select(F.lit(observed).alias("statistic"), "resamples", "extreme", ((F.col("extreme") + 1) / (F.col("resamples") + 1)).alias("p_value"))
+
+
+#: Rows of a block while the table has few of them, most blocks, and most distinct values of x, which reach the driver.
+BLOCK_ROWS, MAX_BLOCKS, MAX_LEVELS = 4096, 4096, 10_000
+
+
+def _dealt(levels: np.ndarray, sizes: np.ndarray, block: int, seed: int, b: int) -> np.ndarray:
+    """How many of each level fall into a block in resample b: halves of the blocks draw without replacement, down to one."""
+    low, high, node = 0, len(sizes), 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        rng = np.random.Generator(np.random.Philox(key=[seed, node], counter=[0, 0, 0, b]))
+        left = rng.multivariate_hypergeometric(levels, int(sizes[low:mid].sum()), method="marginals")
+        if block < mid:
+            levels, high, node = left, mid, 2 * node
+        else:
+            levels, low, node = levels - left, mid, 2 * node + 1
+    return levels
+
+
+def spread_rank_test(df: DataFrame, x: str, y: str, row_id: str, resamples: int = GATE.resamples, seed: int = GATE.seed) -> DataFrame:
+    """Rank correlation of a whole table against free shuffles of an ``x`` with at most MAX_LEVELS distinct values.
+
+    Rows are dealt to blocks by a hash of their id.  In resample b every block draws its share of x's levels (all tasks
+    agree on it without talking to each other, see ``_dealt``) and shuffles it over its rows, which is one uniform
+    permutation of the table.  Only x's levels and the sizes of the blocks reach the driver.
+    """
+    ship(df.sparkSession)
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(row_id).alias("rid")).dropna(subset=["x", "y"])
+    r = ranked(ranked(rows, "x", "rx", rows), "y", "ry", rows).select("rid", "rx", "ry").persist()
+    found = sorted((v["rx"], v["m"]) for v in r.groupBy("rx").agg(F.count(F.lit(1)).alias("m")).limit(MAX_LEVELS + 1).collect())
+    if len(found) > MAX_LEVELS:
+        raise ValueError(f"{x} has more than {MAX_LEVELS} distinct values")
+    values, levels = np.array([v for v, _ in found], dtype=float), np.array([m for _, m in found], dtype=np.int64)
+    blocks = max(1, min(MAX_BLOCKS, -(-int(levels.sum()) // BLOCK_ROWS)))
+    placed = r.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, dtype=np.int64)
+    for v in placed.groupBy("block").agg(F.count(F.lit(1)).alias("m")).collect():
+        sizes[v["block"]] = v["m"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        block, ry = int(part["block"].iloc[0]), np.sort(part["ry"].to_numpy(float))
+        sums = np.empty(resamples)
+        for b in range(resamples):
+            rx = np.repeat(values, _dealt(levels, sizes, block, seed, b))
+            rng = np.random.Generator(np.random.Philox(key=[seed, 0], counter=[0, 0, block, b]))
+            rng.shuffle(rx)
+            sums[b] = rx @ ry
+        return pd.DataFrame({"b": np.arange(resamples, dtype=np.int32), "t": sums})
+
+    moments = F.broadcast(_rank_moments(r).withColumn("one", F.lit(0)))
+    seen = r.agg(F.sum(F.col("rx") * F.col("ry")).alias("t")).withColumn("one", F.lit(0)).join(moments, "one").select(_rho(F.col("t")).alias("stat"))
+    totals = placed.select("block", "ry").groupBy("block").applyInPandas(run, "b int, t double").groupBy("b").agg(F.sum("t").alias("t"))
+    return p_value(seen, totals.withColumn("one", F.lit(0)).join(moments, "one").select("b", _rho(F.col("t")).alias("stat")))

@@ -9,7 +9,7 @@ from evidenta.operators import models as M
 from evidenta.operators import prepare as P
 from evidenta.operators import series as T
 from evidenta.operators import statements as X
-from evidenta.operators.resampling import fast_rank_test
+from evidenta.operators.resampling import spread_rank_test
 from evidenta.plans.exact_queries import rounded
 from evidenta.plans.views import SALES_SQL, region_month, sales, table
 from evidenta.streaming import events as W
@@ -137,7 +137,7 @@ def interval_coverage(spark, d):
 
 
 def perm_fast(spark, d):
-    return fast_rank_test(table(spark, d, "customer").where("c_custkey <= 1500"), "c_nationkey", "c_acctbal")
+    return spread_rank_test(table(spark, d, "customer"), "c_nationkey", "c_acctbal", "c_custkey")
 
 
 def _orders_model(spark, d):

@@ -11,7 +11,7 @@ from evidenta.operators import series as T
 from evidenta.operators import statements as X
 from evidenta.operators.resampling import spread_rank_test
 from evidenta.plans.exact_queries import rounded
-from evidenta.plans.views import SALES_SQL, region_month, sales, table
+from evidenta.plans.views import SALES_SQL, region_month, sales, table, whole_months
 from evidenta.streaming import events as W
 
 
@@ -112,7 +112,7 @@ def seasonality_test(spark, d):
 
 
 def forecast_backtest(spark, d):
-    return rounded(T.backtests(region_month(spark, d).where("month_no < 2001 * 12 + 6"), "region", "month_no", "revenue"), 6)
+    return rounded(T.backtests(whole_months(region_month(spark, d), spark, d), "region", "month_no", "revenue"), 6)
 
 
 def forecast_naive_backtest(spark, d):
@@ -125,15 +125,15 @@ def forecast_naive_backtest(spark, d):
 
 
 def forecast_loss_test(spark, d):
-    return rounded(T.loss_tests(region_month(spark, d).where("month_no < 2001 * 12 + 6"), "region", "month_no", "revenue"), 9)
+    return rounded(T.loss_tests(whole_months(region_month(spark, d), spark, d), "region", "month_no", "revenue"), 9)
 
 
 def forecast_checks(spark, d):
-    return T.checks(region_month(spark, d).where("month_no < 2001 * 12 + 6"), "region", "month_no", "revenue")
+    return T.checks(whole_months(region_month(spark, d), spark, d), "region", "month_no", "revenue")
 
 
 def interval_coverage(spark, d):
-    return rounded(T.coverages(region_month(spark, d).where("month_no < 2001 * 12 + 6"), "region", "month_no", "revenue"), 9)
+    return rounded(T.coverages(whole_months(region_month(spark, d), spark, d), "region", "month_no", "revenue"), 9)
 
 
 def perm_fast(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidenta.functions.scalars import money, month_key, month_no
+from evidenta.operators.exact import incomplete_last_period
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +50,12 @@ def month_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def whole_months(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``df`` without the last month of the orders, if that one is incomplete."""
+    last = incomplete_last_period(month_series(spark, sf_dir)).where("incomplete").select(F.col("latest").alias("cut_month"))
+    return df.join(F.broadcast(last), F.col("month_no") == F.col("cut_month"), "left_anti")
+
+
 #: The same views for the cross-engine checks.
 SALES_SQL = """sales AS (
   SELECT l_orderkey AS order_id, l_linenumber AS line_no, o_orderdate AS order_date, strftime(o_orderdate, '%Y-%m') AS month,

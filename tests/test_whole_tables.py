@@ -1,7 +1,10 @@
 """Registered queries and tests that have to cover their whole table."""
 
+import os
+
 import numpy as np
 import pandas as pd
+import pytest
 
 from evidenta.operators import resampling as R
 from evidenta.plans import insight_queries as Q
@@ -39,3 +42,25 @@ def test_blocks_share_every_level_out():
     for b in range(20):
         parts = [R._dealt(levels, sizes, k, 7, b) for k in range(5)]
         assert [p.sum() for p in parts] == list(sizes) and (sum(parts) == levels).all()
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_only_an_incomplete_last_month_goes(spark, monkeypatch):
+    """July 2001 is whole and stays; August 2001 is a stub and goes; a later whole month would stay."""
+    from evidenta.plans import views
+
+    series = views.month_series(spark, SF).toPandas().sort_values("month_no")
+    assert series["month"].iloc[-2:].tolist() == ["2001-07", "2001-08"]
+    panel = views.region_month(spark, SF)
+    got = {r["month"] for r in views.whole_months(panel, spark, SF).select("month").distinct().collect()}
+    assert got == {r["month"] for r in panel.select("month").distinct().collect()} - {"2001-08"}
+    seen = {}
+    monkeypatch.setattr(Q.T, "backtests", lambda df, *a: seen.setdefault("last", df.agg({"month_no": "max"})))
+    monkeypatch.setattr(Q, "rounded", lambda df, n: df)
+    assert Q.forecast_backtest(spark, SF).first()[0] == 2001 * 12 + 6
+    whole = series[series["month"] < "2001-08"]
+    monkeypatch.setattr(views, "month_series", lambda *a: spark.createDataFrame(whole))
+    assert {r["month"] for r in views.whole_months(panel, spark, SF).select("month").distinct().collect()} >= {"2001-07", "2001-08"}

@@ -3,7 +3,8 @@
 Every text is scanned for candidate spans: three base kinds (assignments, access keys, long hex runs) and bare
 high-entropy tokens.  Candidate values are hashed and aggregated over the whole corpus by distinct repositories
 (documents) and owners (sources).  Values that several owners hold are widely copied examples; values of a single
-owner that look live (mixed character classes, enough entropy, no placeholder words) are credentials.  Live bare
+owner that look live (mixed character classes, enough entropy, no placeholder words) are credentials.  The count of repositories
+has no part in the verdict, so a token that many documents of one owner copy counts as live in each.  Live bare
 tokens are added to the base spans as kind ``live``; base spans always stay.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows count once as a repository (same id); a

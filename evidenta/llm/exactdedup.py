@@ -2,10 +2,10 @@
 
 Texts are compared without white space.  The index holds one narrow entry per document (64-bit key, SHA-256, length)
 as files in the shared folder.  The keys' leading bits index a directory: a bucket with more keys than fit splits and
-the directory doubles, to at most 2**MAX_DEPTH slots; a bucket that is still overfull chains.  Owner tasks each take a
-range of the directory's key space.  Keys with a single entry are unique.  For the others the texts themselves are
-grouped by their bytes (with a map-side combine, so that a text that a third of all rows copy leaves each task once),
-and texts that share a key but not their bytes are chained apart.
+the directory doubles, to at most 2**MAX_DEPTH slots; a bucket that is still overfull keeps that depth.  Of
+the directory only the keys with more than one entry are read back, for a bitmap; keys with a single entry are unique.
+For the others the texts themselves are grouped by key and bytes in a plain hash aggregation (with a map-side combine,
+so that a text that a third of all rows copy leaves each task once); no task owns a range of buckets or follows a chain.
 
 Defined cases: a null text counts as empty, and empty texts are equal to each other; of equal texts the longest
 original and then the smallest id stays; rows with a null id never stay for another row; repeated rows are members of
@@ -78,7 +78,7 @@ def rank_id(ranked: Column) -> Column:
 
 
 def shared_keys(entries: DataFrame) -> DataFrame:
-    """Keys with more than one entry, by bucket range in the shared folder: what owner tasks have to compare."""
+    """Keys with more than one entry, by bucket range in the shared folder: what has to be compared."""
     keys = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("entries")), "exact-keys")
     slots = F.broadcast(directory(keys))  # at most 2**MAX_DEPTH rows
     owned = keys.withColumn("slot", slot(F.col("key"))).join(slots, "slot")

@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (local tests) is a folder of this machine set.
+    Only a session without executors of its own (local mode, as in tests) may leave it unset; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "evidenta-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/evidenta-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/evidenta-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the intermediate tables that this application has written; results read from them are gone with them."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        for found in jvm.org.apache.hadoop.fs.Path(path).getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(path + "*")) or []:
+            found.getPath().getFileSystem(conf).delete(found.getPath(), True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -125,32 +141,72 @@ def flat_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), counts, coded.dictionary
 
 
-#: Positions of a candidate filter: 2**22 bits in 128 rows of 4 KB, 512 KB whatever the input.
-FILTER_BITS = 22
+#: Bits of a candidate filter: at least LEAST_BITS, then FILTER_SPARE bits per key (about 6 % of other hashes pass).
+#: A filter of more than BROADCAST_BITS (32 MB) is not broadcast; its keys are joined instead.
+LEAST_BITS, FILTER_SPARE, BROADCAST_BITS = 22, 16, 28
 
 
-def candidate_filter(keys: DataFrame, hash_col: str) -> DataFrame:
-    """A bitmap of the hashes' low bits, at most 128 rows of 4 KB, which is what makes it safe to broadcast.
+@dataclass(frozen=True)
+class KeyFilter:
+    """Tells the rows whose hash is among ``keys``: by a bitmap of the hashes' low bits, which lets through every key
+    and few others, or (with too many keys to broadcast one) by the keys themselves."""
 
-    It lets through every hash of ``keys`` and few others; with many keys it lets through more, never less.
-    """
-    slot = F.pmod(F.col(hash_col), F.lit(1 << FILTER_BITS)) + 1
-    return keys.groupBy(F.bitmap_bucket_number(slot).alias("filter_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("filter_bits")
-    )
+    keys: DataFrame
+    bits: int
+    bitmap: DataFrame | None
 
 
-def may_contain(df: DataFrame, hash_col: str, bitmap: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose hash the filter lets through, without a shuffle."""
-    slot = F.pmod(F.col(hash_col), F.lit(1 << FILTER_BITS))
+def candidate_filter(keys: DataFrame, hash_col: str) -> KeyFilter:
+    """A filter of the hashes in ``keys``, sized by their number; ``keys`` is read twice, so it should be stored."""
+    bits = max(LEAST_BITS, (FILTER_SPARE * keys.count()).bit_length())
+    known = keys.select(F.col(hash_col).alias("filter_key"))
+    if bits > BROADCAST_BITS:
+        return KeyFilter(known.distinct(), bits, None)
+    slot = F.pmod(F.col("filter_key"), F.lit(1 << bits)) + 1
+    bitmap = known.groupBy(F.bitmap_bucket_number(slot).alias("filter_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("filter_bits")
+    )
+    return KeyFilter(known, bits, bitmap)
+
+
+def marked(df: DataFrame, hash_col: str, keys: KeyFilter, mark: str) -> DataFrame:
+    """``df`` with a boolean column ``mark``: false only for rows whose hash is certainly not among the keys."""
+    if keys.bitmap is None:
+        known = keys.keys.withColumn("filter_hit", F.lit(True))
+        return (
+            df.join(known, F.col(hash_col) == F.col("filter_key"), "left")
+            .withColumn(mark, F.coalesce("filter_hit", F.lit(False)))
+            .drop("filter_key", "filter_hit")
+        )
+    slot = F.pmod(F.col(hash_col), F.lit(1 << keys.bits))
     probed = df.withColumn("filter_slot", slot).join(
-        F.broadcast(bitmap), F.shiftright("filter_slot", 15) + 1 == F.col("filter_bucket")
+        F.broadcast(keys.bitmap), F.shiftright("filter_slot", 15) + 1 == F.col("filter_bucket"), "left"
     )
     at = F.col("filter_slot").bitwiseAND(F.lit(32767)).cast("int")
     byte = F.conv(F.hex(F.substring("filter_bits", F.shiftright(at, 3) + F.lit(1), F.lit(1))), 16, 10).cast("int")
-    bit = F.expr("1").cast("int")
-    hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(bit) == 1
-    return probed.where(hit).drop("filter_slot", "filter_bucket", "filter_bits")
+    hit = F.call_function("shiftright", byte, at.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    return probed.withColumn(mark, F.coalesce(hit, F.lit(False))).drop("filter_slot", "filter_bucket", "filter_bits")
+
+
+def may_contain(df: DataFrame, hash_col: str, keys: KeyFilter) -> DataFrame:
+    """The rows of ``df`` whose hash the filter lets through; without a shuffle where the filter is a bitmap."""
+    return marked(df, hash_col, keys, "filter_mark").where("filter_mark").drop("filter_mark")
+
+
+#: At most so many keys are heavy: each of them has more than a HEAVY_KEYS-th of all counted rows.
+HEAVY_KEYS = 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, rows: int) -> DataFrame:
+    """``left`` left-joined to ``right`` (one row per key, with the key's number of rows), whatever the skew.
+
+    The at most HEAVY_KEYS keys that hold more than a HEAVY_KEYS-th of ``rows`` are broadcast; a task of the shuffled
+    join then meets no key with more rows than that.  ``left`` is read twice, so it should be stored.
+    """
+    least = max(1000, rows // HEAVY_KEYS)
+    heavy = right.where(F.col(count_col) > least)
+    others = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(count_col) <= least), keys, "left")
+    return left.join(F.broadcast(heavy), keys).unionByName(others)
 
 
 def bucket_count(rows: int, per_bucket: int, least: int = 64, most: int = 1 << 20) -> int:

@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds (Kiveris et al., 2014).
 
-No neighbourhood is ever collected: each round is a minimum per node (with a map-side combine) and a join, so a hub
-with a third of all links is split like any skewed join.  Each round is written to the shared folder.
+No neighbourhood is ever collected: each round is a minimum per node (with a map-side combine) and a join that
+broadcasts the counted minima of hubs, so a hub with a third of all links is spread over all tasks.  Each round is
+written to the shared folder.
 """
 
 from __future__ import annotations
@@ -9,25 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import join_counted, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _least(sides: DataFrame) -> DataFrame:
+    """(a, least, n): the least neighbour of every node and how many rows it has."""
+    return sides.groupBy("a").agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("n"))
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the least of the node and its neighbours."""
     sides = _both_ways(edges)
-    least = sides.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("least"))
-    return sides.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    joined = join_counted(sides.where("b > a"), _least(sides), ["a"], "n", 2 * links)
+    return joined.select(F.col("b").alias("a"), F.least(F.col("a"), F.col("least")).alias("b"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the least of these."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("least"))
-    moved = down.join(least.withColumnRenamed("a", "node"), F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    least = _least(down)
+    moved = join_counted(down, least, ["a"], "n", links).select(F.col("b").alias("a"), F.col("least").alias("b"))
     return moved.union(least.select("a", F.col("least").alias("b")))
 
 
@@ -40,8 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = _state(now)
     while before[0]:
-        starred = _small_star(_large_star(now).where("a <> b").distinct()).where("a <> b").distinct()
-        now = stored(starred, "links")
+        large = _large_star(now, before[0]).where("a <> b").distinct()
+        now = stored(_small_star(large, before[0]).where("a <> b").distinct(), "links")
         after = _state(now)
         if after == before:
             break

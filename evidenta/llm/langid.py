@@ -1,19 +1,24 @@
 """Language identification by a linear-chain conditional random field over words.
 
-Every word of a text gets a language label by forward-backward.  A word's score for a label is the sum of the
-weights of its features: character n-grams (1 to 4, with word boundaries), affixes (the n-grams that touch a
+Every word of a text gets a language label by forward-backward over the whole text.  A word's score for a label is the
+sum of the weights of its features: character n-grams (1 to 4, with word boundaries), affixes (the n-grams that touch a
 boundary), and a lexicon (the word itself, and the label that dominates it in the training sample).  Label
 transitions are learned with the weights, from training chains that splice spans of texts in different languages, so
 that code-switched text is labelled word by word.  A document's language is the label with the most expected words;
 its score is that label's share.
 
+Texts are worked in blocks of BLOCK words only to do many at once: a block's transfer matrix carries the messages of
+forward-backward over its edges, so the marginals are those of one unbroken chain.
+
 The field is fitted on the driver on a bounded sample: at most TRAIN_DOCS labelled documents, dealt evenly over
-labels, whose remainder (crc32 of the id as text, modulo 4) is not HELD_OUT.  Every document is predicted from its
-whole text; language, source and id are never inputs of a prediction.
+labels, of each at most TRAIN_CHARS characters, whose remainder (crc32 of the id as text, modulo 4) is not HELD_OUT.
+Every document is predicted from its whole text; language, source and id are never inputs of a prediction.
 
-Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row every text is
-``und``; ties go to the label that is first in code-point order; repeated rows are predicted row by row; a null id
-is not held out and never trained on; an empty table gives an empty result; extra columns are ignored.
+Defined cases: a text without a letter (null, empty, or of digits and number signs alone) is ``und`` with score 0, and
+only words that hold a letter count; without any labelled row every text is ``und``; ties go to the label that is first
+in code-point order; repeated rows, and rows that share an id, are predicted row by row; a very long text is one
+chain, held in one task with a few dozen bytes per word; a null id is not held out and never trained on; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +39,10 @@ from .common import arrow_map, mix64, steps
 TRAIN_DOCS = 2400
 HELD_OUT = 2
 UNKNOWN = "und"
-#: Words of a chain; longer texts are chains of this many words one after another.
-CHAIN = 128
+#: Characters of a training text that are used (a bound on what the driver collects; predictions use whole texts).
+TRAIN_CHARS = 20_000
+#: Words of a block, and words that one vectorised pass takes at a time.
+BLOCK, PASS_WORDS = 512, 1 << 19
 HASH_BITS = 18
 LEXICON_WORDS = 20_000
 LEXICON_SHARE = 0.8
@@ -99,24 +106,61 @@ class Field:
         return np.stack([np.bincount(owners, self.weights[slots, k], minlength=len(words)) for k in range(len(self.labels))], axis=1)
 
 
-def forward_backward(scores: np.ndarray, steps_: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Label marginals (T, chains, labels) of padded chains, with the scaled messages for the pairwise marginals."""
+def _normal(x: np.ndarray, axis: int | tuple[int, ...]) -> np.ndarray:
+    return x / x.sum(axis=axis, keepdims=True)
+
+
+def forward_backward(
+    scores: np.ndarray, steps_: np.ndarray, lengths: np.ndarray, enter: np.ndarray | None = None, leave: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Label marginals (T, chains, labels) of padded chains, with the scaled messages for the pairwise marginals.
+
+    ``enter`` holds the forward message of the word before each chain (zeros where it starts a text), ``leave`` the
+    backward message at each chain's last word; without them a chain is a whole text.
+    """
     t, chains, labels = scores.shape
     local = np.exp(scores - scores.max(axis=2, keepdims=True))
     move = np.exp(steps_ - steps_.max())
-    alive = (np.arange(t)[:, None] < lengths[None, :])[:, :, None]
+    last = lengths - 1
     alpha, beta = np.empty_like(local), np.empty_like(local)
-    alpha[0] = local[0] / local[0].sum(axis=1, keepdims=True)
+    first = local[0] if enter is None else np.where(enter.any(axis=1, keepdims=True), enter @ move, 1.0) * local[0]
+    alpha[0] = _normal(first, 1)
     for i in range(1, t):
-        a = (alpha[i - 1] @ move) * local[i]
-        alpha[i] = a / a.sum(axis=1, keepdims=True)
-    beta[-1] = 1.0
+        alpha[i] = _normal((alpha[i - 1] @ move) * local[i], 1)
+    out = np.ones((chains, labels), dtype=local.dtype) if leave is None else leave
+    beta[-1] = out
     for i in range(t - 2, -1, -1):
-        b = (local[i + 1] * beta[i + 1]) @ move.T
-        beta[i] = np.where(alive[i + 1], b / b.sum(axis=1, keepdims=True), 1.0)
-    marginal = alpha * beta
-    marginal /= marginal.sum(axis=2, keepdims=True)
-    return marginal * alive, alpha, local * beta
+        beta[i] = np.where((i < last)[:, None], _normal((local[i + 1] * beta[i + 1]) @ move.T, 1), out)
+    alive = (np.arange(t)[:, None] < lengths[None, :])[:, :, None]
+    return _normal(alpha * beta, 2) * alive, alpha, local * beta
+
+
+def transfers(scores: np.ndarray, steps_: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(chains, labels, labels) scaled matrices that take a forward message over a chain; ``starts``: chains that start a text."""
+    t, chains, labels = scores.shape
+    local = np.exp(scores - scores.max(axis=2, keepdims=True)).astype(np.float64)
+    move = np.exp(steps_ - steps_.max()).astype(np.float64)
+    begin = np.where(starts[:, None, None], np.eye(labels)[None], move[None])
+    out = begin * local[0][:, None, :]
+    for i in range(1, t):
+        onward = (out @ move) * local[i][:, None, :]
+        onward /= onward.max(axis=(1, 2), keepdims=True)
+        out = np.where((i < lengths)[:, None, None], onward, out)
+    return out
+
+
+def edge_messages(matrices: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(enter, leave) of blocks in text order from their transfer matrices."""
+    blocks, labels = matrices.shape[:2]
+    enter, leave = np.zeros((blocks, labels)), np.ones((blocks, labels))
+    for b in range(1, blocks):
+        if not starts[b]:
+            before = np.ones(labels) if starts[b - 1] else enter[b - 1]
+            enter[b] = _normal(before @ matrices[b - 1], 0)
+    for b in range(blocks - 1, 0, -1):
+        if not starts[b]:
+            leave[b - 1] = _normal(matrices[b] @ leave[b], 0)
+    return enter, leave
 
 
 def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
@@ -185,6 +229,45 @@ def fit(texts: list[tuple[str, str]], seed: int = 7) -> Field:
     return field
 
 
+def _passes(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Blocks of about equal length, so many at a time that padded they hold at most PASS_WORDS words."""
+    order = np.argsort(lengths, kind="stable")[::-1]
+    begin = 0
+    while begin < len(order):
+        end = begin + max(1, PASS_WORDS // int(lengths[order[begin]]))
+        yield order[begin:end]
+        begin = end
+
+
+def expected_words(by_word: np.ndarray, codes: np.ndarray, sizes: np.ndarray, steps_: np.ndarray, block: int = 0) -> np.ndarray:
+    """(texts, labels) expected number of words of each label; ``sizes``: words of each text, ``by_word``: scores by code."""
+    block = block or BLOCK
+    k = by_word.shape[1]
+    blocks = -(-sizes // block)
+    owner = np.repeat(np.arange(len(sizes)), blocks)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    first = np.repeat(np.cumsum(sizes) - sizes, blocks) + nth * block
+    lengths = np.minimum(np.repeat(np.cumsum(sizes), blocks) - first, block)
+
+    def scores(part: np.ndarray) -> np.ndarray:
+        at = np.minimum(first[part][None, :] + np.arange(int(lengths[part].max()))[:, None], len(codes) - 1)
+        return by_word[codes[at]]
+
+    enter, leave = np.zeros((len(owner), k), dtype=by_word.dtype), np.ones((len(owner), k), dtype=by_word.dtype)
+    several = np.flatnonzero((blocks > 1)[owner])
+    if len(several):
+        matrices = np.empty((len(several), k, k))
+        for part in _passes(lengths[several]):
+            own = several[part]
+            matrices[part] = transfers(scores(own), steps_, lengths[own], nth[own] == 0)
+        enter[several], leave[several] = edge_messages(matrices, nth[several] == 0)
+    expected = np.zeros((len(sizes), k))
+    for part in _passes(lengths):
+        marginal, _, _ = forward_backward(scores(part), steps_, lengths[part], enter[part], leave[part])
+        np.add.at(expected, owner[part], marginal.sum(axis=0, dtype=np.float64))
+    return expected
+
+
 def label_texts(field: Field, texts: list[str]) -> tuple[list[str], np.ndarray]:
     """(language, score) of whole texts."""
     k = len(field.labels)
@@ -194,32 +277,22 @@ def label_texts(field: Field, texts: list[str]) -> tuple[list[str], np.ndarray]:
         words = words_of(t.lower()) if t else []
         counts[i] = len(words)
         flat += words
-    # A text of digits-like word characters alone has no letter.
-    for i in np.flatnonzero((counts > 0) & (counts < 3)):
-        if not any(c.isalpha() for c in texts[i]):
-            counts[i] = -counts[i]
     if not k or not flat:
         return [UNKNOWN] * len(texts), np.zeros(len(texts))
     coded = pa.array(flat, type=pa.string()).dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    by_word = field.scores(coded.dictionary.to_pylist()).astype(np.float32)
-    sizes = np.abs(counts)
-    chains = -(-sizes // CHAIN)
-    owner = np.repeat(np.arange(len(texts)), chains)
-    first = np.repeat(np.cumsum(sizes) - sizes, chains) + (np.arange(len(owner)) - np.repeat(np.cumsum(chains) - chains, chains)) * CHAIN
-    lengths = np.minimum(np.repeat(np.cumsum(sizes), chains) - first, CHAIN)
-    expected = np.zeros((len(texts), k))
-    order = np.argsort(lengths, kind="stable")
-    for begin in range(0, len(order), 4096):
-        part = order[begin : begin + 4096]
-        t = int(lengths[part].max())
-        at = np.minimum(first[part][None, :] + np.arange(t)[:, None], len(codes) - 1)
-        marginal, _, _ = forward_backward(by_word[codes[at]], field.steps.astype(np.float32), lengths[part])
-        np.add.at(expected, owner[part], marginal.sum(axis=0, dtype=np.float64))
+    names = coded.dictionary.to_pylist()
+    lettered = np.array([w.isalpha() or any(c.isalpha() for c in w) for w in names])
+    owner = np.repeat(np.arange(len(texts)), counts)
+    spelt = lettered[codes]
+    codes, sizes = codes[spelt], np.bincount(owner[spelt], minlength=len(texts)).astype(np.int64)
+    if not len(codes):
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    expected = expected_words(field.scores(names).astype(np.float32), codes, sizes, field.steps.astype(np.float32))
     best = expected.argmax(axis=1)
     score = expected[np.arange(len(texts)), best] / np.maximum(sizes, 1)
-    named = [field.labels[b] if c > 0 else UNKNOWN for b, c in zip(best.tolist(), counts.tolist(), strict=True)]
-    return named, np.clip(np.where(counts > 0, score, 0.0), 0.0, 1.0)
+    named = [field.labels[b] if n else UNKNOWN for b, n in zip(best.tolist(), sizes.tolist(), strict=True)]
+    return named, np.clip(np.where(sizes > 0, score, 0.0), 0.0, 1.0)
 
 
 def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, most: int = TRAIN_DOCS) -> list[tuple[str, str]]:
@@ -233,7 +306,7 @@ def training_sample(df: DataFrame, id_col: str, text_col: str, lang_col: str, mo
     keep = F.lit(False)
     for label, n in sorted(sizes.items()):
         keep = keep | ((F.col(lang_col) == label) & (draw < int(min(1.0, 1.1 * each / n + 8 / n) * (1 << 20))))
-    rows = labelled.where(keep).select(draw.alias("draw"), F.col(id_col), F.col(text_col), F.col(lang_col)).collect()
+    rows = labelled.where(keep).select(draw.alias("draw"), F.col(id_col), F.substring(F.col(text_col), 1, TRAIN_CHARS), F.col(lang_col)).collect()
     out, taken = [], Counter()
     for _, _, text, label in sorted(rows, key=lambda r: (r[0], r[1])):
         if taken[label] < each:

@@ -1,15 +1,24 @@
 """Line deduplication by content-defined chunks of lines.
 
-A document's lines are cut into chunks where its content says so, so that an inserted or deleted line moves no other
-boundary: after a line whose rolling hash (over the hashes of WINDOW lines) is divisible by DIVISOR, and on both sides
-of a line of HEAVY_WORDS words or more.  Chunks are counted over the whole corpus by a 64-bit hash; those that occur
-again are compared by their bytes, and each chunk keeps its first occurrence (smallest id, then place).  A run of
-consecutive later occurrences that together hold MIN_WORDS words is a repeated passage and is removed; shorter
-repeats (headings, licence lines) stay.  Chunks without a word are not counted: they break no run and stay in the text.
-
-Defined cases: a null text stays null; an empty text has one empty line and loses nothing; rows that share an id are
-one document, and rows with a null id lose nothing; ties fall to the smaller place; an empty table gives an empty
-result; extra columns are kept by ``clean`` and ignored by ``report``.
+A text is cut into *soft lines*: after each line feed, and inside a line after a mark of punctuation and a space or
+after eight words, so that passages inside a long line are comparable too.  A rolling hash over the hashes of two neighbouring soft lines
+chooses the chunk boundaries: a chunk ends where the rolling hash is a local minimum.  A boundary depends on four soft
+lines alone, so an inserted or deleted line moves no other one, and every chunk holds at least two soft lines (three
+on average).  Nothing else places a boundary.
+
+Chunks are counted over the whole corpus by a 64-bit key; those that occur again are compared by their bytes, and
+each chunk keeps its first occurrence (smallest id, then place).  Later occurrences are removed where consecutive
+ones together hold MIN_WORDS words; shorter repeats (headings, greetings) stay.  What stays of a repeated passage is
+its first occurrence, and of its copies at most the soft lines before the first and after the last boundary inside it.
+
+Only narrow rows (row, place, key) of the whole corpus are shuffled; texts are cut again only for documents that hold
+a repeated key, and only documents that lose something are joined with their places.
+
+Defined cases: a null text stays null; an empty text has no line and loses nothing; rows are told apart by id and
+text, so rows that share an id keep their own texts and equal rows of one id count as one document (none loses
+what the other holds); rows with a null id lose nothing; ties fall to the smaller place; a very long text is cut in
+time proportional to its length, in one task; a text of fewer than four soft lines is one chunk; an empty table gives
+an empty result; all columns are kept whatever their names.
 """
 
 from __future__ import annotations
@@ -20,12 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import candidate_filter, may_contain, stored, word_count
+from .common import candidate_filter, join_counted, marked, may_contain, stored, word_count
 
-WINDOW = 2
-DIVISOR = 2
-HEAVY_WORDS = 8
-MIN_WORDS = 50
+#: Soft lines as a pattern (the same in Java and in SQL): up to seven words that end in a space and no punctuation,
+#: then a word with the space or line feed behind it, or the text's last word.
+SOFT_LINE = r"(?:(?:[^ \n]*[^ \n.,;:!?])? ){0,7}(?:[^ \n]*[ \n]|[^ \n]+\z)"
+#: The rolling hash of a line and the one before it: (BEFORE * h[-1] + HERE * h[0]) modulo MODULUS.
+BEFORE, HERE, MODULUS = 1_000_003, 8_191, 2_147_483_647
+MIN_WORDS = 20
 
 
 def line_hash(line: Column) -> Column:
@@ -37,86 +48,120 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _ends(lines: Column) -> Column:
-    """Places of the lines that end a chunk."""
+def _ends(rolled: Column) -> Column:
+    """Places of the lines that end a chunk: local minima with two lines on either side, and the last line."""
+    n = F.size(rolled)
 
     def is_end(i: Column) -> Column:
-        here, after = F.get(lines, i), F.get(lines, i + 1)
-        rolled = here["h"] + 31 * F.coalesce(F.get(lines, i - 1)["h"], F.lit(0))
-        return here["heavy"] | F.coalesce(after["heavy"], F.lit(True)) | (rolled % DIVISOR == 0)
+        here = F.get(rolled, i)
+        least = (here < F.get(rolled, i - 1)) & (here < F.get(rolled, i + 1))
+        return (i == n - 1) | ((i > 0) & (i < n - 2) & least)
 
-    return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), is_end)
+    return F.filter(F.sequence(F.lit(0), n - 1), is_end)
 
 
-def _between(texts: Column, ends: Column) -> Column:
+def _between(lines: Column, ends: Column) -> Column:
     """The chunks as texts, from their lines and end places."""
 
     def made(end: Column, k: Column) -> Column:
         before = F.coalesce(F.get(ends, k - 1), F.lit(-1))
-        return F.array_join(F.slice(texts, before + 2, end - before), "\n")
+        return F.array_join(F.slice(lines, before + 2, end - before), "")
 
     return F.transform(ends, made)
 
 
+def _rolled(lines: Column) -> Column:
+    def rolled(hashes: Column) -> Column:
+        return F.transform(hashes, lambda h, i: (BEFORE * F.coalesce(F.get(hashes, i - 1), F.lit(0)) + HERE * h) % MODULUS)
+
+    return let(F.transform(lines, line_hash), rolled)
+
+
 def chunks(text: Column) -> Column:
-    """array<string> of the chunks of a text; joined by line feeds they give the text again.  Null for null."""
-    described = F.transform(
-        F.split(text, "\n", -1), lambda x: F.struct(x.alias("t"), line_hash(x).alias("h"), (word_count(x) >= HEAVY_WORDS).alias("heavy"))
-    )
-    return let(
-        described,
-        lambda lines: let(F.transform(lines, lambda x: x["t"]), lambda texts: let(_ends(lines), lambda ends: _between(texts, ends))),
-    )
+    """array<string> of the chunks of a text; put together they give the text again.  Null for a null or empty text."""
+    lines = F.regexp_extract_all(text, F.lit(SOFT_LINE), F.lit(0))
+    cut = let(lines, lambda x: let(_rolled(x), lambda rolled: let(_ends(rolled), lambda ends: _between(x, ends))))
+    return F.when(F.length(text) > 0, cut)
+
+
+def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, row, text): rows are told apart by ``tie`` and ``row``, hashes of the text and of id and text."""
+    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return picked.where("id is not null and length(text) > 0").select("id", *row_key("id", "text"), "text")
 
 
-def occurrences(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, nth, place, chunk, words, key) of every chunk with a word of every document with an id.
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    tie = F.shiftrightunsigned(F.xxhash64(text_col), 33).alias("tie")
+    return [tie, F.xxhash64(id_col, text_col).alias("row")]
 
-    ``place`` counts all chunks of the document, ``nth`` those that hold a word.
-    """
-    picked = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    placed = F.transform(chunks(F.col("text")), lambda x, k: F.struct(k.alias("place"), x.alias("chunk"), word_count(x).alias("words")))
-    flat = picked.select("id", F.posexplode(F.filter(placed, lambda x: x["words"] > 0)).alias("nth", "x"))
-    return flat.select("id", "nth", "x.place", "x.chunk", "x.words").withColumn("key", F.xxhash64("chunk"))
 
+def place_rank(id_col: Column, tie: Column, place: Column) -> Column:
+    """One number that orders occurrences by id, text and place; it fits a hash aggregate's buffer."""
+    inside = tie.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + place.cast("decimal(10,0)")
+    return (id_col.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + inside).cast("decimal(38,0)")
 
-def place_rank(id_col: Column, place: Column) -> Column:
-    """One number that orders occurrences by id, then place; it fits a hash aggregate's buffer."""
-    return (id_col.cast("decimal(20,0)") * F.lit(2**31).cast("decimal(10,0)") + place.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+def occurrences(texts: DataFrame) -> DataFrame:
+    """(id, tie, row, place, chunk) of every chunk of the rows of ``_rows``."""
+    return texts.select("id", "tie", "row", F.posexplode(chunks(F.col("text"))).alias("place", "chunk"))
+
+
+def repeated_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tie, row, place, chunk, key, words) of every chunk whose key occurs again (and of few others), stored."""
+    texts = _rows(df, id_col, text_col)
+    hashed = texts.select("row", F.transform(chunks(F.col("text")), lambda x: F.xxhash64(x)).alias("keys"))
+    narrow = stored(hashed.select("row", F.explode("keys").alias("key")), "line-keys")
+    again = stored(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "line-again")
+    keys = candidate_filter(again, "key")
+    holders = stored(may_contain(narrow, "key", keys).select("row").distinct(), "line-holders")
+    found = occurrences(may_contain(texts, "row", candidate_filter(holders, "row"))).withColumn("key", F.xxhash64("chunk"))
+    return stored(may_contain(found, "key", keys).withColumn("words", word_count(F.col("chunk"))), "line-chunks")
 
 
 def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, removed array<int>, removed_words) of the documents that hold repeated passages."""
-    found = occurrences(df, id_col, text_col)
-    narrow = stored(found.select("id", "nth", "place", "key", F.md5("chunk").alias("digest"), "words"), "line-chunks")
-    again = narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    compared = may_contain(found.select("id", "place", "key", "chunk"), "key", candidate_filter(again, "key"))
-    firsts = (
-        compared.groupBy("key", "chunk")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(place_rank(F.col("id"), F.col("place"))).alias("first"))
+    """(id, row, removed array<int>, removed_words) of the rows that hold repeated passages."""
+    found = repeated_chunks(df, id_col, text_col)
+    ranked = place_rank(F.col("id"), F.col("tie"), F.col("place"))
+    firsts = stored(
+        found.groupBy("key", "chunk")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(ranked).alias("first"))
         .where("n > 1")
-        .select("key", F.md5("chunk").alias("digest"), "first")
+        .select("key", F.md5("chunk").alias("digest"), "first", "n"),
+        "line-firsts",
     )
-    later = narrow.join(stored(firsts, "line-firsts"), ["key", "digest"]).where(place_rank(F.col("id"), F.col("place")) > F.col("first"))
-    by_place = Window.partitionBy("id").orderBy("nth")
-    # Consecutive among the chunks that hold words, so that blank lines between paragraphs break no run.
-    runs = later.select("id", "nth", "place", "words").distinct().withColumn("run", F.col("nth") - F.row_number().over(by_place))
-    in_run = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "run")))
+    told = stored(found.select("id", "tie", "row", "place", "words", "key", F.md5("chunk").alias("digest")), "line-places")
+    later = join_counted(told, firsts, ["key", "digest"], "n", told.count()).where(ranked > F.col("first"))
+    by_place = Window.partitionBy("id", "row").orderBy("place")
+    runs = later.select("id", "row", "place", "words").distinct().withColumn("run", F.col("place") - F.row_number().over(by_place))
+    in_run = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "row", "run")))
     return (
         in_run.where(F.col("run_words") >= MIN_WORDS)
-        .groupBy("id")
+        .groupBy("id", "row")
         .agg(F.array_sort(F.collect_list("place")).alias("removed"), F.sum("words").alias("removed_words"))
     )
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
     """``df`` with repeated passages cut out of its texts; with ``marks`` also n_removed and removed_words."""
-    places = repeated_places(df, id_col, text_col).withColumnRenamed("id", "dd_id")
-    joined = df.join(places, F.col(id_col) == F.col("dd_id"), "left")
-    left = F.filter(chunks(F.col(text_col)), lambda x, k: ~F.array_contains(F.col("removed"), k))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    places = stored(repeated_places(df, id_col, text_col), "line-removed")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"))
+    own = whole.select("all", F.col("all")[id_col].cast("long").alias("own_id"), F.col("all")[text_col].alias("own_text"))
+    keyed = own.select("all", "own_id", "own_text", row_key("own_id", "own_text")[1].alias("own_row"))
+    split = marked(keyed, "own_row", candidate_filter(places, "row"), "hit")
+    same = (F.col("own_row") == F.col("row")) & (F.col("own_id") == F.col("id"))
+    joined = split.where("hit").join(places, same, "left").select("all", "own_text", "removed", "removed_words")
+    others = split.where("not hit").select(
+        "all", "own_text", F.lit(None).cast("array<int>").alias("removed"), F.lit(None).cast("long").alias("removed_words")
+    )
+
+    def without(found: Column) -> Column:
+        kept_places = F.array_except(F.sequence(F.lit(0), F.size(found) - 1), F.col("removed"))
+        return F.array_join(F.transform(kept_places, lambda k: F.get(found, k)), "")
+
+    text = F.when(F.col("removed").isNull(), F.col("own_text")).otherwise(let(chunks(F.col("own_text")), without))
     more = [
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed_words", F.lit(0)).cast("long").alias("removed_words"),
     ]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], *(more if marks else []))
+    kept = [text.alias(c) if c == text_col else F.col("all")[c].alias(c) for c in df.columns]
+    return joined.unionByName(others).select(*kept, *(more if marks else []))

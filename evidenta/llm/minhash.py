@@ -5,17 +5,22 @@ one hash evaluation, unbiased and with less variance than two independent permut
 time; a pair at the threshold misses every band with a probability below 1e-8 (0.85) or 1e-5 (0.8).
 
 1. Each text is reduced to its number of distinct shingles, a 128-bit hash of the set, and its band keys.
-2. Texts with equal sets form a class, represented by its smallest id, so copies never pair up.
-3. Classes that share a band key are joined to the key's smallest class; the connected parts of that graph hold every
-   candidate pair.
-4. Inside a part all pairs are compared on full shingle sets, in blocks of at most BLOCK classes, one task per pair of
-   blocks; a task returns a spanning forest of its confirmed links, never its pairs.  A part of more than WHOLE_PART
-   classes is compared bucket by bucket instead.
-5. Components of the confirmed links give the result.
-
-Defined cases: a text without words (or a null one) has an empty set and is linked with nothing; a text of fewer
-words than a shingle is one shingle; rows that share an id must be the same document; null ids are not linked; an
-empty table gives an empty result; extra columns are ignored.
+2. Texts with equal sets form a class, so copies never pair up.
+3. Classes that share a band key are bucket mates: these are the candidates, and only they are ever linked.
+4. Every class is compared on full shingle sets with the first class of each of its buckets, block by block: work in
+   proportion to the buckets' rows.  The confirmed links contract a group of near copies to one label.
+5. What is left are bucket mates of different labels.  They are compared in blocks of at most BLOCK classes, one task
+   per pair of blocks, blocks of one label never with each other; a task returns a spanning forest of its confirmed
+   links, never its pairs.  A connected part of at most WHOLE_PART classes is compared at once (a class is then sent
+   once, not once per bucket), a larger one bucket by bucket; either way a link needs a common band key, so the
+   links found do not depend on it.
+6. Components of the confirmed links give the result.
+
+Defined cases: a text without words (or a null or empty one) has an empty set and is linked with nothing; a text of
+fewer words than a shingle is one shingle; rows that share an id are rows of their own, each with its text's set, and
+equal rows get equal results; null ids are not linked; a very long text is one set, held in one task (8 bytes per
+shingle); ties do not occur (a component is named by its smallest id); an empty table gives an empty result; extra
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +33,15 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import arrow_map, candidate_filter, flat_words, may_contain, mix64, prepare, steps, stored, text_bytes
+from .common import (
+    WORD_RE, arrow_map, candidate_filter, flat_words, join_counted, marked, may_contain, mix64, prepare, steps, stored, text_bytes,
+)
 from .components import components
 
-BLOCK = 128
+#: Classes of a block, members of a hub's block, and classes of a part that is compared at once.
+BLOCK, STAR_BLOCK = 128, 512
 WHOLE_PART = 4096
 #: Bytes of text that are cut into words at a time.
 SKETCH_BYTES = 1_500_000
@@ -129,55 +138,68 @@ def band_keys(signed: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def sketch(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, set_a, set_b, bands) of every row, in one pass without a shuffle."""
-    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    """(id, tie, n, set_a, set_b, bands) of every row, in one pass without a shuffle; ``tie`` is a hash of the text."""
+    picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("tie"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = s.permutations()
         for part in steps(batches, 1, SKETCH_BYTES):
             shingles, sizes = shingle_sets(text_bytes(part.column(1)), s.words)
             full = np.flatnonzero(sizes)
-            some = sizes[full]
-            starts = np.concatenate([[0], np.cumsum(some)])[:-1]
-            set_a, set_b = np.zeros(len(sizes), dtype=np.uint64), np.zeros(len(sizes), dtype=np.uint64)
+            set_a, set_b = set_hashes(shingles, sizes)
             offsets = np.zeros(len(sizes) + 1, dtype=np.int32)
             keys = np.empty(0, dtype=np.uint64)
             if len(full):
-                set_a[full] = np.add.reduceat(mix64(shingles + np.uint64(1)), starts)
-                set_b[full] = np.add.reduceat(mix64(shingles ^ np.uint64(0x5BF03635)), starts)
-                keys = band_keys(signatures(shingles, some, a, b), s).ravel()
+                keys = band_keys(signatures(shingles, sizes[full], a, b), s).ravel()
             offsets[1:] = np.cumsum((sizes > 0) * s.bands)
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)),
+                    part.column(0), part.column(2), pa.array(sizes), pa.array(set_a.view(np.int64)), pa.array(set_b.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64))),
                 ],
-                names=["id", "n", "set_a", "set_b", "bands"],
+                names=["id", "tie", "n", "set_a", "set_b", "bands"],
             )
 
-    return arrow_map(picked, run, "id long, n long, set_a long, set_b long, bands array<long>", "minhash")
+    return arrow_map(picked, run, "id long, tie long, n long, set_a long, set_b long, bands array<long>", "minhash")
+
+
+def set_hashes(shingles: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each set (0 for an empty one)."""
+    full = np.flatnonzero(sizes)
+    out = np.zeros((2, len(sizes)), dtype=np.uint64)
+    if len(full):
+        starts = np.concatenate([[0], np.cumsum(sizes[full])])[:-1]
+        out[0, full] = np.add.reduceat(mix64(shingles + np.uint64(1)), starts)
+        out[1, full] = np.add.reduceat(mix64(shingles ^ np.uint64(0x5BF03635)), starts)
+    return out[0], out[1]
 
 
 def full_sets(df: DataFrame, s: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles array<long>) of every row."""
+    """(node, shingles array<long>) of every row; a node is the first hash of a set."""
     picked = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, 1, SKETCH_BYTES):
             shingles, sizes = shingle_sets(text_bytes(part.column(1)), s.words)
             offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            arrays = [part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "shingles"])
+            nodes = set_hashes(shingles, sizes)[0].view(np.int64)
+            arrays = [pa.array(nodes), pa.ListArray.from_arrays(pa.array(offsets), pa.array(shingles.view(np.int64)))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "shingles"])
 
-    return arrow_map(picked, run, "id long, shingles array<long>", "minhash")
+    return arrow_map(picked, run, "node long, shingles array<long>", "minhash")
 
 
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], over: int, under: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the texts whose sets have under * intersection >= over * union."""
-    m = len(ids)
-    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    whole = column.combine_chunks()
+    ends, values = whole.offsets.to_numpy(), whole.values.to_numpy()
+    return [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """(sets, sets) sizes of the intersections."""
+    m = len(sets)
     flat = np.concatenate(sets) if m else np.empty(0, dtype=np.int64)
-    owner = np.repeat(np.arange(m), sizes)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
     _, column, seen = np.unique(flat, return_inverse=True, return_counts=True)
     shared = seen[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
@@ -191,9 +213,18 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], over: int, under: in
         block = np.zeros((m, PASS_COLUMNS), dtype=np.float32)
         block[owner[low:high], column[low:high] - begin] = 1.0
         both += (block @ block.T).astype(np.int64)  # counts below 2**24 are exact in float32
+    return both
+
+
+def spanning_links(
+    nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], bands: list[np.ndarray], over: int, under: int
+) -> list[tuple[int, int]]:
+    """Links of a spanning forest over the labels, of bucket mates with under * intersection >= over * union."""
+    both = common_counts(sets)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
     union = sizes[:, None] + sizes[None, :] - both
-    left, right = np.nonzero(np.triu(under * both >= over * union, 1))
-    parent = list(range(m))
+    left, right = np.nonzero(np.triu((under * both >= over * union) & (labels[:, None] != labels[None, :]), 1))
+    parent = {x: x for x in labels.tolist()}
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -203,58 +234,159 @@ def spanning_links(ids: np.ndarray, sets: list[np.ndarray], over: int, under: in
 
     out = []
     for i, j in zip(left.tolist(), right.tolist(), strict=True):
-        x, y = root(i), root(j)
-        if x != y:
+        x, y = root(int(labels[i])), root(int(labels[j]))
+        if x != y and (bands[i] == bands[j]).any():
             parent[max(x, y)] = min(x, y)
-            out.append((int(ids[i]), int(ids[j])))
+            out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
-def _confirm(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed links (a, b) of members (id, part), block against block."""
-    sizes = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = members.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = paired.select("id", "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+def _links(pairs: list[tuple[int, int]]) -> pa.Table:
+    return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+
+def star_links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links (a, b) of distinct pairs (node, hub).  A hub's members are dealt to blocks, and the hub goes to each."""
+    hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR_BLOCK)).cast("int").alias("blocks"))
+    members = pairs.join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    centres = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     over, under = s.over, s.under
 
     def compare(found: pa.Table) -> pa.Table:
-        ids = found.column("id").to_numpy()
-        shingles = found.column("shingles").combine_chunks()
-        ends = shingles.offsets.to_numpy()
-        values = shingles.values.to_numpy()
-        links = spanning_links(ids, [values[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], over, under)
-        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+        nodes, sets_ = found.column("node").to_numpy(), _lists(found.column("shingles"))
+        hub = found.column("hub")[0].as_py()
+        centre = next((x for n, x in zip(nodes.tolist(), sets_, strict=True) if n == hub), None)
+        if centre is None:
+            return _links([])
+        out = []
+        for n, own in zip(nodes.tolist(), sets_, strict=True):
+            both = len(np.intersect1d(own, centre, assume_unique=True)) if n != hub else 0
+            if n != hub and under * both >= over * (len(own) + len(centre) - both):
+                out.append((n, hub))
+        return _links(out)
+
+    prepare(pairs.sparkSession)
+    return members.unionByName(centres).join(sets, "node").groupBy("hub", "block").applyInArrow(compare, "a long, b long")
+
+
+def block_links(members: DataFrame, sets: DataFrame, bands: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links (a, b) between different labels of members (node, part, label), block against block.
+
+    A label with at least BLOCK members of a part has blocks of its own (numbered, with ``pure`` its label), the others
+    share blocks; two blocks of one label never meet.
+    """
+    sizes = members.groupBy("part", "label").agg(F.count(F.lit(1)).alias("size"))
+    pure = F.when(F.col("size") >= BLOCK, F.col("label"))
+    shared = sizes.where(F.col("size") < BLOCK).groupBy("part").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).alias("shared"))
+    cut = sizes.join(shared, "part", "left").select(
+        "part", "label", pure.alias("pure"), F.coalesce(F.when(pure.isNotNull(), F.ceil(F.col("size") / F.lit(BLOCK))), "shared").alias("blocks")
+    )
+    hashed = F.when(F.col("pure").isNotNull(), F.xxhash64("node")).otherwise(F.xxhash64("label"))
+    placed = stored(
+        members.join(cut, ["part", "label"]).select("node", "part", "label", "pure", F.pmod(hashed, F.col("blocks")).alias("nth")), "blocks"
+    )
+    blocks = placed.select("part", "pure", "nth").distinct().withColumn("block", F.xxhash64("pure", "nth"))
+    a, b = (blocks.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("pure", "nth", "block")]) for side in ("a", "b"))
+    mixed = a.where("pure_a is null").join(b, "part").where("pure_b is not null or nth_a <= nth_b")
+    apart = a.where("pure_a is not null").join(b.where("pure_b is not null"), "part").where("pure_a < pure_b")
+    tasks = mixed.unionByName(apart).select("part", F.col("block_a").alias("x"), F.col("block_b").alias("y"))
+    sides = tasks.select("part", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sent = placed.withColumn("block", F.xxhash64("pure", "nth")).join(sides, ["part", "block"]).select("node", "label", "part", "x", "y")
+    over, under = s.over, s.under
+
+    def compare(found: pa.Table) -> pa.Table:
+        nodes, labels = found.column("node").to_numpy(), found.column("label").to_numpy()
+        return _links(spanning_links(nodes, labels, _lists(found.column("shingles")), _lists(found.column("bands")), over, under))
 
     prepare(members.sparkSession)
-    return tasks.join(sets, "id").groupBy("part", "i", "j").applyInArrow(compare, "a long, b long")
+    return sent.join(bands, "node").join(sets, "node").groupBy("part", "x", "y").applyInArrow(compare, "a long, b long")
+
+
+def candidate_hits(lone: DataFrame) -> DataFrame:
+    """(node, key, first) of every class in a bucket of two or more; ``first`` is the bucket's smallest node."""
+    banded = stored(lone.select("node", F.explode("bands").alias("key")), "bands")
+    buckets = stored(
+        banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "buckets"
+    )
+    return stored(may_contain(banded, "key", candidate_filter(buckets, "key")).join(buckets, "key").select("node", "key", "first"), "hits")
+
+
+def undecided(hits: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label, part) of the bucket mates that the links leave in different components.
+
+    A part is a connected part of the buckets that hold several labels, or one such bucket where the part is large.
+    """
+    labels = stored(components(links), "labels")
+    told = hits.join(labels, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("label"))
+    told = stored(told, "labelled")
+    several = told.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    several = stored(several, "several")
+    left = stored(may_contain(told, "key", candidate_filter(several, "key")).join(several, "key"), "undecided")
+    parts = stored(components(left.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "parts")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    large = stored(sizes.where(F.col("size") > WHOLE_PART).select("component"), "large-parts")
+    named = left.select("node", "label").distinct()
+    small = parts.join(large, "component", "left_anti").join(named, "node").select("node", "label", F.col("component").alias("part"))
+    spread = parts.join(large, "component").select("node").join(left, "node").select("node", "label", F.col("key").alias("part"))
+    return stored(small.unionByName(spread), "members")
 
 
 def near_duplicates(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n, component) of every row of ``df``; a component is the smallest id that confirmed links reach."""
+    """(id, tie, n, component) of every row of ``df``; a component is the smallest id that confirmed links reach."""
     rows = stored(sketch(df, s, id_col, text_col), "sketches")
     known = rows.where("n > 0 and id is not null")
     classes = stored(
         known.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes"
     )
-    lone = known.join(classes.select("class"), F.col("id") == F.col("class"), "left_semi").select("id", "bands").dropDuplicates(["id"])
-    banded = stored(lone.select("id", F.explode("bands").alias("key")), "bands")
-    buckets = stored(
-        banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).where("size > 1"), "buckets"
-    )
-    hits = stored(may_contain(banded, "key", candidate_filter(buckets, "key")).join(buckets, "key").select("id", "key", "first"), "hits")
-    parts = stored(components(hits.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b"))), "parts")
-    large = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WHOLE_PART).select("component")
-    members = parts.join(large, "component", "left_anti").select(F.col("node").alias("id"), F.col("component").alias("part"))
-    spread = parts.join(large, "component").select(F.col("node").alias("id")).join(hits, "id").select("id", F.col("key").alias("part"))
+    own = (F.col("id") == F.col("class")) & (known["set_a"] == classes["set_a"]) & (known["set_b"] == classes["set_b"])
+    lone = stored(known.join(classes, own, "left_semi").select("id", F.col("set_a").alias("node"), "bands"), "lone")
+    hits = candidate_hits(lone)
+    nodes = stored(hits.select("node").distinct(), "candidates")
+    bands = lone.join(nodes, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
+    wanted = stored(lone.join(nodes, "node", "left_semi").select(F.xxhash64("id").alias("h")), "wanted")
     near = df.select(F.col(id_col).cast("long").alias("cand_id"), F.col(text_col).alias("cand_text"))
-    wanted = candidate_filter(parts.select(F.xxhash64("node").alias("h")), "h")
-    sets = full_sets(may_contain(near.withColumn("h", F.xxhash64("cand_id")), "h", wanted), s, "cand_id", "cand_text")
-    links = _confirm(members.unionByName(spread), sets.dropDuplicates(["id"]), s)
-    joined = components(stored(links, "confirmed"))
-    labelled = classes.join(joined, F.col("class") == F.col("node"), "left").select(
-        "set_a", "set_b", F.col("n").alias("size"), F.coalesce("component", "class").alias("component")
+    found = full_sets(may_contain(near.withColumn("h", F.xxhash64("cand_id")), "h", candidate_filter(wanted, "h")), s, "cand_id", "cand_text")
+    sets = stored(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    stars = hits.where("node <> first").select("node", F.col("first").alias("hub")).distinct()
+    star = stored(star_links(stars, sets, s), "star-links")
+    rest = stored(block_links(undecided(hits, star), sets, bands, s), "block-links")
+    joined = stored(components(star.unionByName(rest)), "joined")
+    named = joined.join(classes.select(F.col("set_a").alias("node"), "class"), "node")
+    least = named.groupBy("component").agg(F.min("class").alias("named"), F.count(F.lit(1)).alias("members"))
+    by_node = join_counted(joined, least, ["component"], "members", joined.count()).groupBy("node").agg(F.min("named").alias("named"))
+    labelled = classes.join(by_node, F.col("set_a") == F.col("node"), "left").select(
+        "set_a", "set_b", "n", "copies", F.coalesce("named", "class").alias("component")
     )
-    same = (rows["set_a"] == labelled["set_a"]) & (rows["set_b"] == labelled["set_b"]) & (rows["n"] == labelled["size"])
-    out = rows.join(labelled, same & rows["id"].isNotNull(), "left")
-    return out.select("id", "n", F.coalesce("component", "id").alias("component"))
+    labelled = stored(labelled, "labelled-classes")
+    some = known.select("id", "tie", "n", "set_a", "set_b")
+    out = join_counted(some, labelled, ["set_a", "set_b", "n"], "copies", some.count()).select("id", "tie", "n", "component")
+    return out.unionByName(rows.where("n = 0 or id is null").select("id", "tie", "n", F.col("id").alias("component")))
+
+
+def keep_one(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` without near-duplicates: of each component the document that names it stays, once.
+
+    Rows are told apart by id and text, so a row goes only for its own text; of rows that share the component's id the
+    one with the smallest text hash stays.  Rows with an empty set or a null id stay.  Texts are shuffled only for rows
+    that may go and for rows that share their id.
+    """
+    found = stored(near_duplicates(df, s, id_col, text_col), "near")
+    some = found.where("n > 0 and id is not null")
+    keys = F.xxhash64("id", "tie").alias("row_hash")
+    shared = stored(some.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("id").alias("shared_id")), "shared-ids")
+    heads = some.where("id = component").join(shared, F.col("id") == F.col("shared_id"), "left_semi")
+    least = heads.groupBy("component").agg(F.min("tie").alias("least"))
+    doubled = heads.join(least, "component").where("tie > least").select("id", "tie")
+    gone = stored(some.where("id <> component").select("id", "tie").unionByName(doubled).distinct().withColumn("row_hash", keys), "gone")
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    own = whole.select("row", F.col("row")[id_col].cast("long").alias("own_id"), F.xxhash64(F.col("row")[text_col]).alias("own_tie"))
+    hashed = own.withColumn("own_hash", F.xxhash64("own_id", "own_tie"))
+    maybe = marked(hashed, "own_hash", candidate_filter(gone, "row_hash"), "may_go")
+    same = (F.col("own_id") == F.col("id")) & (F.col("own_tie") == F.col("tie"))
+    stays = maybe.where("not may_go").unionByName(maybe.where("may_go").join(gone.select("id", "tie"), same, "left_anti")).drop("may_go")
+    shared = shared.withColumn("id_hash", F.xxhash64("shared_id"))
+    twice = marked(stays.withColumn("own_id_hash", F.xxhash64("own_id")), "own_id_hash", candidate_filter(shared, "id_hash"), "may_repeat")
+    twice = twice.withColumn("may_repeat", F.col("may_repeat") & F.col("own_id").isNotNull() & F.coalesce(F.col("row")[text_col].rlike(WORD_RE), F.lit(False)))
+    nth = F.row_number().over(Window.partitionBy("own_id", "own_tie").orderBy(F.xxhash64("row")))
+    once = twice.where("may_repeat").withColumn("nth", nth).where("nth = 1").drop("nth")
+    return twice.where("not may_repeat").unionByName(once).select(*[F.col("row")[c].alias(c) for c in df.columns])

@@ -9,8 +9,14 @@ Within a source rows are ordered by a hash-random key.  The key's leading bits a
 word counts are bucket totals plus running sums inside a bucket, and no task ever holds a source.  A source is taken
 whole as many times as its budget allows (epochs); the rest is cut at the exact word.
 
-Defined cases: a null text has no words (its row goes along with every whole epoch of its source); an empty source has target 0; ties of the key fall back to the id and size;
-repeated rows are rows of their own; an empty table gives an empty result; extra columns are ignored.
+Of the mix itself only the bucket that holds a source's cut needs an order: the rows of all other buckets are repeated
+where they stand, and their texts are not shuffled.
+
+Defined cases: a null or empty text has no words (its row goes along with every whole epoch of its source); a source
+without words has target 0; a null source is a source of its own; ties of the key fall back to the id, the size and
+the text's hash; repeated rows, and rows that share an id, are rows of their own; a very long text is one row, cut at
+the exact word where the budget ends inside it; an empty table gives an empty result; extra columns are ignored by
+``mix`` and kept by ``mixed_rows``, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, word_count
+from .common import WORD_RE, stored, word_count
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 ROWS_PER_BUCKET = 256
-LEAST_BITS, MOST_BITS = 8, 16
+#: Bits of the key that number the range buckets; beyond 2**20 buckets a source, buckets hold more rows instead.
+LEAST_BITS, MOST_BITS = 8, 20
+#: Up to so many sources' verdicts are sent to all tasks (a few MB); more of them are joined by a shuffle.
+BROADCAST_SOURCES = 20_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -52,39 +61,42 @@ def random_key(id_col: Column, seed: str = SEED) -> Column:
 
 def bucket_of(key: Column, bits: int) -> Column:
     """The range of the key space that a key falls in: its leading bits."""
-    return F.shiftright(F.conv(F.substring(key, 1, 4), 16, 10).cast("int"), 16 - bits)
+    return F.shiftright(F.conv(F.substring(key, 1, 8), 16, 10).cast("long"), 32 - bits).cast("int")
 
 
-def with_budgets(rows: DataFrame, narrow: DataFrame, bits: int, carry: list[str]) -> DataFrame:
-    """Rows (source, size, key and carried columns) with their epochs and the words of a last, partial epoch."""
+def cut_places(narrow: DataFrame) -> DataFrame:
+    """(s, b, bucket_before, bucket_size, source_size, target, epochs, rest) of every bucket of every source.
+
+    ``epochs``: how often the source is taken whole; ``rest``: words of its last, partial epoch.
+    """
     targets = source_targets(narrow)
-    firsts = (
+    epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
+    return (
         narrow.groupBy("source", "bucket")
         .agg(F.sum("size").alias("bucket_size"))
         .withColumn("bucket_before", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size"))
-        .drop("bucket_size")
         .join(targets.withColumnRenamed("source", "target_source"), F.col("source").eqNullSafe(F.col("target_source")))
-        .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_before", "source_size", "target", "budget")
+        .select(F.col("source").alias("s"), F.col("bucket").alias("b"), "bucket_before", "bucket_size", "source_size", "target", "budget", epochs.alias("epochs"))
+        .withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
+        .drop("budget")
     )
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "row_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        rows.withColumn("running", F.sum("size").over(inside) - F.col("size"))
-        .join(firsts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-        .withColumn("before", F.col("bucket_before") + F.col("running"))
-    )
-    epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)).cast("long")
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
+
+
+def with_partial(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows (source, bucket, key, row_id, size, tie) of whole buckets with their places and ``partial``: words of the last epoch."""
+    inside = Window.partitionBy("source", "bucket").orderBy("key", "row_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    before = F.col("bucket_before") + F.col("running")
     return (
-        placed.withColumn("epochs", epochs)
-        .withColumn("partial", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before"))))
-        .select(*carry, "source", "size", "source_size", "target", "epochs", "partial")
+        rows.withColumn("running", F.sum("size").over(inside) - F.col("size"))
+        .join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+        .withColumn("partial", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - before)))
     )
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str, source_col: str, bits: int, *more: Column) -> DataFrame:
     out = df.select(
         F.col(id_col).alias("row_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-        random_key(F.col(id_col)).alias("key"), *more,
+        random_key(F.col(id_col)).alias("key"), F.xxhash64(F.col(text_col)).alias("tie"), *more,
     )
     return out.withColumn("bucket", bucket_of(F.col("key"), bits))
 
@@ -97,7 +109,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     """(doc_id, size, source_size, target, taken) of every row; only narrow rows are shuffled."""
     bits = key_bits(df.count())
     narrow = stored(_keyed(df, id_col, text_col, source_col, bits), "mixing")
-    placed = with_budgets(narrow, narrow, bits, ["row_id"])
+    placed = with_partial(narrow, cut_places(narrow))
     return placed.select(
         F.col("row_id").alias("doc_id"), "size", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("partial")).alias("taken"),
@@ -111,16 +123,40 @@ def mixed_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     """
     bits = key_bits(df.count())
     narrow = stored(_keyed(df, id_col, text_col, source_col, bits), "mixing")
-    whole = _keyed(df, id_col, text_col, source_col, bits, F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    placed = with_budgets(whole, narrow, bits, ["row"])
-    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("partial").cast("int")), "")
-    full = (F.col("epochs") + (F.col("partial") == F.col("size")).cast("long") * (F.col("size") > 0).cast("long")).cast("int")
-    copies = F.concat(
-        F.array_repeat(F.lit(False), full),
-        F.array_repeat(F.lit(True), F.when((F.col("partial") > 0) & (F.col("partial") < F.col("size")), 1).otherwise(0)),
+    places = stored(cut_places(narrow), "mix-places")
+    holds_cut = (F.col("bucket_before") < F.col("rest")) & (F.col("rest") < F.col("bucket_before") + F.col("bucket_size"))
+    taken_whole = F.col("bucket_before") + F.col("bucket_size") <= F.col("rest")
+    # Buckets before the cut are taken once more: the cut of a source is its last such bucket, then the one that holds it.
+    verdicts = stored(
+        places.groupBy("s", "epochs").agg(
+            F.coalesce(F.max(F.when(taken_whole & (F.col("rest") > 0), F.col("b"))), F.lit(-1)).alias("whole_upto"),
+            F.max(F.when(holds_cut, F.col("b"))).alias("cut_bucket"),
+        ),
+        "mix-verdicts",
     )
-    out = placed.withColumn("is_cut", F.explode(copies))
+    if verdicts.count() <= BROADCAST_SOURCES:
+        verdicts = F.broadcast(verdicts)
+    whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    dealt = whole.select(
+        "row", F.col("row")[source_col].alias("source"), bucket_of(random_key(F.col("row")[id_col]), bits).alias("bucket")
+    ).join(verdicts, F.col("source").eqNullSafe(F.col("s")))
+    in_cut = F.coalesce(F.col("bucket") == F.col("cut_bucket"), F.lit(False))
+    once_more = (F.col("bucket") <= F.col("whole_upto")) & F.coalesce(F.col("row")[text_col].rlike(WORD_RE), F.lit(False))
+    uncut = dealt.where(~in_cut).select("row", (F.col("epochs") + once_more.cast("long")).cast("int").alias("full"), F.lit(0).cast("long").alias("words"))
+    ordered = dealt.where(in_cut).select(
+        "row", "source", "bucket", F.col("row")[id_col].alias("row_id"), random_key(F.col("row")[id_col]).alias("key"),
+        word_count(F.col("row")[text_col]).alias("size"), F.xxhash64(F.col("row")[text_col]).alias("tie"),
+    )
+    placed = with_partial(ordered, places)
+    all_of_it = (F.col("partial") == F.col("size")) & (F.col("size") > 0)
+    cut_rows = placed.select(
+        "row", (F.col("epochs") + all_of_it.cast("long")).cast("int").alias("full"),
+        F.when((F.col("partial") > 0) & ~all_of_it, F.col("partial")).otherwise(F.lit(0)).cast("long").alias("words"),
+    )
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("full")), F.array_repeat(F.lit(True), F.when(F.col("words") > 0, 1).otherwise(0)))
+    out = uncut.unionByName(cut_rows).withColumn("is_cut", F.explode(copies))
+    words = F.regexp_extract_all(F.col("row")[text_col], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
     return out.select(
         *[F.when(F.col("is_cut"), cut).otherwise(F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]
     )

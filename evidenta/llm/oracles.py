@@ -27,15 +27,17 @@ EXACT = f"""WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS l, regexp_re
 k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY l DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, sha256(t) AS text_sha256 FROM n)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k"""
 
-LINES = f"""WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
-h AS (SELECT *, CAST('0x' || substr(md5(t), 1, 7) AS BIGINT) AS h, len(regexp_extract_all(t, '{W}')) AS w FROM u),
-c AS (SELECT *, w >= {linededup.HEAVY_WORDS} OR coalesce(lead(w) OVER o >= {linededup.HEAVY_WORDS}, true) OR (h + 31 * coalesce(lag(h) OVER o, 0)) % {linededup.DIVISOR} = 0 AS cut FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-p AS (SELECT *, coalesce(sum(CAST(cut AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
-k AS (SELECT doc_id, place, string_agg(t, chr(10) ORDER BY i) AS t, CAST(sum(w) AS BIGINT) AS w FROM p GROUP BY 1, 2),
-f AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id, place) AS seen FROM k WHERE w > 0), g AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM f WHERE seen > 1),
-x AS (SELECT doc_id, place, w, sum(w) OVER (PARTITION BY doc_id, run) AS rw FROM g), r AS (SELECT * FROM x WHERE rw >= {linededup.MIN_WORDS}),
-m AS (SELECT k.doc_id, count(r.place) AS n_removed, CAST(coalesce(sum(r.w), 0) AS BIGINT) AS removed_words, coalesce(string_agg(CASE WHEN r.place IS NULL THEN k.t END, chr(10) ORDER BY k.place), '') AS t FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.place = k.place GROUP BY 1)
-SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words, CASE WHEN text IS NOT NULL THEN length(t) END AS clean_chars, sha256(coalesce(t, '')) AS clean_sha256 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id"""
+LINES = rf"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '{linededup.SOFT_LINE}')) AS t, generate_subscripts(regexp_extract_all(text, '{linededup.SOFT_LINE}'), 1) AS i FROM documents WHERE length(text) > 0),
+h AS (SELECT *, CAST('0x' || substr(md5(t), 1, 7) AS BIGINT) AS h FROM u),
+g AS (SELECT *, ({linededup.BEFORE} * coalesce(lag(h) OVER o, 0) + {linededup.HERE} * h) % {linededup.MODULUS} AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT *, i > 1 AND i < n - 1 AND r < lag(r) OVER o AND r < lead(r) OVER o AS cut FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+p AS (SELECT *, coalesce(sum(CAST(coalesce(cut, false) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
+k AS (SELECT doc_id, place, string_agg(t, '' ORDER BY i) AS t FROM p GROUP BY 1, 2),
+f AS (SELECT *, len(regexp_extract_all(t, '{W}')) AS w, row_number() OVER (PARTITION BY t ORDER BY doc_id, place) AS seen FROM k),
+e AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM f WHERE seen > 1),
+x AS (SELECT doc_id, place, w, sum(w) OVER (PARTITION BY doc_id, run) AS rw FROM e), r AS (SELECT * FROM x WHERE rw >= {linededup.MIN_WORDS}),
+m AS (SELECT k.doc_id, count(r.place) AS n_removed, CAST(coalesce(sum(r.w), 0) AS BIGINT) AS removed_words, coalesce(string_agg(CASE WHEN r.place IS NULL THEN k.t END, '' ORDER BY k.place), '') AS t FROM k LEFT JOIN r ON r.doc_id = k.doc_id AND r.place = k.place GROUP BY 1)
+SELECT d.doc_id, coalesce(n_removed, 0) AS n_removed, coalesce(removed_words, 0) AS removed_words, CASE WHEN text IS NOT NULL THEN coalesce(length(t), 0) END AS clean_chars, sha256(coalesce(t, '')) AS clean_sha256 FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id"""
 
 QUALITY = rf"""WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents), u AS (SELECT doc_id, unnest(regexp_extract_all(t, '{W}')) AS w, generate_subscripts(regexp_extract_all(t, '{W}'), 1) AS i FROM d),
 k AS (SELECT doc_id, i, concat_ws(' ', w, lead(w, 1) OVER o, lead(w, 2) OVER o, lead(w, 3) OVER o, lead(w, 4) OVER o, lead(w, 5) OVER o, lead(w, 6) OVER o, lead(w, 7) OVER o) AS k, lead(w, 7) OVER o AS last FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
@@ -45,8 +47,8 @@ m AS (SELECT d.doc_id, source, len(regexp_extract_all(t, '{W}')) AS n_words, len
   coalesce(lines, 0) AS n_lines, coalesce(dups, 0) AS n_dup_lines, coalesce(r, 0) AS n_repeat_words FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id),
 b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
 a AS (SELECT *, base_failed OR 100 * n_symbols > {quality.MAX_SYMBOL_PERCENT} * n_words OR 100 * n_dup_lines > {quality.MAX_DUP_LINE_PERCENT} * n_lines AS any_failed FROM b),
-s AS (SELECT source, count(*) AS n, count(*) FILTER (any_failed) AS f FROM a GROUP BY 1), v AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM s),
-q AS (SELECT m, CASE WHEN coalesce(v, 0) = 0 OR m <= 0 OR m >= 1 THEN 1.0 ELSE greatest(m * (1 - m) / v - 1, 1.0) END AS st FROM v), y AS (SELECT source, (f + m * st) / (n + st) AS rate FROM s, q)
+s AS (SELECT source, count(*) AS n, count(*) FILTER (any_failed) AS f FROM a GROUP BY 1), v AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v, avg(1 / n) AS inv FROM s),
+q AS (SELECT m, CASE WHEN v IS NULL OR m <= 0 OR m >= 1 THEN 1.0 WHEN v - m * (1 - m) * inv <= 0 THEN {quality.MOST_STRENGTH} ELSE least(greatest(m * (1 - m) / (v - m * (1 - m) * inv) - 1, 1.0), {quality.MOST_STRENGTH}) END AS st FROM v), y AS (SELECT source, (f + m * st) / (n + st) AS rate FROM s, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > {quality.HOST_LIMIT} AND any_failed) AS kept, round(rate, 9) AS host_rate FROM a JOIN y ON a.source IS NOT DISTINCT FROM y.source"""
 
 ORACLES = {"op2_mixing": MIXING, "op6_minhash": MINHASH, "op7_exact_dedup": EXACT, "op9_line_dedup": LINES, "op10_quality": QUALITY}

@@ -5,8 +5,13 @@ host's failure rate is shrunk towards all hosts with an empirical beta prior (me
 verdict is joined back.  A host verdict only removes documents that fail a rule themselves, so clean documents of a
 bad host stay.
 
-Defined cases: a null text has no words and fails; repeated rows are measured row by row; a null host forms one
-host; an empty table gives an empty result; extra columns are ignored unless named in ``carry``.
+The prior's variance is what the hosts' rates vary beyond the noise of their binomial counts; small hosts are
+therefore drawn far towards the mean, large ones hardly.
+
+Defined cases: a null or empty text has no words and fails; repeated rows, and rows that share an id, are measured
+row by row; a null host forms one host; a rate at the limit is not above it (ties keep); a very long text is measured
+whole, in time proportional to its words; an empty table gives an empty result; extra columns are ignored by
+``judge`` and kept by ``keep_good``, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ MAX_SYMBOL_PERCENT = 10
 MAX_DUP_LINE_PERCENT = 30
 #: A host is bad when its shrunk failure rate is above this.
 HOST_LIMIT = 0.5
+#: Documents that the prior counts for at most (hosts whose rates vary by no more than chance get the mean rate).
+MOST_STRENGTH = 1_000_000.0
 
 #: Up to so many bad hosts are sent to all tasks (a few MB); more of them are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
@@ -114,25 +121,30 @@ def rules(measured: DataFrame) -> DataFrame:
 def host_verdicts(ruled: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """One row per host: documents, failures, shrunk failure rate and verdict.
 
-    The prior's two parameters come from the mean and variance of the hosts' rates.  They are two numbers, read by
-    the driver from one aggregated row.  With fewer than two hosts, or rates that do not vary, one pseudo-document
-    at the mean rate is the prior.
+    The prior's two parameters come from the mean and variance of the hosts' rates.  They are three numbers, read by
+    the driver from one aggregated row.  With fewer than two hosts one pseudo-document at the mean rate is the prior.
     """
     hosts = ruled.groupBy(F.col(host_col).alias("host")).agg(
         F.count(F.lit(1)).alias("host_docs"), F.sum(F.col("any_failed").cast("long")).alias("host_failures")
     )
     rate = F.col("host_failures") / F.col("host_docs")
-    row = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v")).first()
-    alpha, beta = beta_prior(row["m"], row["v"])
+    row = hosts.agg(F.avg(rate).alias("m"), F.var_samp(rate).alias("v"), F.avg(1 / F.col("host_docs")).alias("inverse")).first()
+    alpha, beta = beta_prior(row["m"], row["v"], row["inverse"])
     shrunk = (F.col("host_failures") + F.lit(alpha)) / (F.col("host_docs") + F.lit(alpha + beta))
     return hosts.withColumn("host_rate", shrunk).withColumn("host_bad", F.col("host_rate") > F.lit(limit))
 
 
-def beta_prior(mean: float | None, variance: float | None) -> tuple[float, float]:
+def beta_prior(mean: float | None, variance: float | None, inverse_docs: float | None = 0.0) -> tuple[float, float]:
+    """(alpha, beta) from the mean and variance of the hosts' rates and the mean of 1 / documents of a host.
+
+    A host's rate varies by m (1 - m) / n around its own mean by chance alone; that much is taken off the variance.
+    """
     mean = mean or 0.0
-    if not variance or mean <= 0.0 or mean >= 1.0:
+    if variance is None or mean <= 0.0 or mean >= 1.0:
         return mean, 1.0 - mean
-    strength = max(mean * (1.0 - mean) / variance - 1.0, 1.0)
+    spread = mean * (1.0 - mean)
+    between = variance - spread * (inverse_docs or 0.0)
+    strength = min(max(spread / between - 1.0, 1.0), MOST_STRENGTH) if between > 0.0 else MOST_STRENGTH
     return mean * strength, (1.0 - mean) * strength
 
 
@@ -158,7 +170,7 @@ def keep_good(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     bad = stored(host_verdicts(ruled, "host_key").where("host_bad").select("host", "host_bad"), "bad-hosts")
     if bad.count() <= BROADCAST_HOSTS:
         bad = F.broadcast(bad)
-    packed = df.select(F.struct(*df.columns).alias("row"), measures_of(F.col(text_col)).alias("measured"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), measures_of(F.col(text_col)).alias("measured"))
     again = rules(packed.select("row", "measured.*"))
     kept = again.join(bad, F.col(f"row.{host_col}").eqNullSafe(F.col("host")), "left").where(
         ~F.col("base_failed") & ~(F.coalesce("host_bad", F.lit(False)) & F.col("any_failed"))

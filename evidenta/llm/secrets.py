@@ -2,13 +2,15 @@
 
 Every text is scanned for candidate spans: three base kinds (assignments, access keys, long hex runs) and bare
 high-entropy tokens.  Candidate values are hashed and aggregated over the whole corpus by distinct repositories
-(documents) and owners (sources).  Values that several owners hold are widely copied examples; values of a single
-owner that look live (mixed character classes, enough entropy, no placeholder words) are credentials.  The count of repositories
-has no part in the verdict, so a token that many documents of one owner copy counts as live in each.  Live bare
-tokens are added to the base spans as kind ``live``; base spans always stay.
-
-Defined cases: a null text counts as empty and has no spans; repeated rows count once as a repository (same id); a
-null owner is one owner; a row with a null id keeps its base spans and gets no live ones; an empty table gives an empty result; extra columns are ignored.
+(documents) and owners (sources).  Values that COPIED_OWNERS owners hold, or that stand in COPIED_REPOS repositories,
+are widely copied examples; values of a single owner in fewer repositories that look live (mixed character classes,
+enough entropy, no placeholder words) are credentials.  Live bare tokens are added to the base spans as kind ``live``;
+base spans always stay.
+
+Defined cases: a null text counts as empty and has no spans; rows that share an id are one repository, and equal rows
+of one id get equal spans; a null owner is one owner and a null id one repository; a very long text is scanned in time
+proportional to its length and number of spans; ties do not occur (counts alone decide); an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, steps, stored
+from .common import arrow_map, candidate_filter, may_contain, steps, stored
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -39,11 +41,11 @@ MIN_ASSIGN, MIN_ACCESS = 6, 20
 BARE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 MIN_BITS = 3.0
 PLACEHOLDER = re.compile(r"example|sample|dummy|placeholder|changeme|your|test|xxxx|1234567|abcdef", re.IGNORECASE)
-#: A value with at least this many owners is a widely copied example.
-COPIED_OWNERS = 2
+#: A value with at least this many owners, or in at least this many repositories, is a widely copied example.
+COPIED_OWNERS, COPIED_REPOS = 2, 10
 
 SPAN_SCHEMA = (
-    "doc_id long, owner string, kinds array<string>, starts array<long>, ends array<long>, "
+    "doc_id long, owner string, row long, kinds array<string>, starts array<long>, ends array<long>, "
     "hashes array<string>, live_looking array<boolean>"
 )
 
@@ -70,13 +72,25 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return found
 
 
+def outside(found: list[tuple[int, int]], base: list[tuple[int, int]]) -> list[bool]:
+    """Whether each of the spans ``found`` (by start) touches none of the spans ``base``: one merge of two sorted lists."""
+    ordered, at, reached = sorted(base), 0, -1
+    out = []
+    for start, end in found:
+        while at < len(ordered) and ordered[at][0] < end:
+            reached = max(reached, ordered[at][1])
+            at += 1
+        out.append(reached <= start)
+    return out
+
+
 def candidates(text: str) -> list[tuple[int, str, int, str, bool]]:
     """(start, kind, end, value, live-looking) of base spans and of bare tokens outside them, by start and kind."""
     base = base_spans(text)
     rows = [(s, k, e, v, looks_live(v)) for s, k, e, v in base]
-    for m in BARE.finditer(text):
-        if looks_live(m[0]) and not any(s < m.end() and m.start() < e for s, _, e, _ in base):
-            rows.append((m.start(), 3, m.end(), m[0], True))
+    bare = [m for m in BARE.finditer(text) if looks_live(m[0])]
+    alone = outside([m.span() for m in bare], [(s, e) for s, _, e, _ in base])
+    rows += [(m.start(), 3, m.end(), m[0], True) for m, a in zip(bare, alone, strict=True) if a]
     rows.sort(key=lambda r: (r[0], r[1]))
     return [(s, (*BASE_KINDS, "bare")[k], e, v, live) for s, k, e, v, live in rows]
 
@@ -84,22 +98,23 @@ def candidates(text: str) -> list[tuple[int, str, int, str, bool]]:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row per document with its candidate spans, in one pass without a shuffle."""
     picked = df.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("scanned")
-    )
+        F.col(id_col).cast("long").alias("doc_id"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("scanned"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("row"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in steps(batches, 2):
             found = [candidates(t or "") for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column(0), part.column(1),
+                    part.column(0), part.column(1), part.column(3),
                     pa.array([[r[1] for r in x] for x in found], pa.list_(pa.string())),
                     pa.array([[r[0] for r in x] for x in found], pa.list_(pa.int64())),
                     pa.array([[r[2] for r in x] for x in found], pa.list_(pa.int64())),
                     pa.array([[hashlib.sha256(r[3].encode()).hexdigest() for r in x] for x in found], pa.list_(pa.string())),
                     pa.array([[r[4] for r in x] for x in found], pa.list_(pa.bool_())),
                 ],
-                names=["doc_id", "owner", "kinds", "starts", "ends", "hashes", "live_looking"],
+                names=["doc_id", "owner", "row", "kinds", "starts", "ends", "hashes", "live_looking"],
             )
 
     return arrow_map(picked, run, SPAN_SCHEMA, "secrets")
@@ -119,25 +134,31 @@ def ownership(scanned: DataFrame) -> DataFrame:
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source") -> DataFrame:
     """One row per row of ``df`` with its spans, each marked base, live or neither.
 
-    Columns: doc_id, spans array<struct<kind, start, end, hash, owned>>; ``owned`` marks live-looking values of a
-    single owner.  Bare candidates that are not owned are left out.
+    Columns: doc_id, owner, spans array<struct<kind, start, end, hash, owned>>; ``owned`` marks live-looking values of
+    a single owner in few repositories.  Bare candidates that are not owned are left out.
     """
     scanned = stored(scan(df, id_col, text_col, owner_col), "secrets")
-    owned = ownership(scanned).where(F.col("owners") < COPIED_OWNERS).select("hash", F.lit(True).alias("single"))
-    live = (
-        scanned.select("doc_id", F.explode(F.arrays_zip("hashes", "live_looking")).alias("x"))
-        .where("x.live_looking")
-        .select("doc_id", F.col("x.hashes").alias("hash"))
-        .join(owned, "hash")
-        .groupBy("doc_id")
-        .agg(F.collect_set("hash").alias("owned_hashes"))
+    single = (F.col("owners") < COPIED_OWNERS) & (F.col("repos") < COPIED_REPOS)
+    owned = stored(ownership(scanned).where(single).select("hash", F.xxhash64("hash").alias("value")), "secret-owners")
+    live = scanned.select("row", F.posexplode(F.arrays_zip("hashes", "live_looking")).alias("place", "x")).where("x.live_looking")
+    hashed = live.select("row", "place", F.col("x.hashes").alias("hash"), F.xxhash64("x.hashes").alias("value"))
+    # The filter keeps copied values, of which one may stand in a third of all rows, out of the shuffle.
+    marked = may_contain(hashed, "value", candidate_filter(owned, "value")).join(owned.select("hash"), "hash")
+    places = marked.select("row", "place").distinct().groupBy("row").agg(F.collect_list("place").alias("owned_at"))
+    joined = scanned.join(places, "row", "left")
+    every = F.when(F.size("kinds") > 0, F.sequence(F.lit(0), F.size("kinds") - 1)).otherwise(F.array().cast("array<int>"))
+    owned_at = F.coalesce("owned_at", F.array().cast("array<int>"))
+    flags = F.array_sort(
+        F.concat(
+            F.transform(owned_at, lambda i: F.struct(i.alias("i"), F.lit(True).alias("owned"))),
+            F.transform(F.array_except(every, owned_at), lambda i: F.struct(i.alias("i"), F.lit(False).alias("owned"))),
+        )
     )
-    marked = scanned.join(live, "doc_id", "left").withColumn("owned_hashes", F.coalesce("owned_hashes", F.array().cast("array<string>")))
     spans = F.transform(
-        F.arrays_zip("kinds", "starts", "ends", "hashes", "live_looking"),
+        flags,
         lambda x: F.struct(
-            x["kinds"].alias("kind"), x["starts"].alias("start"), x["ends"].alias("end"), x["hashes"].alias("hash"),
-            (x["live_looking"] & F.array_contains(F.col("owned_hashes"), x["hashes"])).alias("owned"),
+            F.get("kinds", x["i"]).alias("kind"), F.get("starts", x["i"]).alias("start"), F.get("ends", x["i"]).alias("end"),
+            F.get("hashes", x["i"]).alias("hash"), x["owned"].alias("owned"),
         ),
     )
-    return marked.select("doc_id", "owner", F.filter(spans, lambda x: (x["kind"] != "bare") | x["owned"]).alias("spans"))
+    return joined.select("doc_id", "owner", F.filter(spans, lambda x: (x["kind"] != "bare") | x["owned"]).alias("spans"))

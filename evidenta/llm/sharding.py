@@ -4,15 +4,18 @@ A row descends from the root over regions and racks to a shard.  At each level e
 draw, -ln(u) / weight with u from a hash of the row's key and the child's name, and the least draw wins, so a child
 is chosen in proportion to its weight and a changed weight moves rows only into or out of that child's subtree.
 
-Law: ``key``.  The key and the shard count alone decide, and one more shard takes rows only into itself.  For the
-latter a tree that grows keeps its subtrees as they were and adds a *stake* for the new shard: the grown region takes
-part in the root's draw once with its old weight and once with the added weight, and rows that the added stake wins
-descend to the new shard alone.  (If they were drawn afresh among all racks of the grown region, some would land on
-old shards.)
-
-Defined cases: a null text has no bytes (size 1, checksum of nothing: 0); a null key is hashed as an empty string;
-equal texts fall where their keys say; repeated rows share a shard and get different slots; an empty table gives an
-empty result; extra columns are ignored.
+Law: ``key``.  The key and the shard count alone decide, and one more shard takes rows only into itself.  The new
+shard is a leaf of its own region and rack, and the added weight counts on every level above it.  A subtree's draw is
+the least over its *stakes*: its weight before and each weight added since, every stake with a hash of its own (the
+least of independent draws is again a draw of the summed weight).  A row that a subtree wins by an added stake came
+for the new shard, so on the levels below only stakes that hold that shard take part; a row that the first stake wins
+descends as it did before.  So the rows that growth moves are exactly those that reach the new shard, and they leave
+every region, rack and shard in proportion to its weight.
+
+Defined cases: a null text has no bytes (size 1, checksum of nothing: 0), like an empty one; a null key is hashed as an
+empty string; equal texts fall where their keys say; repeated rows, and rows that share an id, share a shard and get
+different slots; a very long text is only measured and summed up; ties of a draw go to the child named first; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,15 +32,31 @@ REGIONS, RACKS = 2, 2
 ROWS_PER_BUCKET = 2000
 
 
+@dataclass(frozen=True)
+class Stake:
+    """A weight that takes part in a subtree's draw; ``shard`` is the new shard that brought it (None: there from the start)."""
+
+    weight: float
+    shard: int | None = None
+
+
 @dataclass(frozen=True)
 class Node:
-    """A subtree. ``stake`` names the growth step that added it; leaves have a shard number."""
+    """A subtree with its stakes; leaves have a shard number."""
 
     name: str
-    weight: float
+    stakes: tuple[Stake, ...]
     children: tuple[Node, ...] = ()
     shard: int | None = None
 
+    @property
+    def weight(self) -> float:
+        return sum(x.weight for x in self.stakes)
+
+
+def _of(weight: float) -> tuple[Stake, ...]:
+    return (Stake(weight),)
+
 
 def build_tree(shards: int, regions: int = REGIONS, racks: int = RACKS, weights: dict[int, float] | None = None) -> Node:
     """Shards dealt round over regions, then racks; a subtree weighs as much as its shards."""
@@ -47,36 +66,58 @@ def build_tree(shards: int, regions: int = REGIONS, racks: int = RACKS, weights:
         rack_nodes = []
         for r in range(racks):
             own = [s for s in range(shards) if s % regions == g and s // regions % racks == r]
-            leaves = tuple(Node(f"shard{s}", weights.get(s, 1.0), shard=s) for s in own)
+            leaves = tuple(Node(f"shard{s}", _of(weights.get(s, 1.0)), shard=s) for s in own)
             if leaves:
-                rack_nodes.append(Node(f"rack{g}.{r}", sum(x.weight for x in leaves), leaves))
+                rack_nodes.append(Node(f"rack{g}.{r}", _of(sum(x.weight for x in leaves)), leaves))
         if rack_nodes:
-            found.append(Node(f"region{g}", sum(x.weight for x in rack_nodes), tuple(rack_nodes)))
-    return Node("root", sum(x.weight for x in found), tuple(found))
+            found.append(Node(f"region{g}", _of(sum(x.weight for x in rack_nodes)), tuple(rack_nodes)))
+    return Node("root", _of(sum(x.weight for x in found)), tuple(found))
 
 
 def grow(tree: Node, shard: int, weight: float = 1.0, regions: int = REGIONS, racks: int = RACKS) -> Node:
-    """The tree with one more shard as a stake of its own in its region and rack."""
-    g, r = shard % regions, shard // regions % racks
-    leaf = Node(f"shard{shard}", weight, shard=shard)
-    rack = Node(f"rack{g}.{r}+{shard}", weight, (leaf,))
-    return Node(tree.name, tree.weight + weight, (*tree.children, Node(f"region{g}+{shard}", weight, (rack,))))
+    """The tree with one more shard in its region and rack; nodes on the way get a stake of its weight."""
+    path = (f"region{shard % regions}", f"rack{shard % regions}.{shard // regions % racks}")
+    added = Stake(weight, shard)
+
+    def placed(node: Node, below: tuple[str, ...]) -> Node:
+        if not below:
+            return Node(node.name, (*node.stakes, added), (*node.children, Node(f"shard{shard}", (added,), shard=shard)))
+        names = [c.name for c in node.children]
+        if below[0] in names:
+            children = tuple(placed(c, below[1:]) if c.name == below[0] else c for c in node.children)
+        else:
+            children = (*node.children, placed(Node(below[0], ()), below[1:]))
+        return Node(node.name, (*node.stakes, added), children)
+
+    return placed(tree, path)
+
+
+#: The root's draw is open to all stakes; below it, only to those of the layer (the new shard, or None) that won above.
+ALL = -1
+
+
+def _draws(key: Column, node: Node, layer: int | None) -> list[tuple[Column, Node, Stake]]:
+    """(draw, child, stake) of the stakes that take part below a node."""
+    out = []
+    for child in node.children:
+        for stake in child.stakes:
+            if layer == ALL or stake.shard == layer:
+                name = child.name if stake.shard is None or child.shard is not None else f"{child.name}+{stake.shard}"
+                out.append((-F.log(hash_unit(key, F.lit(name))) / F.lit(stake.weight), child, stake))
+    return out
 
 
-def descend(key: Column, node: Node) -> Column:
+def descend(key: Column, node: Node, layer: int | None = ALL) -> Column:
     """The shard that a key reaches below a node."""
     if node.shard is not None:
         return F.lit(node.shard)
-    if len(node.children) == 1:
-        return descend(key, node.children[0])
-    draws = [
-        F.struct((-F.log(hash_unit(key, F.lit(c.name))) / F.lit(c.weight)).alias("draw"), F.lit(i).alias("child"))
-        for i, c in enumerate(node.children)
-    ]
-    winner = F.array_min(F.array(*draws))["child"]
-    chosen = F.when(winner == 0, descend(key, node.children[0]))
-    for i, c in enumerate(node.children[1:], 1):
-        chosen = chosen.when(winner == i, descend(key, c))
+    drawn = _draws(key, node, layer)
+    if len(drawn) == 1:
+        return descend(key, drawn[0][1], drawn[0][2].shard)
+    winner = F.array_min(F.array(*[F.struct(d.alias("draw"), F.lit(i).alias("stake")) for i, (d, _, _) in enumerate(drawn)]))["stake"]
+    chosen = F.when(winner == 0, descend(key, drawn[0][1], drawn[0][2].shard))
+    for i, (_, child, stake) in enumerate(drawn[1:], 1):
+        chosen = chosen.when(winner == i, descend(key, child, stake.shard))
     return chosen
 
 

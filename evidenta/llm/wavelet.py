@@ -7,9 +7,13 @@ at the end), a rank directory over each plane, and the documents' ids and length
 occurrences.  Files are rows of a table in the shared folder (one binary cell each), so any store that Spark reaches
 holds them.
 
-Defined cases: a null or empty text is the end id alone; rows that share an id follow one another; null ids come
-first; an empty table gives no file; special-token strings in a text become their special ids, as the library does;
-extra columns are ignored.
+The query reads every file back: all ids by the bulk decoder, each document's last id by ``access`` (it has to be the end
+id, else the file is broken) and the end ids inside each document by ``rank``.
+
+Defined cases: a null or empty text is the end id alone; rows that share an id follow one another in the order of
+their texts' hashes, equal rows are written twice; null ids come first; a very long text is one document of a shard of
+its own (a shard holds whole documents); ties do not occur; an empty table gives no file; special-token strings in a
+text become their special ids, as the library does; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -206,6 +210,21 @@ class WaveletMatrix:
                 begin, end = begin - int(ones[0]), end - int(ones[1])
         return end - begin
 
+    def rank(self, token: int, positions: np.ndarray) -> np.ndarray:
+        """Occurrences of a token before each of the positions."""
+        s, at = self._symbol(token), np.asarray(positions, dtype=np.int64).copy()
+        if s is None:
+            return np.zeros(len(at), dtype=np.int64)
+        begin = 0
+        for level in range(int(self.codes.lengths[s])):
+            ones = self._ones(level, np.append(at, begin))
+            if self.codes.bits[level][s]:
+                zeros = self._zeros(level)
+                at, begin = zeros + ones[:-1], zeros + int(ones[-1])
+            else:
+                at, begin = at - ones[:-1], begin - int(ones[-1])
+        return at - begin
+
     def select(self, token: int) -> np.ndarray:
         """Positions of all occurrences of a token."""
         s = self._symbol(token)
@@ -422,7 +441,7 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     Documents are range-partitioned by id, so shards hold consecutive ids.
     """
     picked = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    ordered = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
     names = ["part", "seq", "first_id", "docs", "tokens", "file"]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
@@ -459,8 +478,8 @@ def shard_starts(shards: DataFrame) -> DataFrame:
     )
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files.
+def read_documents(shards: DataFrame, end_id: int) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, n_end_ids) of every document, read from the files.
 
     The files are decoded where they are read; only the documents' narrow rows meet the shards' first positions.
     """
@@ -471,20 +490,23 @@ def read_documents(shards: DataFrame) -> DataFrame:
             for part, seq, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 matrix, ids, valid, lengths = WaveletMatrix.from_bytes(data)
                 ends = np.cumsum(lengths)
+                if (matrix.access(ends - 1) != end_id).any():
+                    raise ValueError(f"file {seq} of part {part} is broken: a document does not close with the end id")
+                end_ids = matrix.rank(end_id, ends) - matrix.rank(end_id, ends - lengths)
                 raw = memoryview(matrix.decode().astype("<u4").tobytes())
                 crcs = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(np.full(len(ids), seq, dtype=np.int64)),
-                        pa.array(ids, mask=~valid), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()),
+                        pa.array(ids, mask=~valid), pa.array(ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64()), pa.array(end_ids),
                     ],
-                    names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"],
+                    names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "n_end_ids"],
                 )
 
-    found = arrow_map(files, run, "part int, seq long, doc_id long, at long, n_tokens long, ids_crc32 long", "wavelet")
+    found = arrow_map(files, run, "part int, seq long, doc_id long, at long, n_tokens long, ids_crc32 long, n_end_ids long", "wavelet")
     placed = found.join(shard_starts(shards), ["part", "seq"])
-    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return placed.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "n_end_ids")
 
 
 def round_trip(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return read_documents(write_shards(df, path, end_id, id_col, text_col))
+    return read_documents(write_shards(df, path, end_id, id_col, text_col), end_id)

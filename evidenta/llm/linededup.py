@@ -31,9 +31,10 @@ from pyspark.sql.window import Window
 
 from .common import candidate_filter, join_counted, marked, may_contain, stored, word_count
 
-#: Soft lines as a pattern (the same in Java and in SQL): up to seven words that end in a space and no punctuation,
-#: then a word with the space or line feed behind it, or the text's last word.
-SOFT_LINE = r"(?:(?:[^ \n]*[^ \n.,;:!?])? ){0,7}(?:[^ \n]*[ \n]|[^ \n]+\z)"
+#: Soft lines as a pattern: up to seven words that end in a space and no punctuation, then a word with the space or
+#: line feed behind it, or the text's last word.  The second form finds the same without possessive steps, for SQL.
+SOFT_LINE = r"(?:[^ \n]*+ (?<![.,;:!?] )){0,7}(?:[^ \n]*+[ \n]|[^ \n]++)"
+SOFT_LINE_SQL = r"(?:(?:[^ \n]*[^ \n.,;:!?])? ){0,7}(?:[^ \n]*[ \n]|[^ \n]+\z)"
 #: The rolling hash of a line and the one before it: (BEFORE * h[-1] + HERE * h[0]) modulo MODULUS.
 BEFORE, HERE, MODULUS = 1_000_003, 8_191, 2_147_483_647
 MIN_WORDS = 20

@@ -197,13 +197,17 @@ def may_contain(df: DataFrame, hash_col: str, keys: KeyFilter) -> DataFrame:
 HEAVY_KEYS = 1000
 
 
+def heavy_rows(rows: int) -> int:
+    return max(1000, rows // HEAVY_KEYS)
+
+
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count_col: str, rows: int) -> DataFrame:
     """``left`` left-joined to ``right`` (one row per key, with the key's number of rows), whatever the skew.
 
     The at most HEAVY_KEYS keys that hold more than a HEAVY_KEYS-th of ``rows`` are broadcast; a task of the shuffled
     join then meets no key with more rows than that.  ``left`` is read twice, so it should be stored.
     """
-    least = max(1000, rows // HEAVY_KEYS)
+    least = heavy_rows(rows)
     heavy = right.where(F.col(count_col) > least)
     others = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(count_col) <= least), keys, "left")
     return left.join(F.broadcast(heavy), keys).unionByName(others)

@@ -311,13 +311,23 @@ def candidate_hits(lone: DataFrame) -> DataFrame:
     return stored(may_contain(banded, "key", candidate_filter(buckets, "key")).join(buckets, "key").select("node", "key", "first"), "hits")
 
 
+def star_labels(links: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of links (a: node, b: hub): the smallest hub of a node's smallest hub, or that hub.
+
+    Nodes of one label are connected; nodes of one component may have several labels, which costs only comparisons.
+    """
+    nearest = links.groupBy("a").agg(F.min("b").alias("hub")).select(F.col("a").alias("node"), F.least("a", "hub").alias("hub"))
+    onward = nearest.select(F.col("node").alias("via"), F.col("hub").alias("label"))
+    return nearest.join(onward, F.col("hub") == F.col("via"), "left").select("node", F.coalesce("label", "hub").alias("label"))
+
+
 def undecided(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label, part) of the bucket mates that the links leave in different components.
+    """(node, label, part) of the bucket mates that the links leave with different labels.
 
     A part is a connected part of the buckets that hold several labels, or one such bucket where the part is large.
     """
-    labels = stored(components(links), "labels")
-    told = hits.join(labels, "node", "left").select("node", "key", "first", F.coalesce("component", "node").alias("label"))
+    labels = stored(star_labels(links), "labels")
+    told = hits.join(labels, "node", "left").select("node", "key", "first", F.coalesce("label", "node").alias("label"))
     told = stored(told, "labelled")
     several = told.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
     several = stored(several, "several")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from evidenta.functions.distributions import chi2_sf, f_sf, t_two_sided
+from evidenta.functions.quantiles import exact_quantile, running_total
 from evidenta.functions.scalars import everything, safe_corr, whole
 from evidenta.plans.config import SCAN
 
@@ -33,21 +34,6 @@ def ranked(df: DataFrame, value: str, name: str, source: DataFrame | None = None
     return df.join(upto.select(F.col("lv").alias("lv2"), (F.col("upto") - (F.col("m") - 1) / 2.0).alias(name)), F.col(value) == F.col("lv2")).drop("lv2")
 
 
-def running_total(levels: DataFrame, key: str, m: str) -> DataFrame:
-    """``upto``: the sum of ``m`` over keys up to this one, by quantile buckets and offsets.
-
-    The bucket edges are a mergeable sketch's quantiles; any edges give the right totals, even ones balance the work.
-    """
-    edges = levels.agg(F.percentile_approx(key, F.lit([i / 64 for i in range(1, 64)]), 1000).alias("edges"))
-    keyed = levels.withColumn("one", F.lit(0)).join(F.broadcast(edges.withColumn("one", F.lit(0))), "one")
-    bucket = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < F.col(key)))
-    keyed = keyed.withColumn("bucket", bucket).drop("edges", "one")
-    sums = keyed.groupBy("bucket").agg(F.sum(m).alias("bs"))
-    offsets = sums.select(F.col("bucket").alias("b2"), (F.sum("bs").over(Window.orderBy("bucket")) - F.col("bs")).alias("before"))
-    inside = F.sum(m).over(Window.partitionBy("bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
-    return keyed.withColumn("inside", inside).join(F.broadcast(offsets), F.col("bucket") == F.col("b2")).withColumn("upto", F.col("before") + F.col("inside")).drop("bucket", "b2", "before", "inside")
-
-
 def pearson(df: DataFrame, x: str, y: str) -> DataFrame:
     """n and r; 0 for a constant column."""
     return pairs(df, x, y).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nanvl(safe_corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("pearson_r"))
@@ -243,11 +229,20 @@ def first_differences(df: DataFrame, value: str, order: str, *partition: str) ->
     return df.withColumn("difference", F.col(value) - F.lag(value).over(Window.partitionBy(*partition).orderBy(order)))
 
 
+def group_quantiles(rows: DataFrame, quantiles: dict[str, float]) -> DataFrame:
+    """(g, and a column per quantile) of rows (g, v)."""
+    out = None
+    for name, q in quantiles.items():
+        one = exact_quantile(rows, "v", q, ["g"], name).select("g", name)
+        out = one if out is None else out.join(one, "g")
+    return out
+
+
 def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     """n, mean, median and quartiles per group."""
-    return group_values(df, group, value).groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"), F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.5).alias("median"), F.percentile("v", 0.75).alias("q75")
-    )
+    rows = group_values(df, group, value)
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean"))
+    return sizes.join(group_quantiles(rows, {"q25": 0.25, "median": 0.5, "q75": 0.75}), "g").select("g", "n", "mean", "q25", "median", "q75")
 
 
 def fitted_line(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -255,14 +250,63 @@ def fitted_line(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def scatter_points(df: DataFrame, x: str, y: str, most: int = 600) -> DataFrame:
-    """At most ``most`` points, evenly spaced in the order of x."""
+    """At most ``most`` points, evenly spaced in the order of x, then y; rows are numbered by distinct x."""
     p = pairs(df, x, y)
-    placed = p.withColumn("rn", F.row_number().over(Window.orderBy("x", "y"))).withColumn("n", F.count(F.lit(1)).over(everything()))
-    step = F.greatest(F.lit(1), F.ceil(F.col("n") / most))
-    return placed.where((F.col("rn") - 1) % step == 0).select("x", "y")
+    upto = running_total(p.groupBy("x").agg(F.count(F.lit(1)).alias("m")), "x", "m").select(F.col("x").alias("x0"), (F.col("upto") - F.col("m")).alias("before"))
+    placed = p.join(upto, F.col("x") == F.col("x0")).withColumn("rn", F.col("before") + F.row_number().over(Window.partitionBy("x").orderBy("y")))
+    sized = placed.crossJoin(F.broadcast(p.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / most)).alias("step"))))
+    return sized.where((F.col("rn") - 1) % F.col("step") == 0).select("x", "y")
 
 
 def box_summary(df: DataFrame, group: str, value: str, most: int = 12) -> DataFrame:
-    rows = group_values(df, group, value).groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.percentile("v", F.array(*[F.lit(q) for q in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("q"))
-    named = [F.col("q")[i].alias(n) for i, n in enumerate(("low", "q25", "median", "q75", "high"))]
-    return rows.withColumn("rn", F.row_number().over(Window.orderBy(F.col("n").desc(), "g"))).where(F.col("rn") <= most).select("g", "n", *named)
+    """n, ends, quartiles and median of the ``most`` largest groups; the window runs over one row per group."""
+    rows = group_values(df, group, value)
+    sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    kept = sizes.withColumn("rn", F.row_number().over(Window.orderBy(F.col("n").desc(), "g"))).where(F.col("rn") <= most).drop("rn")
+    shown = rows.join(F.broadcast(kept.select("g")), "g", "left_semi")
+    return kept.join(group_quantiles(shown, {"q25": 0.25, "median": 0.5, "q75": 0.75}), "g").select("g", "n", "low", "q25", "median", "q75", "high")
+
+
+def quartile_strata(df: DataFrame, value: str, name: str = "stratum", parts: int = 4) -> DataFrame:
+    """``df`` with the quantile group 0 .. parts - 1 of a value: groups close above, equal cuts are merged, null stays null."""
+    cuts = sorted({row["quantile"] for i in range(1, parts) if (row := exact_quantile(df, value, i / parts).first()) is not None})
+    v = F.col(value).cast("double")
+    place = sum([(v > F.lit(c)).cast("int") for c in cuts], F.lit(0))
+    return df.withColumn(name, F.when(v.isNotNull(), place))
+
+
+def group_link(df: DataFrame, group: str, value: str) -> DataFrame:
+    """One row: n, groups and the share of the ranks' variance that lies between groups (eta squared of ranks)."""
+    rows = group_values(df, group, value)
+    r = ranked(rows, "v", "r").select("g", "r")
+    return eta_squared(r, "g", "r").select("n", "groups", F.col("eta_squared").alias("rank_eta_squared"))
+
+
+def seasonal_range(df: DataFrame, value: str, ordinal: str, year: int = 12) -> DataFrame:
+    """One row: the spread of the positions' mean values over the mean of them all, and the positions of both ends."""
+    rows = df.where(F.col(value).isNotNull() & F.col(ordinal).isNotNull()).select((F.col(ordinal) % year + 1).cast("int").alias("position"), F.col(value).cast("double").alias("v"))
+    means = rows.groupBy("position").agg(F.avg("v").alias("mean"))
+    ends = means.agg(F.count(F.lit(1)).alias("positions"), F.max("mean").alias("high"), F.min("mean").alias("low"), F.avg("mean").alias("centre"),
+                     F.min_by("position", F.struct(-F.col("mean"), "position")).alias("peak"), F.min_by("position", F.struct("mean", "position")).alias("trough"))
+    return ends.where("positions >= 2").select("positions", "peak", "trough", F.when(F.col("centre") != 0, (F.col("high") - F.col("low")) / F.abs("centre")).alias("seasonal_range"))
+
+
+def latest_absolute_change(df: DataFrame, value: str, ordinal: str) -> DataFrame:
+    """One row: the mean of the last period less that of the period before, in the value's unit."""
+    means = df.where(F.col(value).isNotNull() & F.col(ordinal).isNotNull()).groupBy(F.col(ordinal).alias("o")).agg(F.avg(F.col(value).cast("double")).alias("m"))
+    last = means.agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("o", "m")))), 1, 2).alias("s"))  # one row per period of the calendar
+    return last.where(F.size("s") == 2).select(F.col("s")[0]["o"].alias("latest"), F.col("s")[1]["o"].alias("before"), (F.col("s")[0]["m"] - F.col("s")[1]["m"]).alias("absolute_change"))
+
+
+def gaps_filled(df: DataFrame, value: str, ordinal: str, *partition: str) -> DataFrame:
+    """(partition, ordinal, value, filled): every period between a series' first and last, missing values on the line
+    between their neighbours.  A window holds one series, as long as the calendar."""
+    key = list(partition)
+    known = df.where(F.col(value).isNotNull() & F.col(ordinal).isNotNull()).select(*key, F.col(ordinal).cast("long").alias("o"), F.col(value).cast("double").alias("v"))
+    by = Window.partitionBy(*key).orderBy("o")
+    after = known.withColumns({"o2": F.lead("o").over(by), "v2": F.lead("v").over(by)})
+    steps = F.sequence("o", F.coalesce(F.col("o2") - 1, F.col("o")))
+    spread = after.select(*key, "o", "v", "o2", "v2", F.explode(steps).alias("at"))
+    share = F.coalesce((F.col("at") - F.col("o")) / (F.col("o2") - F.col("o")), F.lit(0.0))
+    line = F.col("v") + F.coalesce(F.col("v2") - F.col("v"), F.lit(0.0)) * share
+    return spread.select(*key, F.col("at").alias(ordinal), line.alias(value), (F.col("at") > F.col("o")).alias("filled"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidenta.functions.quantiles import exact_quantile
+from evidenta.functions.quantiles import exact_quantile, running_total
 from evidenta.functions.scalars import everything, mid_rank, safe_corr, seeded
 from evidenta.operators import association as A
 
@@ -63,11 +63,26 @@ def robust_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def trim(df: DataFrame, effect: Effect, columns: list[str], row_id: str) -> DataFrame:
-    """A1: without the rows that are extreme on a claim column, a tenth of all rows at most."""
-    scored = robust_scores(df, columns)
-    cap = int(TRIM * df.count())
-    extreme = scored.where(F.col("extremity") > OUTLIER_Z).orderBy(F.col("extremity").desc(), row_id).limit(cap).select(F.col(row_id).alias("gone"))
-    return _judged("trim", effect(df), effect(df.join(extreme, F.col(row_id) == F.col("gone"), "left_anti")))
+    """A1: without the rows that are extreme on a claim column, a tenth of all rows at most (the most extreme, then by id).
+
+    Where more rows are extreme, running totals over the distinct scores find the score at which the tenth ends; only
+    rows of that very score are ordered.
+    """
+    scored = robust_scores(df, columns).persist()
+    cap = int(TRIM * scored.count())
+    far = scored.where(F.col("extremity") > OUTLIER_Z)
+    gone = F.col("extremity") > OUTLIER_Z
+    if far.count() > cap:
+        levels = far.groupBy((-F.col("extremity")).alias("low")).agg(F.count(F.lit(1)).alias("m"))
+        row = running_total(levels, "low", "m").where(F.col("upto") > cap).agg(F.min(F.struct("low", "upto", "m")).alias("at")).first()["at"]
+        edge = far.where(-F.col("extremity") == F.lit(row["low"])).select(F.col(row_id).alias("edge_id"))
+        kept = edge.orderBy("edge_id").limit(cap - row["upto"] + row["m"])
+        marked = scored.join(kept, F.col(row_id) == F.col("edge_id"), "left")
+        rest = marked.where(~((-F.col("extremity") < F.lit(row["low"])) | F.col("edge_id").isNotNull())).drop("edge_id")
+    else:
+        rest = scored.where(~gone)
+    out = _judged("trim", effect(scored), effect(rest.drop("extremity")))
+    return out
 
 
 def halves(df: DataFrame, effect: Effect, row_id: str, ordinal: str | None = None, seed: int = 1) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from evidenta.functions.quantiles import exact_quantile
-from evidenta.functions.scalars import bands, close, compare, everything, label, mid_rank, money, percent, share, whole, without_codes
+from evidenta.functions.quantiles import exact_quantile, running_total
+from evidenta.functions.scalars import bands, close, compare, everything, label, money, percent, share, whole, without_codes
 from evidenta.operators.windows import WindowPair
 from evidenta.plans.config import EXACT
 
@@ -89,12 +89,11 @@ def variance_decomposition(df: DataFrame, segment: str, measure: str, pair: Wind
 def concentration(df: DataFrame, segment: str, measure: str) -> DataFrame:
     """segments, total, largest share and share of the top tenth (from 10 segments on); no rows for negative totals."""
     totals = df.groupBy(label(F.col(segment)).alias("segment")).agg(F.coalesce(F.sum(money(F.col(measure))), F.lit(0)).alias("total"))
-    ranked = totals.withColumn("rn", F.row_number().over(Window.orderBy(F.col("total").desc(), "segment"))).withColumn("n", F.count(F.lit(1)).over(everything()))
-    top = F.sum(F.when(F.col("rn") <= F.ceil(F.col("n") * 0.1), F.col("total")))
-    out = ranked.agg(
+    top = F.broadcast(exact_quantile_rank(totals, "total", 10, up=True).withColumn("one", F.lit(0)))
+    out = totals.agg(
         F.count(F.lit(1)).alias("segments"), F.sum("total").cast("double").alias("total"), F.min("total").alias("least"),
-        F.max("total").cast("double").alias("largest"), top.cast("double").alias("top"),
-    ).where("least >= 0 and total > 0")
+        F.max("total").cast("double").alias("largest"),
+    ).where("least >= 0 and total > 0").withColumn("one", F.lit(0)).join(top, "one").withColumn("top", F.col("top").cast("double"))
     return out.select(
         "segments", "total", (F.col("largest") / F.col("total")).alias("largest_share"),
         F.when(F.col("segments") >= 10, F.col("top") / F.col("total")).alias("top_tenth_share"),
@@ -338,8 +337,7 @@ def customer_totals(df: DataFrame, customer: str, measure: str, ordinal: str = "
 def customer_view(df: DataFrame, customer: str, measure: str, ordinal: str = "month_no") -> DataFrame:
     """One row: customers, shares of the positive total held by the top ten and the top tenth, repeat share, unknown rows.
 
-    The two ranks are taken from a sort of one row per customer by range, not from one task: a customer's rank is the
-    count of larger totals, and only the few largest are ranked.
+    The top tenth comes from running totals by range; only the ten largest customers are ordered.
     """
     totals = customer_totals(df, customer, measure, ordinal)
     figures = totals.agg(
@@ -360,16 +358,17 @@ def customer_view(df: DataFrame, customer: str, measure: str, ordinal: str = "mo
     )
 
 
-def exact_quantile_rank(df: DataFrame, value: str, parts: int) -> DataFrame:
-    """One row ``top``: the sum, floored at 0 each, of the floor(n / parts) largest values.
+def exact_quantile_rank(df: DataFrame, value: str, parts: int, up: bool = False) -> DataFrame:
+    """One row ``top``: the sum, floored at 0 each, of the floor (or ceiling) of n / parts largest values.
 
-    Values are grouped first, so ties need no order and the window runs over distinct values by range.
+    Values are grouped first, so ties need no order, and added up by range buckets.
     """
     levels = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("m"))
-    running = levels.withColumn("upto", F.sum("m").over(Window.orderBy(F.col("v").desc()).rowsBetween(Window.unboundedPreceding, 0)))
-    sized = running.withColumn("want", F.floor(F.sum("m").over(everything()) / parts))
-    taken = F.greatest(F.lit(0), F.least(F.col("m"), F.col("want") - (F.col("upto") - F.col("m"))))
-    return sized.agg(F.coalesce(F.sum(F.greatest("v", F.lit(0)) * taken.cast("decimal(18,0)")), F.lit(0)).alias("top"))
+    running = running_total(levels.withColumn("low", -F.col("v").cast("double")), "low", "m")
+    share = F.sum("m") / parts
+    want = levels.agg((F.ceil(share) if up else F.floor(share)).cast("long")).scalar()
+    taken = F.greatest(F.lit(0), F.least(F.col("m"), want - (F.col("upto") - F.col("m"))))
+    return running.agg(F.coalesce(F.sum(F.greatest("v", F.lit(0)) * taken.cast("decimal(18,0)")), F.lit(0)).alias("top"))
 
 
 def new_and_returning(df: DataFrame, customer: str, measure: str, pair: WindowPair, ordinal: str = "month_no") -> DataFrame:
@@ -393,9 +392,11 @@ def rfm(df: DataFrame, customer: str, measure: str, ordinal: str = "month_no") -
     base = totals.join(placed, F.col("last_period") == F.col("o")).select(
         "customer", (F.col("last_pos") - F.col("pos")).alias("recency"), "frequency", F.col("net").cast("double").alias("money")
     )
+    base = base.persist()  # one row per customer, read once per score
     ranked = base
-    for name, order in (("recency", -F.col("recency")), ("frequency", F.col("frequency")), ("money", F.col("money"))):
-        ranked = with_score(ranked, order, f"{name}_score")
+    for name, sign in (("recency", -1.0), ("frequency", 1.0), ("money", 1.0)):
+        scores = score_levels(base.select((sign * F.col(name)).alias("sk")), f"{name}_score")
+        ranked = ranked.join(scores, sign * F.col(name) == F.col("sk")).drop("sk")
     recent, often = F.col("recency_score"), F.col("frequency_score")
     regular = F.when(recent >= 4, "Champions").when(recent >= 2, "Loyal").otherwise("Lapsed regulars")
     rare = F.when(recent >= 4, "Recent").when(recent <= 2, "Lost").otherwise("Middle")
@@ -403,14 +404,12 @@ def rfm(df: DataFrame, customer: str, measure: str, ordinal: str = "month_no") -
     return ranked.withColumn("rfm_segment", segment)
 
 
-def with_score(df: DataFrame, order: Column, name: str) -> DataFrame:
-    """ceil(5 * average rank / n) of an order, from one row per distinct value."""
-    keyed = df.withColumn("sk", order)
-    levels = keyed.groupBy("sk").agg(F.count(F.lit(1)).alias("m"))
-    upto = F.sum("m").over(Window.orderBy("sk").rowsBetween(Window.unboundedPreceding, 0))
-    scored = levels.withColumn("upto", upto).withColumn("n", F.sum("m").over(everything()))
-    score = F.ceil(5.0 * (F.col("upto") - (F.col("m") - 1) / 2.0) / F.col("n")).cast("int")
-    return keyed.join(scored.select(F.col("sk").alias("k2"), score.alias(name)), F.col("sk") == F.col("k2")).drop("sk", "k2")
+def score_levels(values: DataFrame, name: str) -> DataFrame:
+    """(sk, score): ceil(5 * average rank / n) of every distinct value, by running totals over ranges."""
+    levels = values.groupBy(F.col("sk").cast("double").alias("sk")).agg(F.count(F.lit(1)).alias("m"))
+    n = levels.agg(F.sum("m")).scalar()
+    score = F.ceil(5.0 * (F.col("upto") - (F.col("m") - 1) / 2.0) / n).cast("int")
+    return running_total(levels, "sk", "m").select("sk", score.alias(name))
 
 
 def rfm_segments(scored: DataFrame) -> DataFrame:
@@ -419,10 +418,6 @@ def rfm_segments(scored: DataFrame) -> DataFrame:
     )
 
 
-def mid_ranked(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
-    return df.withColumn(name, mid_rank(F.col(value)))
-
-
 def derived_discounted(price: Column, discount: Column) -> Column:
     """price * (1 - discount)."""
     return price * (1 - discount)

@@ -138,15 +138,18 @@ def leakage_lint(df: DataFrame, target: str, numeric: list[str], tolerance: floa
     """(feature, kind, value): features that give the target away.
 
     An exact line, an identity with a second column (sum or difference), or a near-unique id; two aggregations in all.
+    Distinct values are only counted of columns that hold whole numbers.
     """
     y = F.col(target).cast("double")
-    lines = df.agg(*[F.regr_slope(y, F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)], *[F.regr_intercept(y, F.col(c).cast("double")).alias(f"t{i}") for i, c in enumerate(numeric)]).first()
+    lines = df.agg(*[F.regr_slope(y, F.col(c).cast("double")).alias(f"s{i}") for i, c in enumerate(numeric)], *[F.regr_intercept(y, F.col(c).cast("double")).alias(f"t{i}") for i, c in enumerate(numeric)],
+                   *[F.min((F.col(c).cast("double") % 1 == 0).cast("int")).alias(f"w{i}") for i, c in enumerate(numeric)]).first()
     cells = []
     for i, c in enumerate(numeric):
         x = F.col(c).cast("double")
         if lines[f"s{i}"] is not None:
             cells.append((c, "line", F.avg(close(F.lit(lines[f"s{i}"]) * x + F.lit(lines[f"t{i}"]), y, tolerance).cast("int"))))
-        cells.append((c, "unique_id", F.when(F.min((x % 1 == 0).cast("int")) == 1, F.try_divide(F.count_distinct(x), F.count(x))).otherwise(0.0)))
+        if lines[f"w{i}"] == 1:
+            cells.append((c, "unique_id", F.try_divide(F.count_distinct(x), F.count(x))))
         for o in numeric:
             if o == c:
                 continue

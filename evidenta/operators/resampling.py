@@ -41,8 +41,18 @@ def p_value(observed: DataFrame, resampled: DataFrame, statistic: str = "stat")
     return counted.withColumn("p_value", (F.col("extreme") + 1) / (F.col("resamples") + 1)).withColumnRenamed("observed", "statistic")
 
 
+#: Rows that a test by shuffled places takes: each resample orders all rows of a stratum once, in one task.
+PLACED_ROWS = 2_000_000
+
+
 def numbered(df: DataFrame, row_id: str, stratum: list[str] | None = None) -> DataFrame:
-    """``i``: the row's place in the order of its id (within its stratum)."""
+    """``i``: the row's place in the order of its id (within its stratum).
+
+    Tests by shuffled places are for the rows of one claim's confirmation sample; a larger one is refused, not cut
+    (``spread_rank_test`` takes whole tables).
+    """
+    if (n := df.limit(PLACED_ROWS + 1).count()) > PLACED_ROWS:
+        raise ValueError(f"more than {PLACED_ROWS} rows ({n}): use spread_rank_test")
     return df.withColumn("i", F.row_number().over(Window.partitionBy(*(stratum or [F.lit(0)])).orderBy(row_id)))
 
 
@@ -66,7 +76,7 @@ def correlation_test(df: DataFrame, x: str, y: str, row_id: str, resamples: int,
     """Rank correlation against free shuffles of y, or shuffles within strata (the statistic is always the overall one)."""
     keep = [F.col(row_id).alias("rid"), (F.col(stratum) if stratum else F.lit(0)).alias("stratum")]
     rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), *keep).where("x is not null and y is not null")
-    r = rows.withColumn("rx", mid_rank(F.col("x"))).withColumn("ry", mid_rank(F.col("y")))
+    r = ranked(ranked(rows, "x", "rx"), "y", "ry", rows)
     placed = numbered(r, "rid", ["stratum"]).select("rid", "stratum", "i", "rx", "ry").persist()
     moments = F.broadcast(_rank_moments(placed).withColumn("one", F.lit(0)))
     seen = placed.agg(F.sum(F.col("rx") * F.col("ry")).alias("t")).withColumn("one", F.lit(0)).join(moments, "one").select(_rho(F.col("t")).alias("stat"))
@@ -86,7 +96,7 @@ def group_test(df: DataFrame, group: str, value: str, reference: str, row_id: st
     """Cliff's delta of the reference group against labels that move freely, or within strata; group sizes stay."""
     keep = [F.col(row_id).alias("rid"), (F.col(stratum) if stratum else F.lit(0)).alias("stratum")]
     rows = df.select((F.col(group).cast("string") == reference).cast("int").alias("a"), F.col(value).cast("double").alias("v"), *keep).where("a is not null and v is not null")
-    placed = numbered(rows.withColumn("r", mid_rank(F.col("v"))), "rid", ["stratum"]).select("rid", "stratum", "i", "a", "r").persist()
+    placed = numbered(ranked(rows, "v", "r"), "rid", ["stratum"]).select("rid", "stratum", "i", "a", "r").persist()
     sizes = F.broadcast(placed.agg(F.sum("a").cast("double").alias("na"), F.sum(1 - F.col("a")).cast("double").alias("nb")).withColumn("one", F.lit(0)))
     seen = placed.agg(F.sum(F.col("a") * F.col("r")).alias("t")).withColumn("one", F.lit(0)).join(sizes, "one").select(_delta(F.col("t")).alias("stat"))
     moved = shuffled(placed.select("rid", "stratum", "a").where("a = 1 or a = 0"), resamples, seed, "rid", ["stratum"]).where("a = 1")
@@ -98,7 +108,7 @@ def group_test(df: DataFrame, group: str, value: str, reference: str, row_id: st
 def cluster_test(df: DataFrame, group: str, value: str, reference: str, entity: str, resamples: int, seed: int = GATE.seed) -> DataFrame:
     """Cliff's delta against labels that move between whole entities; a label that varies inside an entity is refused."""
     rows = df.select((F.col(group).cast("string") == reference).cast("int").alias("a"), F.col(value).cast("double").alias("v"), F.col(entity).alias("e")).where("a is not null and v is not null and e is not null")
-    r = rows.withColumn("r", mid_rank(F.col("v")))
+    r = ranked(rows, "v", "r")
     units = r.groupBy("e").agg(F.min("a").alias("a"), F.max("a").alias("a2"), F.sum("r").alias("sr"), F.count(F.lit(1)).cast("double").alias("m")).persist()
     if units.where("a <> a2").limit(1).count():
         raise ValueError("the group varies inside an entity")
@@ -112,7 +122,7 @@ def cluster_test(df: DataFrame, group: str, value: str, reference: str, entity:
     mark = F.sum(F.when(F.col("a") == 1, F.col("sr"))).alias("t"), F.sum(F.when(F.col("a") == 1, F.col("m"))).alias("na")
     moved = shuffled(placed.select("e", "a"), resamples, seed, "e").where("a = 1").select("b", "j")
     base = placed.select("i", "sr", "m")
-    sums = moved.join(F.broadcast(base), F.col("j") == F.col("i")).groupBy("b").agg(F.sum("sr").alias("t"), F.sum("m").alias("na"))
+    sums = moved.join(base, F.col("j") == F.col("i")).groupBy("b").agg(F.sum("sr").alias("t"), F.sum("m").alias("na"))
     return p_value(delta(placed.agg(*mark)).select("stat"), delta(sums).select("b", "stat"))
 
 
@@ -210,16 +220,22 @@ def rejections(corrected: DataFrame, alpha: float = GATE.alpha) -> DataFrame:
 
 
 CHUNK = 250
+#: Rows of a claim that ``fast_rank_test`` brings to the driver and sends to each task (a few MB).
+FAST_ROWS = 200_000
 
 
 def fast_rank_test(df: DataFrame, x: str, y: str, resamples: int = GATE.resamples, seed: int = GATE.seed, kind: str = "correlation", reference: str | None = None) -> DataFrame:
     """The same test for a short series and many resamples: chunks of resamples over Python workers.
 
     The series is one claim's rows, at most the rows of a confirmation sample; it is sent to each task, and resample b
-    draws from a counter-based generator keyed by (seed, b), so chunking does not change the result.
+    draws from a counter-based generator keyed by (seed, b), so chunking does not change the result.  A table of more than
+    FAST_ROWS rows is refused, not cut.
     """
     ship(df.sparkSession)
-    rows = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).dropna().toPandas()
+    known = df.select(F.col(x).alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    rows = known.limit(FAST_ROWS + 1).toPandas()
+    if len(rows) > FAST_ROWS:
+        raise ValueError(f"more than {FAST_ROWS} rows: use spread_rank_test")
     ry = rows["y"].rank().to_numpy()
     if kind == "correlation":
         rx = rows["x"].astype("float64").rank().to_numpy()

@@ -72,7 +72,6 @@ def trend_differenced(y: np.ndarray, resamples: int, seed: int) -> dict:
     if len(y) < 20:
         return _refused("not_run: fewer than 20 periods")
     rng, steps = generator(seed), np.diff(y)
-    steps = steps - steps.mean()
     signs = np.empty((resamples, len(steps)))
     for b in range(resamples):
         for part in blocks(len(steps), block_length(len(steps)), rng):

@@ -14,22 +14,34 @@ TOLERANCE = 0.5  # percentage points
 TOP = 5
 KEYS = {"month": month_key, "quarter": quarter_key, "year": year_key}
 # Month names in labels.
-MONTHS = {m: i + 1 for i, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
+MONTHS = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "oct": 10, "nov": 11, "dec": 12}
+
+#: How people write a period: the period, a pattern with the groups y (year), q (quarter), m (month) or name.
+LABELS = tuple(
+    (period, re.compile(pattern))
+    for period, pattern in (
+        ("month", r"(?P<name>[a-z]{3})[a-z]{0,6}\.? +(?P<y>\d{4})"),
+        ("month", r"(?P<y>\d{4})[-/](?P<m>0?[1-9]|1[0-2])"),
+        ("quarter", r"(?P<y>\d{4}) *-? *q(?P<q>[1-4])"),
+        ("quarter", r"q(?P<q>[1-4]) *-? *(?P<y>\d{4})"),
+        ("year", r"(?:fy *)?(?P<y>\d{4})"),
+    )
+)
 
 
 def parse_period(text: str) -> tuple[str, str] | None:
-    """(period, key) of ``FY2024``, ``2024``, ``2024Q3``, ``Q3 2024``, ``2024-03`` or ``Mar 2024``."""
-    t = text.strip().lower()
-    if m := re.fullmatch(r"(?:fy\s*)?(\d{4})", t):
-        return "year", m[1]
-    if m := re.fullmatch(r"(\d{4})[\s-]*q([1-4])", t):
-        return "quarter", f"{m[1]}Q{m[2]}"
-    if m := re.fullmatch(r"q([1-4])[\s-]*(\d{4})", t):
-        return "quarter", f"{m[2]}Q{m[1]}"
-    if m := re.fullmatch(r"(\d{4})-(\d{2})", t):
-        return ("month", f"{m[1]}-{m[2]}") if 1 <= int(m[2]) <= 12 else None
-    if (m := re.fullmatch(r"([a-z]{3})[a-z]*\.?\s+(\d{4})", t)) and m[1] in MONTHS:
-        return "month", f"{m[2]}-{MONTHS[m[1]]:02d}"
+    """(period, key) of a label such as ``FY2024``, ``2024``, ``2024Q3``, ``Q3 2024``, ``2024-03``, ``2024/3`` or ``Mar 2024``."""
+    written = " ".join(text.lower().split())
+    for period, pattern in LABELS:
+        if found := pattern.fullmatch(written):
+            part = found.groupdict()
+            if period == "year":
+                return period, part["y"]
+            if period == "quarter":
+                return period, f"{part['y']}Q{part['q']}"
+            month = MONTHS.get(part["name"], 0) if part.get("name") else int(part["m"])
+            if month:
+                return period, f"{part['y']}-{month:02d}"
     return None
 
 

@@ -92,7 +92,7 @@ def relative_change(spark, d):
 
 
 def partial_rank_corr(spark, d):
-    return rounded(A.partial_rank(sales(spark, d), "revenue", "cost", "units"), 8)
+    return rounded(A.partial_rank(sales(spark, d, "revenue", "cost", "units"), "revenue", "cost", "units"), 8)
 
 
 def spearman_matrix(spark, d):

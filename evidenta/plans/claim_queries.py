@@ -11,7 +11,7 @@ from evidenta.operators import resampling as R
 from evidenta.plans.association_queries import rank_sql
 from evidenta.plans.config import GATE, STORY_WEIGHTS
 from evidenta.plans.exact_queries import rounded
-from evidenta.plans.views import REGION_MONTH_SQL, SALES_SQL, region_month, sales, table
+from evidenta.plans.views import REGION_MONTH_SQL, SALES_SQL, WHOLE_SQL, region_month, sales, table, whole_months
 
 SEED, B = GATE.seed, 99
 
@@ -54,11 +54,14 @@ def prioritise(spark, d):
 
 
 def screen_words(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.element_at(F.array(*[F.lit(w) for w in _CLAIMS]), (F.col("o_custkey") % 4 + 1).cast("int")), F.lit(" "), F.col("o_orderpriority")).alias("claim"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.element_at(F.array(*[F.lit(w) for w in _CLAIMS]), (F.col("o_custkey") % len(_CLAIMS) + 1).cast("int")), F.lit(" "), F.col("o_orderpriority")).alias("claim"))
     return C.screen_words(o).select("id", "screen")
 
 
-_CLAIMS = ("price rises with size in", "price always rises in", "discount causes returns in", "overall allowances grow in")
+_CLAIMS = (
+    "price rises with size in", "price always rises in", "discount causes returns in", "overall allowances grow in", "no one orders twice in", "growth leading to returns in",
+    "orders, without exception, grow in", "remaking causeways is dear in", "The effect of size on price in", "guaranteed delivery and making time in",
+)
 
 
 def split_random(spark, d):
@@ -71,7 +74,7 @@ def split_time(spark, d):
 
 
 def split_entity(spark, d):
-    p = sales(spark, d).groupBy("nation", "month_no").agg(F.count(F.lit(1)).alias("lines"))
+    p = sales(spark, d, "nation", "month_no").groupBy("nation", "month_no").agg(F.count(F.lit(1)).alias("lines"))
     return G.split_rows(p, "nation", "panel", "month_no", "nation")
 
 
@@ -94,12 +97,12 @@ def perm_cluster(spark, d):
 
 
 def perm_paired(spark, d):
-    p = sales(spark, d).where("month_no < 2001 * 12 + 6").groupBy("nation", "month_no").agg(F.sum("revenue").cast("double").alias("revenue"))
+    p = whole_months(sales(spark, d, "nation", "month_no", "revenue"), spark, d).groupBy("nation", "month_no").agg(F.sum("revenue").cast("double").alias("revenue"))
     return rounded(R.paired_change_test(p, "revenue", "nation", "month_no", B), 9)
 
 
 def perm_unpaired(spark, d):
-    e = table(spark, d, "events").withColumn("day", F.datediff("ts", F.lit("2024-01-01").cast("date"))).where("day < 30")
+    e = table(spark, d, "events").withColumn("day", F.datediff("ts", F.lit("2024-01-01").cast("date")))
     return rounded(R.latest_change_test(e, "value", "day", "event_id", B), 9)
 
 
@@ -238,7 +241,7 @@ _SIGNED = "round(abs(rho), 9) AS magnitude, CASE WHEN rho > 0 THEN 'positive' WH
 
 
 def _group_scan(g: str, v: str) -> str:
-    return f"""SELECT '{g}' AS g, '{v}' AS v, sum(n * (m - gm) ** 2) / (max(gv) * max(gn)) AS eta, max(gn) AS n, count(*) AS k, max_by(lv, med) AS top FROM
+    return f"""SELECT '{g}' AS g, '{v}' AS v, sum(n * (m - gm) ** 2) / (max(gv) * max(gn)) AS eta, max(gn) AS n, count(*) AS k, first(lv ORDER BY med DESC, lv) AS top FROM
 (SELECT {g} AS lv, count(*) AS n, avg({v}) AS m, median({v}) AS med FROM lineitem GROUP BY 1), (SELECT avg({v}) AS gm, var_pop({v}) AS gv, count(*) AS gn FROM lineitem)"""
 
 
@@ -290,7 +293,8 @@ SELECT 'group_difference' AS claim_type, g AS var_a, v AS var_b, round(eta, 9) A
     "prioritise": f"""{_PR}, m AS ((SELECT * FROM ({_CORR}) WHERE n >= 30 AND abs(rho) >= 0.15) UNION ALL (SELECT * FROM ({_TREND}) WHERE abs(rho) >= 0.10)),
 p AS (SELECT *, row_number() OVER (PARTITION BY claim_type ORDER BY abs(rho) DESC, var_a, var_b) = 1 AS res FROM m), o AS (SELECT *, row_number() OVER (ORDER BY res DESC, abs(rho) DESC, claim_type, var_a, var_b) AS position FROM p)
 SELECT claim_type, var_a, var_b, {_SIGNED}, CAST(position AS INTEGER) AS position, claim_type || ':' || var_a || ':' || var_b AS claim_id FROM o WHERE position <= 5""",
-    "screen_words": """SELECT o_orderkey AS id, CASE o_custkey % 4 WHEN 1 THEN 'universal' WHEN 2 THEN 'causal' END AS screen FROM orders""",
+    "screen_words": f"""WITH t AS (SELECT o_orderkey AS id, ({list(_CLAIMS)!r})[o_custkey % {len(_CLAIMS)} + 1] || ' ' || o_orderpriority AS claim FROM orders)
+SELECT id, CASE WHEN regexp_matches(claim, '(?i)\\b({"|".join(C.UNIVERSAL_WORDS)})\\b') THEN 'universal' WHEN regexp_matches(claim, '(?i)\\b({"|".join(C.CAUSAL_WORDS)})\\b') THEN 'causal' END AS screen FROM t""",
     "split_random": f"""WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY md5('{SEED}:' || c_custkey), c_custkey) AS rn, count(*) OVER () AS n FROM customer) SELECT c_custkey, rn <= round_even(n * 0.5, 0) AS confirmation FROM r""",
     "split_time": """WITH o AS (SELECT o_orderkey, CAST(year(o_orderdate) * 12 + month(o_orderdate) - 1 AS INTEGER) AS month_no FROM orders), p AS (SELECT DISTINCT month_no FROM o), r AS (SELECT month_no, row_number() OVER (ORDER BY month_no DESC) AS rn, count(*) OVER () AS n FROM p),
 h AS (SELECT min(month_no) AS cut FROM r WHERE rn <= CASE WHEN ceil(n * 0.5) < 20 AND n >= 28 THEN 20 ELSE ceil(n * 0.5) END) SELECT o_orderkey, month_no, month_no >= cut AS confirmation FROM o, h""",
@@ -304,10 +308,10 @@ o AS (SELECT round(2 * (t - na * (na + 1) / 2) / (na * nb) - 1, 12) AS stat FROM
     "perm_cluster": _delta_sql(f"""WITH r AS (SELECT s_nationkey AS e, CAST(s_nationkey < 12 AS INTEGER) AS a, {rank_sql('s_acctbal')} AS r FROM supplier), u AS (SELECT e, min(a) AS a, sum(r) AS sr, count(*) AS m FROM r GROUP BY 1), p AS (SELECT *, row_number() OVER (ORDER BY e) AS i, sum(m) OVER () AS n FROM u),
 s AS (SELECT b, a, row_number() OVER (PARTITION BY b ORDER BY md5('{SEED}:' || b || ':' || e), e) AS j FROM p, (SELECT unnest(range({B})) AS b)), d AS (SELECT b, sum(sr) AS t, sum(m) AS na, max(n) AS n FROM s JOIN p ON p.i = s.j WHERE s.a = 1 GROUP BY 1),
 z AS (SELECT sum(CASE WHEN a = 1 THEN sr END) AS t, sum(CASE WHEN a = 1 THEN m END) AS na, max(n) AS n FROM p), o AS (SELECT round(2 * (t - na * (na + 1) / 2) / (na * (n - na)) - 1, 12) AS stat FROM z), e AS (SELECT round(2 * (t - na * (na + 1) / 2) / (na * (n - na)) - 1, 12) AS stat FROM d)"""),
-    "perm_paired": _delta_sql(f"""WITH {SALES_SQL}, v AS (SELECT nation, month_no, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales WHERE month_no < 2001 * 12 + 6 GROUP BY 1, 2), l AS (SELECT max(month_no) AS now, (SELECT max(month_no) FROM v WHERE month_no < (SELECT max(month_no) FROM v)) AS bef FROM v),
+    "perm_paired": _delta_sql(f"""WITH {SALES_SQL}, {WHOLE_SQL}, v AS (SELECT nation, month_no, CAST(sum(revenue) AS DOUBLE) AS revenue FROM sales, last_month WHERE NOT (incomplete AND month_no = cut_month) GROUP BY 1, 2), l AS (SELECT max(month_no) AS now, (SELECT max(month_no) FROM v WHERE month_no < (SELECT max(month_no) FROM v)) AS bef FROM v),
 st AS (SELECT a.nation AS e, b.revenue AS v0, a.revenue - b.revenue AS step FROM v a JOIN v b ON a.nation = b.nation JOIN l ON a.month_no = now AND b.month_no = bef), sc AS (SELECT avg(v0) AS m0, count(*) AS k, sum(step) AS t FROM st),
 d AS (SELECT b, sum(step * CASE WHEN substr(md5('{SEED}:' || b || ':' || e), 1, 1) >= '8' THEN -1.0 ELSE 1.0 END) AS t FROM st, (SELECT unnest(range({B})) AS b) GROUP BY 1), o AS (SELECT round(t / k / abs(m0), 12) AS stat FROM sc), e AS (SELECT round(d.t / k / abs(m0), 12) AS stat FROM d, sc)"""),
-    "perm_unpaired": _delta_sql(f"""WITH ev AS (SELECT event_id AS rid, CAST(ts AS DATE) - DATE '2024-01-01' AS day, CAST(value AS DECIMAL(18,4)) AS v FROM events WHERE value IS NOT NULL AND CAST(ts AS DATE) - DATE '2024-01-01' < 30),
+    "perm_unpaired": _delta_sql(f"""WITH ev AS (SELECT event_id AS rid, CAST(ts AS DATE) - DATE '2024-01-01' AS day, CAST(value AS DECIMAL(18,4)) AS v FROM events WHERE value IS NOT NULL),
 l AS (SELECT max(day) AS now, (SELECT max(day) FROM ev WHERE day < (SELECT max(day) FROM ev)) AS bef FROM ev), r AS (SELECT rid, v, CAST(day = now AS INTEGER) AS a FROM ev, l WHERE day IN (now, bef)), p AS (SELECT *, row_number() OVER (ORDER BY rid) AS i FROM r),
 z AS (SELECT sum(a) AS n1, sum(1 - a) AS n0, CAST(sum(v) AS DOUBLE) AS al, CAST(sum(CASE WHEN a = 1 THEN v END) AS DOUBLE) AS t FROM p), s AS (SELECT b, a, row_number() OVER (PARTITION BY b ORDER BY md5('{SEED}:' || b || ':' || rid), rid) AS j FROM p, (SELECT unnest(range({B})) AS b)),
 d AS (SELECT b, CAST(sum(v) AS DOUBLE) AS t FROM s JOIN p ON p.i = s.j WHERE s.a = 1 GROUP BY 1), o AS (SELECT round((t / n1 - (al - t) / n0) / abs((al - t) / n0), 12) AS stat FROM z), e AS (SELECT round((d.t / n1 - (al - d.t) / n0) / abs((al - d.t) / n0), 12) AS stat FROM d, z)"""),
@@ -343,7 +347,8 @@ SELECT 'subgroups' AS attack, column_name, round(original, 7) AS original, level
     "attack_alternative": f"""{_PR}, w AS (SELECT corr(r_revenue, r_units) AS original, corr(revenue, units) AS attacked, count(*) AS rows FROM r) SELECT 'alternative' AS attack, round(original, 8) AS original, round(attacked, 8) AS attacked, rows, CASE WHEN sign(attacked) <> sign(original) THEN 'broken' ELSE 'survived' END AS outcome FROM w""",
     "attack_detrend": f"""{_P}, d AS (SELECT round(revenue - lag(revenue) OVER (PARTITION BY region ORDER BY month_no), 6) AS dx, round(units - lag(units) OVER (PARTITION BY region ORDER BY month_no), 6) AS dy FROM region_month), c AS (SELECT * FROM d WHERE dx IS NOT NULL AND dy IS NOT NULL),
 w AS (SELECT a.e AS original, b.e AS attacked, b.n AS rows FROM {_rho_sql('', 'region_month', 'revenue', 'units')} a, {_rho_sql('', 'c', 'dx', 'dy')} b) SELECT 'detrend' AS attack, round(original, 8) AS original, round(attacked, 8) AS attacked, rows, {_JUDGE} FROM w""",
-    "attack_identity": f"{_P} SELECT 'identity' AS attack, count(*) AS rows, 'broken' AS outcome FROM region_month",
+    "attack_identity": f"""{_P}, g AS (SELECT count(*) AS rows, stddev_pop(revenue) AS sd, corr(revenue - cost, revenue) AS r, {', '.join(f"max(abs({e} - revenue)) AS m{i}" for i, e in enumerate(f"({t})" for o in ("cost", "units") for t in (f"revenue - cost + {o}", f"revenue - cost - {o}", f"{o} - (revenue - cost)")))} FROM region_month)
+SELECT 'identity' AS attack, rows, CASE WHEN least(m0, m1, m2, m3, m4, m5) <= 1e-6 * sd OR abs(r) >= 1 - 1e-12 THEN 'broken' ELSE 'survived' END AS outcome FROM g""",
     "skeptic_controls": f"""{_PR}, c AS ({' UNION ALL '.join(f"SELECT '{z}' AS control, count(*) AS n, corr(r_revenue, r_cost) AS xy, corr(r_revenue, r_{z}) AS xz, corr(r_cost, r_{z}) AS yz FROM r" for z in ('units', 'lines'))}),
 a AS (SELECT *, (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) AS part FROM c) SELECT control, n, round(xy, 8) AS raw, round(part, 8) AS partial, round(xz, 8) AS control_x, round(yz, 8) AS control_y,
 abs(xz) >= 0.25 AND abs(yz) >= 0.25 AND abs(xz) < 0.9 AND abs(yz) < 0.9 AND abs(part) <= 0.5 * abs(xy) AND abs(xy) >= 0.1 AND n >= 30 AS caveat FROM a""",

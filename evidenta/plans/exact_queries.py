@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evidenta.operators import exact as E
 from evidenta.operators.windows import window_pair
-from evidenta.plans.views import MONTH_SERIES_SQL, REGION_MONTH_SQL, SALES_SQL, WINDOW_SQL, month_series, region_month, sales, table
+from evidenta.plans.views import MONTH_SERIES_SQL, REGION_MONTH_SQL, SALES_SQL, WINDOW_SQL, month_series, region_month, sales, sales_periods, table
 
 
 def rounded(df, digits: int = 6):
@@ -14,56 +14,57 @@ def rounded(df, digits: int = 6):
     return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
-def _pair(df):
-    return window_pair(df)
+def _pair(spark, d):
+    """The two windows of ``sales``, from the months of the orders."""
+    return window_pair(sales_periods(spark, d))
 
 
 def period_change(spark, d):
-    s = sales(spark, d).select("month_no", "revenue", "cost", "units")
-    return rounded(E.period_change(s, ["revenue", "cost", "units"], _pair(s)))
+    s = sales(spark, d, "month_no", "revenue", "cost", "units")
+    return rounded(E.period_change(s, ["revenue", "cost", "units"], _pair(spark, d)))
 
 
 def margins(spark, d):
-    s = sales(spark, d)
-    return rounded(E.margins(s, "revenue", "cost", ["region", "segment", "priority"], _pair(s)))
+    s = sales(spark, d, "month_no", "revenue", "cost", "region", "segment", "priority")
+    return rounded(E.margins(s, "revenue", "cost", ["region", "segment", "priority"], _pair(spark, d)))
 
 
 def variance_decomposition(spark, d):
-    s = sales(spark, d)
-    return rounded(E.variance_decomposition(s, "region", "revenue", _pair(s)))
+    s = sales(spark, d, "month_no", "region", "revenue")
+    return rounded(E.variance_decomposition(s, "region", "revenue", _pair(spark, d)))
 
 
 def variance_with_other(spark, d):
-    s = sales(spark, d)
-    return rounded(E.variance_decomposition(s, "nation", "revenue", _pair(s)))
+    s = sales(spark, d, "month_no", "nation", "revenue")
+    return rounded(E.variance_decomposition(s, "nation", "revenue", _pair(spark, d)))
 
 
 def concentration(spark, d):
-    return rounded(E.concentration(sales(spark, d), "customer_id", "revenue"), 9)
+    return rounded(E.concentration(sales(spark, d, "customer_id", "revenue"), "customer_id", "revenue"), 9)
 
 
 def pareto(spark, d):
-    return rounded(E.pareto(sales(spark, d), "nation", "revenue"))
+    return rounded(E.pareto(sales(spark, d, "nation", "revenue"), "nation", "revenue"))
 
 
 def segment_ranking(spark, d):
-    return rounded(E.segment_ranking(sales(spark, d), "nation", "revenue"), 4)
+    return rounded(E.segment_ranking(sales(spark, d, "nation", "revenue"), "nation", "revenue"), 4)
 
 
 def outliers_period(spark, d):
-    return rounded(E.period_outliers(sales(spark, d), "month", "revenue"))
+    return rounded(E.period_outliers(sales(spark, d, "month", "revenue"), "month", "revenue"))
 
 
 def outliers_row(spark, d):
-    return rounded(E.row_outliers(sales(spark, d), ["order_id", "line_no"], "segment", "revenue"))
+    return rounded(E.row_outliers(sales(spark, d, "order_id", "line_no", "segment", "revenue"), ["order_id", "line_no"], "segment", "revenue"))
 
 
 def seasonality_calendar(spark, d):
-    return rounded(E.seasonality(sales(spark, d), "revenue"))
+    return rounded(E.seasonality(sales(spark, d, "month_no", "revenue"), "revenue"))
 
 
 def seasonality_rolling(spark, d):
-    return rounded(E.rolling_seasonality(sales(spark, d), "revenue"))
+    return rounded(E.rolling_seasonality(sales(spark, d, "month_no", "revenue"), "revenue"))
 
 
 def consecutive_tail(spark, d):
@@ -80,7 +81,7 @@ def caveats(spark, d):
 
 
 def missing_periods(spark, d):
-    ships = table(spark, d, "events").where(F.col("event_type") == "purchase").where(F.col("user_id") % 29 == 0)
+    ships = table(spark, d, "events").where(F.col("event_type") == "purchase")
     return E.missing_periods(ships.select(F.datediff("ts", F.lit("2024-01-01").cast("date")).alias("day_no")), "day_no")
 
 
@@ -114,35 +115,35 @@ def rates(spark, d):
 
 
 def price_volume_mix(spark, d):
-    s = sales(spark, d)
-    return rounded(E.price_volume_mix(s, "brand", "revenue", "units", _pair(s)), 3)
+    s = sales(spark, d, "month_no", "brand", "revenue", "units")
+    return rounded(E.price_volume_mix(s, "brand", "revenue", "units", _pair(spark, d)), 3)
 
 
 def segment_growth(spark, d):
-    s = sales(spark, d)
-    return rounded(E.segment_growth(s, "nation", "revenue", _pair(s)))
+    s = sales(spark, d, "month_no", "nation", "revenue")
+    return rounded(E.segment_growth(s, "nation", "revenue", _pair(spark, d)))
 
 
 def customer_view(spark, d):
-    return rounded(E.customer_view(sales(spark, d), "customer_id", "revenue"), 9)
+    return rounded(E.customer_view(sales(spark, d, "customer_id", "month_no", "revenue"), "customer_id", "revenue"), 9)
 
 
 def customer_new_returning(spark, d):
-    s = sales(spark, d)
-    return rounded(E.new_and_returning(s, "customer_id", "revenue", _pair(s)), 4)
+    s = sales(spark, d, "month_no", "customer_id", "revenue")
+    return rounded(E.new_and_returning(s, "customer_id", "revenue", _pair(spark, d)), 4)
 
 
 def rfm(spark, d):
-    return rounded(E.rfm(sales(spark, d), "customer_id", "revenue"), 4)
+    return rounded(E.rfm(sales(spark, d, "customer_id", "month_no", "revenue"), "customer_id", "revenue"), 4)
 
 
 def rfm_segments(spark, d):
-    return rounded(E.rfm_segments(E.rfm(sales(spark, d), "customer_id", "revenue")), 4)
+    return rounded(E.rfm_segments(E.rfm(sales(spark, d, "customer_id", "month_no", "revenue"), "customer_id", "revenue")), 4)
 
 
 def panel_change(spark, d):
     p = region_month(spark, d)
-    return rounded(E.variance_decomposition(p, "region", "units", _pair(p)))
+    return rounded(E.variance_decomposition(p, "region", "units", _pair(spark, d)))
 
 
 QUERIES = {
@@ -255,7 +256,7 @@ periods >= 4 AND (coalesce(usual_rows >= 4 AND last_rows < 0.5 * usual_rows, fal
 f AS (SELECT latest, periods >= 4 AND ((median(CASE WHEN month_no < latest THEN n_rows END) >= 4 AND max(CASE WHEN month_no = latest THEN n_rows END) < 0.5 * median(CASE WHEN month_no < latest THEN n_rows END))
   OR max(CASE WHEN month_no = latest THEN last_day END) < 0.7 * median(CASE WHEN month_no < latest THEN last_day END)) AS inc FROM month_series, x GROUP BY latest, periods)
 SELECT month, month_no, total, month_no = latest AND inc AS caveat FROM month_series, f""",
-    "missing_periods": """WITH p AS (SELECT DISTINCT CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) AS o FROM events WHERE event_type = 'purchase' AND user_id % 29 = 0)
+    "missing_periods": """WITH p AS (SELECT DISTINCT CAST(CAST(ts AS DATE) - DATE '2024-01-01' AS INTEGER) AS o FROM events WHERE event_type = 'purchase')
 SELECT CAST(g AS INTEGER) AS period_no FROM (SELECT unnest(range((SELECT min(o) FROM p), (SELECT max(o) + 1 FROM p))) AS g) WHERE g NOT IN (SELECT o FROM p)""",
     "identity": """WITH x AS (SELECT round(l_extendedprice * (1 - l_discount), 2) AS r, l_extendedprice * (1 - l_discount) AS e FROM lineitem)
 SELECT count(*) AS n, round(avg(CAST(abs(e - r) <= 0.001 + 0.001 * abs(r) AS INTEGER)), 6) AS share, count(*) >= 10 AND avg(CAST(abs(e - r) <= 0.001 + 0.001 * abs(r) AS INTEGER)) >= 0.99 AS reported FROM x""",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidenta.functions.scalars import PERIOD_KEYS
 from evidenta.operators import prepare as P
 from evidenta.plans.exact_queries import rounded
-from evidenta.plans.views import SALES_SQL, sales, table
+from evidenta.plans.views import SALES_SQL, sales, sales_periods, table
 
 
 def _lines(spark, d):
@@ -62,11 +62,11 @@ def column_roles(spark, d):
 
 
 def table_shape(spark, d):
-    return P.table_shape(sales(spark, d), "order_date", "region")
+    return P.table_shape(sales(spark, d, "order_date", "region"), "order_date", "region")
 
 
 def full_cycles(spark, d):
-    return P.full_cycles(sales(spark, d), "month_no")
+    return P.full_cycles(sales_periods(spark, d), "month_no")
 
 
 def period_keys(spark, d):
@@ -117,6 +117,21 @@ QUERIES = {
 }
 
 
+def _roles_sql(table_: str, columns: dict[str, str]) -> str:
+    """The roles from counts: names are words between underscores, and none of these tables has a time or boolean column."""
+    facts = " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, {kind == "number"} AS numeric, count({c}) AS n, count(DISTINCT {c}) AS d,
+  {f"bool_and(TRY_CAST({c} AS DOUBLE) % 1 = 0)" if kind == "number" else "false"} AS integral, {f"count(TRY_CAST({c} AS DOUBLE))" if kind == "text" else "0"} AS numbers,
+  {f"count(CASE WHEN year(TRY_CAST({c} AS TIMESTAMP)) BETWEEN 1800 AND 2200 THEN 1 END)" if kind == "text" else "0"} AS dates,
+  len(list_intersect(string_split('{c}', '_'), ['id', 'identifier', 'index', 'key', 'uuid', 'guid', 'seqn', 'serial', 'code', 'no'])) > 0 AS named FROM {table_}"""
+        for c, kind in columns.items()
+    )
+    return f"""WITH f AS ({facts}), r AS (SELECT *, CASE WHEN n < 20 OR d < 2 THEN 'unknown' WHEN numeric OR numbers = n THEN CASE WHEN integral AND named AND d / n >= 0.95 THEN 'id_like' WHEN integral AND d <= 12 THEN 'ordinal' ELSE 'numeric' END
+  WHEN dates / n >= 0.9 THEN 'datetime' WHEN d / n >= 0.95 THEN CASE WHEN named THEN 'id_like' ELSE 'unsure' END WHEN d <= 20 THEN 'categorical' ELSE 'unsure' END AS found FROM f)
+SELECT column_name, CASE WHEN found = 'unsure' THEN 'unknown' ELSE found END AS role, CASE found WHEN 'unknown' THEN 0.0 WHEN 'unsure' THEN 0.5 WHEN 'ordinal' THEN 0.8 WHEN 'datetime' THEN 0.8 ELSE 1.0 END::DOUBLE AS confidence,
+  n, d AS distinct, found = 'datetime' AS time_like FROM r"""
+
+
 def _per(columns: list[str], table_: str, body: str) -> str:
     return " UNION ALL ".join("SELECT " + body.format(c=c) + f" FROM {table_}" for c in columns)
 
@@ -177,7 +192,5 @@ UNION ALL SELECT 'value', count(*), count(*) - count(value), round((count(*) - c
 i AS (SELECT c_custkey, coalesce(balance, (SELECT median(balance) FROM t)) AS b, coalesce(segment, (SELECT segment FROM t WHERE segment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, segment LIMIT 1)) AS segment FROM t)
 SELECT c_custkey, round((b - (SELECT avg(b) FROM i)) / (SELECT stddev_pop(b) FROM i), 6) AS balance, segment FROM i""",
     "keep_levels": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) >= 4)",
-    "column_roles": """SELECT 'c_custkey' AS column_name, 'numeric' AS role, 1.0::DOUBLE AS confidence, count(c_custkey) AS n, count(DISTINCT c_custkey) AS distinct, false AS time_like FROM customer
-UNION ALL SELECT 'c_name', 'unknown', 0.5, count(c_name), count(DISTINCT c_name), false FROM customer UNION ALL SELECT 'c_nationkey', CASE WHEN count(DISTINCT c_nationkey) <= 12 THEN 'ordinal' ELSE 'numeric' END, 1.0, count(c_nationkey), count(DISTINCT c_nationkey), false FROM customer
-UNION ALL SELECT 'c_acctbal', 'numeric', 1.0, count(c_acctbal), count(DISTINCT c_acctbal), false FROM customer UNION ALL SELECT 'c_mktsegment', 'categorical', 1.0, count(c_mktsegment), count(DISTINCT c_mktsegment), false FROM customer""",
+    "column_roles": _roles_sql("customer", {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"}),
 }

@@ -13,29 +13,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Transactions: one row per order line with its customer's place and the part's brand.
+#: Columns of the transactions and the tables beside lineitem that each one needs.
+SALES_NEEDS = {
+    "order_id": (), "line_no": (), "units": (), "revenue": (), "discount": (), "cost": ("part",), "brand": ("part",),
+    "order_date": ("orders",), "month": ("orders",), "month_no": ("orders",), "priority": ("orders",), "customer_id": ("orders",),
+    "segment": ("orders", "customer"), "nation": ("orders", "customer", "nation"), "region": ("orders", "customer", "nation", "region"),
+}
 
-    nation and region are fixed lists of 25 and 5 rows, so they are broadcast; the sides that grow are left to the
-    planner, which broadcasts them only while their size allows.
+
+def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Transactions: one row per order line, with the columns asked for (all of them without).
+
+    An inner join cannot be pruned by the planner, so only the tables that the columns need are joined.  nation and
+    region are fixed lists of 25 and 5 rows, so they are broadcast; the sides that grow are left to the planner, which
+    broadcasts them only while their size allows.
     """
-    places = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    customers = table(spark, sf_dir, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    lines = lines.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return lines.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("o_orderdate").alias("order_date"),
-        month_key(F.col("o_orderdate")).alias("month"), month_no(F.col("o_orderdate")).alias("month_no"),
-        F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"),
-        F.col("o_orderpriority").alias("priority"), F.col("p_brand").alias("brand"), F.col("c_custkey").alias("customer_id"),
-        F.col("l_quantity").alias("units"), money(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("revenue"),
-        money(F.col("l_quantity") * F.col("p_retailprice")).alias("cost"), F.col("l_discount").alias("discount"),
-    )
+    wanted = columns or tuple(SALES_NEEDS)
+    needed = {side for c in wanted for side in SALES_NEEDS[c]}
+    out = table(spark, sf_dir, "lineitem")
+    if "part" in needed:
+        out = out.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    if "orders" in needed:
+        out = out.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    if "customer" in needed:
+        customers = table(spark, sf_dir, "customer")
+        if "nation" in needed:
+            customers = customers.join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+        if "region" in needed:
+            customers = customers.join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+        out = out.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    made = {
+        "order_id": lambda: F.col("l_orderkey"), "line_no": lambda: F.col("l_linenumber"), "order_date": lambda: F.col("o_orderdate"),
+        "month": lambda: month_key(F.col("o_orderdate")), "month_no": lambda: month_no(F.col("o_orderdate")), "region": lambda: F.col("r_name"),
+        "nation": lambda: F.col("n_name"), "segment": lambda: F.col("c_mktsegment"), "priority": lambda: F.col("o_orderpriority"),
+        "brand": lambda: F.col("p_brand"), "customer_id": lambda: F.col("o_custkey"), "units": lambda: F.col("l_quantity"),
+        "revenue": lambda: money(F.col("l_extendedprice") * (1 - F.col("l_discount"))), "cost": lambda: money(F.col("l_quantity") * F.col("p_retailprice")),
+        "discount": lambda: F.col("l_discount"),
+    }
+    return out.select(*[made[c]().alias(c) for c in wanted])
+
+
+def sales_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``month_no`` of every order: the periods of ``sales``, without its lines."""
+    return table(spark, sf_dir, "orders").select(month_no(F.col("o_orderdate")).alias("month_no"))
 
 
 def region_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Panel: revenue, cost, units and lines of each region and month."""
-    return sales(spark, sf_dir).groupBy("region", "month", "month_no").agg(
+    rows = sales(spark, sf_dir, "region", "month", "month_no", "revenue", "cost", "units")
+    return rows.groupBy("region", "month", "month_no").agg(
         F.sum("revenue").cast("double").alias("revenue"), F.sum("cost").cast("double").alias("cost"),
         F.sum(money(F.col("units"))).cast("double").alias("units"), F.count(F.lit(1)).alias("lines"),
     )
@@ -75,6 +101,12 @@ MONTH_SERIES_SQL = """month_series AS (
     CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS total, count(*) AS n_rows, max(day(o_orderdate)) AS last_day
   FROM orders GROUP BY 1, 2)"""
 
+#: The months that count: all but an incomplete last one (few rows, or ended early, against the usual of the months before).
+WHOLE_SQL = """last_month AS (SELECT hi AS cut_month, periods >= 4 AND (coalesce(usual_rows >= 4 AND last_rows < 0.5 * usual_rows, false) OR coalesce(usual_day > 1 AND end_day < 0.7 * usual_day, false)) AS incomplete
+  FROM (SELECT hi, periods, max(CASE WHEN m = hi THEN n END) AS last_rows, median(CASE WHEN m < hi THEN n END) AS usual_rows, max(CASE WHEN m = hi THEN d END) AS end_day, median(CASE WHEN m < hi THEN d END) AS usual_day
+    FROM (SELECT year(o_orderdate) * 12 + month(o_orderdate) - 1 AS m, count(*) AS n, max(day(o_orderdate)) AS d FROM orders GROUP BY 1),
+      (SELECT max(year(o_orderdate) * 12 + month(o_orderdate) - 1) AS hi, count(DISTINCT year(o_orderdate) * 12 + month(o_orderdate)) AS periods FROM orders) GROUP BY 1, 2))"""
+
 #: The current and previous window: the last 12 months against the 12 before, if all 24 are there.
 WINDOW_SQL = """periods AS (SELECT DISTINCT month_no FROM sales WHERE month_no IS NOT NULL),
 latest AS (SELECT max(month_no) AS hi, (SELECT max(month_no) FROM periods WHERE month_no < (SELECT max(month_no) FROM periods)) AS before_hi,

@@ -7,14 +7,13 @@ time; a pair at the threshold misses every band with a probability below 1e-8 (0
 1. Each text is reduced to its number of distinct shingles, a 128-bit hash of the set, and its band keys.
 2. Texts with equal sets form a class, so copies never pair up.
 3. Classes that share a band key are bucket mates: these are the candidates, and only they are ever linked.
-4. Every class is compared on full shingle sets with the first class of each of its buckets, block by block: work in
-   proportion to the buckets' rows.  The confirmed links contract a group of near copies to one label.
-5. What is left are bucket mates of different labels.  They are compared in blocks of at most BLOCK classes, one task
-   per pair of blocks, blocks of one label never with each other; a task returns a spanning forest of its confirmed
-   links, never its pairs.  A connected part of at most WHOLE_PART classes is compared at once (a class is then sent
-   once, not once per bucket), a larger one bucket by bucket; either way a link needs a common band key, so the
-   links found do not depend on it.
-6. Components of the confirmed links give the result.
+4. Buckets that share classes form parts.  The classes of a part of at most WHOLE_PART are compared on full shingle sets
+   in blocks of at most BLOCK, one task per pair of blocks, so that a class is sent once, not once per bucket.  A task
+   returns a spanning forest of its confirmed links, never its pairs.
+5. In a larger part every class is first compared with the first class of each of its buckets: work in proportion to
+   the buckets' rows, which contracts a group of near copies to one label.  Then bucket mates of different labels are
+   compared bucket by bucket, and blocks of one label never meet.
+6. Components of the confirmed links give the result.  A link needs a common band key whatever the part's size.
 
 Defined cases: a text without words (or a null or empty one) has an empty set and is linked with nothing; a text of
 fewer words than a shingle is one shingle; rows that share an id are rows of their own, each with its text's set, and
@@ -216,15 +215,15 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def spanning_links(
-    nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], bands: list[np.ndarray], over: int, under: int
-) -> list[tuple[int, int]]:
+def spanning_links(nodes: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], s: Settings) -> list[tuple[int, int]]:
     """Links of a spanning forest over the labels, of bucket mates with under * intersection >= over * union."""
     both = common_counts(sets)
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     union = sizes[:, None] + sizes[None, :] - both
-    left, right = np.nonzero(np.triu((under * both >= over * union) & (labels[:, None] != labels[None, :]), 1))
+    left, right = np.nonzero(np.triu((s.under * both >= s.over * union) & (labels[:, None] != labels[None, :]), 1))
     parent = {x: x for x in labels.tolist()}
+    keys: dict[int, np.ndarray] = {}
+    a, b = s.permutations()
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -232,10 +231,15 @@ def spanning_links(
             i = parent[i]
         return i
 
+    def bands(i: int) -> np.ndarray:
+        if i not in keys:
+            keys[i] = band_keys(signatures(sets[i].view(np.uint64), sizes[i : i + 1], a, b), s)[0]
+        return keys[i]
+
     out = []
     for i, j in zip(left.tolist(), right.tolist(), strict=True):
         x, y = root(int(labels[i])), root(int(labels[j]))
-        if x != y and (bands[i] == bands[j]).any():
+        if x != y and (bands(i) == bands(j)).any():
             parent[max(x, y)] = min(x, y)
             out.append((int(nodes[i]), int(nodes[j])))
     return out
@@ -245,12 +249,31 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
 
 
+def _compared(sent: DataFrame, sets: DataFrame, keys: list[str], s: Settings) -> DataFrame:
+    """Confirmed links (a, b) between the different labels of rows (node, label, keys), one task per value of the keys."""
+
+    def compare(found: pa.Table) -> pa.Table:
+        nodes, labels = found.column("node").to_numpy(), found.column("label").to_numpy()
+        return _links(spanning_links(nodes, labels, _lists(found.column("shingles")), s))
+
+    prepare(sent.sparkSession)
+    return sent.join(sets, "node").groupBy(*keys).applyInArrow(compare, "a long, b long")
+
+
+def part_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links (a, b) of members (node, part) of small parts, block against block."""
+    sizes = members.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = members.join(sizes, "part").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    paired = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = paired.select("node", F.col("node").alias("label"), "part", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return _compared(sent, sets, ["part", "i", "j"], s)
+
+
 def star_links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     """Confirmed links (a, b) of distinct pairs (node, hub).  A hub's members are dealt to blocks, and the hub goes to each."""
     hubs = pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(STAR_BLOCK)).cast("int").alias("blocks"))
     members = pairs.join(hubs, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
     centres = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    over, under = s.over, s.under
 
     def compare(found: pa.Table) -> pa.Table:
         nodes, sets_ = found.column("node").to_numpy(), _lists(found.column("shingles"))
@@ -261,7 +284,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         out = []
         for n, own in zip(nodes.tolist(), sets_, strict=True):
             both = len(np.intersect1d(own, centre, assume_unique=True)) if n != hub else 0
-            if n != hub and under * both >= over * (len(own) + len(centre) - both):
+            if n != hub and s.under * both >= s.over * (len(own) + len(centre) - both):
                 out.append((n, hub))
         return _links(out)
 
@@ -269,37 +292,51 @@ def star_links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     return members.unionByName(centres).join(sets, "node").groupBy("hub", "block").applyInArrow(compare, "a long, b long")
 
 
-def block_links(members: DataFrame, sets: DataFrame, bands: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed links (a, b) between different labels of members (node, part, label), block against block.
+def star_labels(links: DataFrame) -> DataFrame:
+    """(node, label) of the nodes of links (a: node, b: hub): the smallest hub of a node's smallest hub, or that hub.
+
+    Nodes of one label are connected; nodes of one component may have several labels, which costs only comparisons.
+    """
+    nearest = links.groupBy("a").agg(F.min("b").alias("hub")).select(F.col("a").alias("node"), F.least("a", "hub").alias("hub"))
+    onward = nearest.select(F.col("node").alias("via"), F.col("hub").alias("label"))
+    return nearest.join(onward, F.col("hub") == F.col("via"), "left").select("node", F.coalesce("label", "hub").alias("label"))
+
+
+def bucket_links(members: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links (a, b) between different labels of members (node, key, label), bucket by bucket in blocks.
 
-    A label with at least BLOCK members of a part has blocks of its own (numbered, with ``pure`` its label), the others
-    share blocks; two blocks of one label never meet.
+    A label with at least BLOCK members of a bucket has blocks of its own (numbered, with ``pure`` its label), the
+    others share blocks; two blocks of one label never meet.
     """
-    sizes = members.groupBy("part", "label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
     pure = F.when(F.col("size") >= BLOCK, F.col("label"))
-    shared = sizes.where(F.col("size") < BLOCK).groupBy("part").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).alias("shared"))
-    cut = sizes.join(shared, "part", "left").select(
-        "part", "label", pure.alias("pure"), F.coalesce(F.when(pure.isNotNull(), F.ceil(F.col("size") / F.lit(BLOCK))), "shared").alias("blocks")
+    shared = sizes.where(F.col("size") < BLOCK).groupBy("key").agg(F.ceil(F.sum("size") / F.lit(BLOCK)).alias("shared"))
+    cut = sizes.join(shared, "key", "left").select(
+        "key", "label", pure.alias("pure"), F.coalesce(F.when(pure.isNotNull(), F.ceil(F.col("size") / F.lit(BLOCK))), "shared").alias("blocks")
     )
     hashed = F.when(F.col("pure").isNotNull(), F.xxhash64("node")).otherwise(F.xxhash64("label"))
     placed = stored(
-        members.join(cut, ["part", "label"]).select("node", "part", "label", "pure", F.pmod(hashed, F.col("blocks")).alias("nth")), "blocks"
+        members.join(cut, ["key", "label"]).select("node", "key", "label", "pure", F.pmod(hashed, F.col("blocks")).alias("nth")), "blocks"
     )
-    blocks = placed.select("part", "pure", "nth").distinct().withColumn("block", F.xxhash64("pure", "nth"))
-    a, b = (blocks.select("part", *[F.col(c).alias(f"{c}_{side}") for c in ("pure", "nth", "block")]) for side in ("a", "b"))
-    mixed = a.where("pure_a is null").join(b, "part").where("pure_b is not null or nth_a <= nth_b")
-    apart = a.where("pure_a is not null").join(b.where("pure_b is not null"), "part").where("pure_a < pure_b")
-    tasks = mixed.unionByName(apart).select("part", F.col("block_a").alias("x"), F.col("block_b").alias("y"))
-    sides = tasks.select("part", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    sent = placed.withColumn("block", F.xxhash64("pure", "nth")).join(sides, ["part", "block"]).select("node", "label", "part", "x", "y")
-    over, under = s.over, s.under
-
-    def compare(found: pa.Table) -> pa.Table:
-        nodes, labels = found.column("node").to_numpy(), found.column("label").to_numpy()
-        return _links(spanning_links(nodes, labels, _lists(found.column("shingles")), _lists(found.column("bands")), over, under))
-
-    prepare(members.sparkSession)
-    return sent.join(bands, "node").join(sets, "node").groupBy("part", "x", "y").applyInArrow(compare, "a long, b long")
+    blocks = placed.select("key", "pure", "nth").distinct().withColumn("block", F.xxhash64("pure", "nth"))
+    a, b = (blocks.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("pure", "nth", "block")]) for side in ("a", "b"))
+    mixed = a.where("pure_a is null").join(b, "key").where("pure_b is not null or nth_a <= nth_b")
+    apart = a.where("pure_a is not null").join(b.where("pure_b is not null"), "key").where("pure_a < pure_b")
+    tasks = mixed.unionByName(apart).select("key", F.col("block_a").alias("x"), F.col("block_b").alias("y"))
+    sides = tasks.select("key", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    sent = placed.withColumn("block", F.xxhash64("pure", "nth")).join(sides, ["key", "block"]).select("node", "label", "key", "x", "y")
+    return _compared(sent, sets, ["key", "x", "y"], s)
+
+
+def large_part_links(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Confirmed links (a, b) of the bucket mates of large parts: stars first, then what the stars leave open."""
+    pairs = hits.where("node <> first").select("node", F.col("first").alias("hub")).distinct()
+    star = stored(star_links(pairs, sets, s), "star-links")
+    labels = stored(star_labels(star), "labels")
+    told = stored(hits.join(labels, "node", "left").select("node", "key", F.coalesce("label", "node").alias("label")), "labelled")
+    several = told.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
+    open_ = told.join(several, "key", "left_semi")
+    return star.unionByName(bucket_links(open_, sets, s))
 
 
 def candidate_hits(lone: DataFrame) -> DataFrame:
@@ -311,36 +348,6 @@ def candidate_hits(lone: DataFrame) -> DataFrame:
     return stored(may_contain(banded, "key", candidate_filter(buckets, "key")).join(buckets, "key").select("node", "key", "first"), "hits")
 
 
-def star_labels(links: DataFrame) -> DataFrame:
-    """(node, label) of the nodes of links (a: node, b: hub): the smallest hub of a node's smallest hub, or that hub.
-
-    Nodes of one label are connected; nodes of one component may have several labels, which costs only comparisons.
-    """
-    nearest = links.groupBy("a").agg(F.min("b").alias("hub")).select(F.col("a").alias("node"), F.least("a", "hub").alias("hub"))
-    onward = nearest.select(F.col("node").alias("via"), F.col("hub").alias("label"))
-    return nearest.join(onward, F.col("hub") == F.col("via"), "left").select("node", F.coalesce("label", "hub").alias("label"))
-
-
-def undecided(hits: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, label, part) of the bucket mates that the links leave with different labels.
-
-    A part is a connected part of the buckets that hold several labels, or one such bucket where the part is large.
-    """
-    labels = stored(star_labels(links), "labels")
-    told = hits.join(labels, "node", "left").select("node", "key", "first", F.coalesce("label", "node").alias("label"))
-    told = stored(told, "labelled")
-    several = told.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least < most").select("key")
-    several = stored(several, "several")
-    left = stored(may_contain(told, "key", candidate_filter(several, "key")).join(several, "key"), "undecided")
-    parts = stored(components(left.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "parts")
-    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    large = stored(sizes.where(F.col("size") > WHOLE_PART).select("component"), "large-parts")
-    named = left.select("node", "label").distinct()
-    small = parts.join(large, "component", "left_anti").join(named, "node").select("node", "label", F.col("component").alias("part"))
-    spread = parts.join(large, "component").select("node").join(left, "node").select("node", "label", F.col("key").alias("part"))
-    return stored(small.unionByName(spread), "members")
-
-
 def near_duplicates(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, tie, n, component) of every row of ``df``; a component is the smallest id that confirmed links reach."""
     rows = stored(sketch(df, s, id_col, text_col), "sketches")
@@ -351,16 +358,22 @@ def near_duplicates(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col
     own = (F.col("id") == F.col("class")) & (known["set_a"] == classes["set_a"]) & (known["set_b"] == classes["set_b"])
     lone = stored(known.join(classes, own, "left_semi").select("id", F.col("set_a").alias("node"), "bands"), "lone")
     hits = candidate_hits(lone)
-    nodes = stored(hits.select("node").distinct(), "candidates")
-    bands = lone.join(nodes, "node", "left_semi").select("node", "bands").dropDuplicates(["node"])
-    wanted = stored(lone.join(nodes, "node", "left_semi").select(F.xxhash64("id").alias("h")), "wanted")
+    parts = stored(components(hits.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "parts")
+    wanted = stored(lone.join(parts.select("node"), "node", "left_semi").select(F.xxhash64("id").alias("h")), "wanted")
     near = df.select(F.col(id_col).cast("long").alias("cand_id"), F.col(text_col).alias("cand_text"))
     found = full_sets(may_contain(near.withColumn("h", F.xxhash64("cand_id")), "h", candidate_filter(wanted, "h")), s, "cand_id", "cand_text")
-    sets = stored(found.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "sets")
-    stars = hits.where("node <> first").select("node", F.col("first").alias("hub")).distinct()
-    star = stored(star_links(stars, sets, s), "star-links")
-    rest = stored(block_links(undecided(hits, star), sets, bands, s), "block-links")
-    joined = stored(components(star.unionByName(rest)), "joined")
+    sets = stored(found.join(parts.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+    sizes = parts.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    large = stored(sizes.where(F.col("size") > WHOLE_PART).select("component"), "large-parts")
+    members = parts.select("node", F.col("component").alias("part"))
+    if large.count():
+        of_large = parts.join(large, "component", "left_semi").select("node")
+        links = large_part_links(hits.join(of_large, "node", "left_semi"), sets, s)
+        members = members.join(large, F.col("part") == F.col("component"), "left_anti")
+        links = links.unionByName(part_links(members, sets, s))
+    else:
+        links = part_links(members, sets, s)
+    joined = stored(components(stored(links, "confirmed")), "joined")
     named = joined.join(classes.select(F.col("set_a").alias("node"), "class"), "node")
     least = named.groupBy("component").agg(F.min("class").alias("named"), F.count(F.lit(1)).alias("members"))
     by_node = join_counted(joined, least, ["component"], "members", joined.count()).groupBy("node").agg(F.min("named").alias("named"))

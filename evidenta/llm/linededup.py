@@ -35,15 +35,9 @@ from .common import candidate_filter, join_counted, marked, may_contain, stored,
 #: line feed behind it, or the text's last word.  The second form finds the same without possessive steps, for SQL.
 SOFT_LINE = r"(?:[^ \n]*+ (?<![.,;:!?] )){0,7}(?:[^ \n]*+[ \n]|[^ \n]++)"
 SOFT_LINE_SQL = r"(?:(?:[^ \n]*[^ \n.,;:!?])? ){0,7}(?:[^ \n]*[ \n]|[^ \n]+\z)"
-#: The rolling hash of a line and the one before it: (BEFORE * h[-1] + HERE * h[0]) modulo MODULUS.
-BEFORE, HERE, MODULUS = 1_000_003, 8_191, 2_147_483_647
 MIN_WORDS = 20
 
 
-def line_hash(line: Column) -> Column:
-    return F.conv(F.substring(F.md5(line), 1, 7), 16, 10).cast("long")
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once (the optimiser would copy a projected column into every use)."""
     return F.transform(F.array(value), body)[0]
@@ -51,38 +45,51 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def _ends(rolled: Column) -> Column:
     """Places of the lines that end a chunk: local minima with two lines on either side, and the last line."""
-    n = F.size(rolled)
+    last = F.size(rolled) - 1
 
-    def is_end(i: Column) -> Column:
+    def is_least(i: Column) -> Column:
         here = F.get(rolled, i)
-        least = (here < F.get(rolled, i - 1)) & (here < F.get(rolled, i + 1))
-        return (i == n - 1) | ((i > 0) & (i < n - 2) & least)
+        return (here < F.get(rolled, i + 1)) & (here < F.get(rolled, i - 1))
 
-    return F.filter(F.sequence(F.lit(0), n - 1), is_end)
+    # Places 1 to last - 2: a sequence that would run backwards is one of a text with fewer than four lines.
+    inner = F.when(last >= 3, F.filter(F.sequence(F.lit(1), last - 2), is_least)).otherwise(F.array().cast("array<int>"))
+    return F.array_append(inner, last)
 
 
-def _between(lines: Column, ends: Column) -> Column:
-    """The chunks as texts, from their lines and end places."""
+def _between(lines: Column, ends: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of the lines of every chunk, from the chunks' end places."""
 
     def made(end: Column, k: Column) -> Column:
         before = F.coalesce(F.get(ends, k - 1), F.lit(-1))
-        return F.array_join(F.slice(lines, before + 2, end - before), "")
+        return make(F.slice(lines, before + 2, end - before))
 
     return F.transform(ends, made)
 
 
 def _rolled(lines: Column) -> Column:
-    def rolled(hashes: Column) -> Column:
-        return F.transform(hashes, lambda h, i: (BEFORE * F.coalesce(F.get(hashes, i - 1), F.lit(0)) + HERE * h) % MODULUS)
+    """The rolling hash: the MD5 of each line and the one before it, compared as hexadecimal text."""
+    return F.transform(lines, lambda x, i: F.md5(F.concat(F.coalesce(F.get(lines, i - 1), F.lit("")), x)))
+
+
+def chunked(text: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of the array of soft lines of every chunk of a text; null for a null or empty text."""
+    lines = F.regexp_extract_all(text, F.lit(SOFT_LINE), F.lit(0))
+    cut = let(lines, lambda x: let(_rolled(x), lambda rolled: let(_ends(rolled), lambda ends: _between(x, ends, make))))
+    return F.when(F.length(text) > 0, cut)
 
-    return let(F.transform(lines, line_hash), rolled)
+
+def text_of(lines: Column) -> Column:
+    return F.array_join(lines, "")
+
+
+def key_of(lines: Column) -> Column:
+    """64 bits of a chunk, from its lines: two chunks of one text have one key, as equal texts have equal lines."""
+    return F.xxhash64(lines)
 
 
 def chunks(text: Column) -> Column:
     """array<string> of the chunks of a text; put together they give the text again.  Null for a null or empty text."""
-    lines = F.regexp_extract_all(text, F.lit(SOFT_LINE), F.lit(0))
-    cut = let(lines, lambda x: let(_rolled(x), lambda rolled: let(_ends(rolled), lambda ends: _between(x, ends))))
-    return F.when(F.length(text) > 0, cut)
+    return chunked(text, text_of)
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -103,19 +110,20 @@ def place_rank(id_col: Column, tie: Column, place: Column) -> Column:
 
 
 def occurrences(texts: DataFrame) -> DataFrame:
-    """(id, tie, row, place, chunk) of every chunk of the rows of ``_rows``."""
-    return texts.select("id", "tie", "row", F.posexplode(chunks(F.col("text"))).alias("place", "chunk"))
+    """(id, tie, row, place, key, chunk) of every chunk of the rows of ``_rows``."""
+    told = chunked(F.col("text"), lambda x: F.struct(key_of(x).alias("key"), text_of(x).alias("chunk")))
+    return texts.select("id", "tie", "row", F.posexplode(told).alias("place", "x")).select("id", "tie", "row", "place", "x.key", "x.chunk")
 
 
 def repeated_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tie, row, place, chunk, key, words) of every chunk whose key occurs again (and of few others), stored."""
     texts = _rows(df, id_col, text_col)
-    hashed = texts.select("row", F.transform(chunks(F.col("text")), lambda x: F.xxhash64(x)).alias("keys"))
+    hashed = texts.select("row", chunked(F.col("text"), key_of).alias("keys"))
     narrow = stored(hashed.select("row", F.explode("keys").alias("key")), "line-keys")
     again = stored(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "line-again")
     keys = candidate_filter(again, "key")
     holders = stored(may_contain(narrow, "key", keys).select("row").distinct(), "line-holders")
-    found = occurrences(may_contain(texts, "row", candidate_filter(holders, "row"))).withColumn("key", F.xxhash64("chunk"))
+    found = occurrences(may_contain(texts, "row", candidate_filter(holders, "row")))
     return stored(may_contain(found, "key", keys).withColumn("words", word_count(F.col("chunk"))), "line-chunks")
 
 

@@ -28,8 +28,7 @@ k AS (SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY l DESC, d
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k"""
 
 LINES = rf"""WITH u AS (SELECT doc_id, unnest(regexp_extract_all(text, '{linededup.SOFT_LINE_SQL}')) AS t, generate_subscripts(regexp_extract_all(text, '{linededup.SOFT_LINE_SQL}'), 1) AS i FROM documents WHERE length(text) > 0),
-h AS (SELECT *, CAST('0x' || substr(md5(t), 1, 7) AS BIGINT) AS h FROM u),
-g AS (SELECT *, ({linededup.BEFORE} * coalesce(lag(h) OVER o, 0) + {linededup.HERE} * h) % {linededup.MODULUS} AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM h WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT *, md5(coalesce(lag(t) OVER o, '') || t) AS r, count(*) OVER (PARTITION BY doc_id) AS n FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 c AS (SELECT *, i > 1 AND i < n - 1 AND r < lag(r) OVER o AND r < lead(r) OVER o AS cut FROM g WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 p AS (SELECT *, coalesce(sum(CAST(coalesce(cut, false) AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place FROM c),
 k AS (SELECT doc_id, place, string_agg(t, '' ORDER BY i) AS t FROM p GROUP BY 1, 2),

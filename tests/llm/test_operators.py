@@ -549,8 +549,7 @@ def brute_lines(text):
 
 def brute_chunks(text):
     lines = brute_lines(text)
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines]
-    r = [(linededup.BEFORE * (h[i - 1] if i else 0) + linededup.HERE * h[i]) % linededup.MODULUS for i in range(len(h))]
+    r = [hashlib.md5((lines[i - 1] if i else "").encode() + x.encode()).hexdigest() for i, x in enumerate(lines)]
     out, now = [], []
     for i, line in enumerate(lines):
         now.append(line)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator, RegressionEvaluator
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -26,6 +26,9 @@ from evidenta.runtime import ship
 
 FOLDS, LEAST_ROWS, LIFT_FLOOR, WITHHOLD = 5, 40, 0.02, 0.995
 SEED = 20260817
+#: Least agreement of importances between folds, of clusters and components between bootstraps, of anomaly ranks between seeds.
+AGREEMENT, CLUSTER_ARI, CLUSTER_SHARE, COMPONENT_MATCH, RANK_MATCH = 0.6, 0.6, 0.03, 0.9, 0.8
+BOOTSTRAPS, BUCKET_ROWS = 5, 100_000
 
 MENU = {
     "ridge": lambda label: LinearRegression(labelCol=label, regParam=0.1, elasticNetParam=0.0),
@@ -84,27 +87,42 @@ def driver_regression(df: DataFrame, target: str, numeric: list[str], labels: li
     return df.sparkSession.createDataFrame(out, "model string, r2 double, spread double, lift double, status string")
 
 
+def class_weights(rows: DataFrame, label: str = "y") -> DataFrame:
+    """``rows`` with ``weight``: every class weighs the same in all; one row per class is joined."""
+    sizes = rows.groupBy(F.col(label).alias("class")).agg(F.count(F.lit(1)).alias("m"))
+    shares = sizes.select("class", (F.sum("m").over(everything()) / (F.count(F.lit(1)).over(everything()) * F.col("m"))).alias("weight"))
+    return rows.join(F.broadcast(shares), F.col(label) == F.col("class")).drop("class")
+
+
+def balanced_accuracy(predicted: DataFrame, label: str = "y") -> float:
+    """Mean over the classes of the share of their rows that are predicted right."""
+    recall = predicted.groupBy(label).agg(F.avg((F.col("prediction") == F.col(label)).cast("int")).alias("recall"))
+    return float(recall.agg(F.avg("recall")).first()[0] or 0.0)
+
+
 def driver_classification(df: DataFrame, target: str, numeric: list[str], labels: list[str], row_id: str, folds: int = FOLDS) -> DataFrame:
-    """(model, accuracy, baseline, lift, status) over outer folds; the baseline is the majority class."""
+    """(model, balanced_accuracy, baseline, lift, status) over outer folds; models weigh classes alike.
+
+    The baseline predicts the majority class, so it is right about one class of those that a fold holds.
+    """
     rows = df.where(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("label"), *numeric, *labels, fold_of(F.col(row_id), folds).alias("fold")).persist()
     indexed = StringIndexer(inputCol="label", outputCol="y").fit(rows).transform(rows).persist()
     classes = indexed.agg(F.count_distinct("y")).first()[0]
     scores: dict[str, list[float]] = {m: [] for m in CLASSIFIERS if classes == 2 or m != "boosting"}
     base: list[float] = []
     for k in range(folds):
-        train, test = indexed.where(F.col("fold") != k), indexed.where(F.col("fold") == k)
+        train, test = class_weights(indexed.where(F.col("fold") != k)), indexed.where(F.col("fold") == k)
         prepared = Pipeline(stages=preprocessor(numeric, labels)).fit(train)
-        fit_on, held = prepared.transform(train).select("y", "features").persist(), prepared.transform(test).select("y", "features").persist()
+        fit_on, held = prepared.transform(train).select("y", "weight", "features").persist(), prepared.transform(test).select("y", "features").persist()
         top = train.groupBy("y").count().orderBy(F.col("count").desc(), "y").first()["y"]
-        base.append(held.agg(F.avg((F.col("y") == top).cast("int"))).first()[0])
+        base.append(balanced_accuracy(held.withColumn("prediction", F.lit(top))))
         for name in scores:
-            predicted = CLASSIFIERS[name]("y").fit(fit_on).transform(held)
-            scores[name].append(MulticlassClassificationEvaluator(labelCol="y", metricName="accuracy").evaluate(predicted))
+            scores[name].append(balanced_accuracy(CLASSIFIERS[name]("y").setWeightCol("weight").fit(fit_on).transform(held)))
         fit_on.unpersist(), held.unpersist()
     floor = float(np.mean(base))
     out = [(m, float(np.mean(s)), floor, float(np.mean(s)) - floor, _status(float(np.mean(s)), float(np.mean(s)) - floor)) for m, s in scores.items()]
     rows.unpersist(), indexed.unpersist()
-    return df.sparkSession.createDataFrame(out, "model string, accuracy double, baseline double, lift double, status string")
+    return df.sparkSession.createDataFrame(out, "model string, balanced_accuracy double, baseline double, lift double, status string")
 
 
 def nearest_neighbours(train: DataFrame, test: DataFrame, features: list[str], target: str, row_id: str, k: int = 5, cells: int = 16) -> DataFrame:
@@ -123,17 +141,46 @@ def nearest_neighbours(train: DataFrame, test: DataFrame, features: list[str], t
 
 
 def permutation_importance(model, held: DataFrame, features: list[list[str]], prepare: Callable[[DataFrame], DataFrame], row_id: str, seed: int = SEED) -> list[tuple[str, float]]:
-    """Loss of R2 when a group of features is shuffled: rows take the values of the next row in hash order."""
+    """Loss of R2 when a group of features is shuffled: rows take the values of the next row in hash order, bucket by bucket.
+
+    Buckets are ranges of the hash, so that a window holds about BUCKET_ROWS rows and rows move at random inside them.
+    """
     metric = RegressionEvaluator(labelCol="y", metricName="r2")
     base = metric.evaluate(model.transform(prepare(held)))
-    by = Window.orderBy(seeded(seed, F.col(row_id)), row_id)
+    buckets = max(1, held.count() // BUCKET_ROWS)
+    draw = seeded(seed, F.col(row_id))
+    dealt = held.withColumn("draw", draw).withColumn("bucket", F.pmod(F.xxhash64("draw"), F.lit(buckets)))
+    by = Window.partitionBy("bucket").orderBy("draw", row_id)
+    whole_bucket = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = []
     for group in features:
-        moved = held.withColumns({c: F.coalesce(F.lead(c).over(by), F.first(c).over(everything())) for c in group})
+        moved = dealt.withColumns({c: F.coalesce(F.lead(c).over(by), F.first(c).over(whole_bucket)) for c in group}).drop("draw", "bucket")
         out.append(("+".join(group), base - metric.evaluate(model.transform(prepare(moved)))))
     return out
 
 
+def driver_importance(df: DataFrame, target: str, numeric: list[str], labels: list[str], row_id: str, folds: int = FOLDS) -> DataFrame:
+    """(feature, importance, low, high, agreement, status): loss of held-out R2 of the forest, over the outer folds.
+
+    ``agreement`` is the mean rank correlation of the importances between folds; below AGREEMENT no order is claimed.
+    """
+    rows = df.where(F.col(target).isNotNull()).select(F.col(row_id).alias("rid"), F.col(target).cast("double").alias("y"), *numeric, *labels, fold_of(F.col(row_id), folds).alias("fold")).persist()
+    names, losses = [*numeric, *labels], []
+    for k in range(folds):
+        train, test = rows.where(F.col("fold") != k), rows.where(F.col("fold") == k)
+        prepared = Pipeline(stages=preprocessor(numeric, labels)).fit(train)
+        model = MENU["forest"]("y").fit(prepared.transform(train))
+        losses.append([v for _, v in permutation_importance(model, test, [[n] for n in names], prepared.transform, "rid")])
+    rows.unpersist()
+    found = np.array(losses)
+    orders = found.argsort(axis=1).argsort(axis=1).astype(float)
+    pairs = [np.corrcoef(orders[i], orders[j])[0, 1] for i in range(folds) for j in range(i + 1, folds)] if len(names) > 1 else [1.0]
+    agreement = float(np.mean(pairs))
+    status = "ok" if agreement >= AGREEMENT else "unstable"
+    out = [(n, float(found[:, i].mean()), float(found[:, i].min()), float(found[:, i].max()), agreement, status) for i, n in enumerate(names)]
+    return df.sparkSession.createDataFrame(out, "feature string, importance double, low double, high double, agreement double, status string")
+
+
 def leakage_lint(df: DataFrame, target: str, numeric: list[str], tolerance: float = 1e-3, share: float = 0.99) -> DataFrame:
     """(feature, kind, value): features that give the target away.
 
@@ -200,24 +247,35 @@ def adjusted_association(df: DataFrame, x: str, y: str, controls: list[str], row
 
 
 def segments(df: DataFrame, features: list[str], row_id: str, most: int = 6, nulls: int = 5, margin: float = 0.05) -> DataFrame:
-    """(k, train, held_out, null, status): squared-Euclidean silhouettes of k-means, against shuffled columns.
+    """(k, train, held_out, null, bootstrap_ari, least_share, status): squared-Euclidean silhouettes of k-means.
 
-    The metric is Spark's squared-Euclidean silhouette, not the Euclidean one.
+    The chosen k is compared with shuffled columns, with models of bootstrapped rows (the mean adjusted Rand index of
+    their labels of all rows has to be CLUSTER_ARI) and by its smallest cluster (CLUSTER_SHARE of the rows).  The
+    metric is Spark's squared-Euclidean silhouette, not the Euclidean one.
     """
     rows = df.select(F.col(row_id).alias("rid"), *[F.col(c).cast("double").alias(c) for c in features]).dropna().withColumn("train", fold_of(F.col("rid"), 10) < 7)
     scaled = Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True)])
     flat = scaled.fit(rows).transform(rows).select("rid", "train", "features").persist()
     metric = ClusteringEvaluator(metricName="silhouette", distanceMeasure="squaredEuclidean")
-    found = []
+    found, models = [], {}
     for k in range(2, most + 1):
-        model = KMeans(k=k, seed=SEED, maxIter=50).fit(flat.where("train"))
+        model = models[k] = KMeans(k=k, seed=SEED, maxIter=50).fit(flat.where("train"))
         found.append((k, metric.evaluate(model.transform(flat.where("train"))), metric.evaluate(model.transform(flat.where("not train")))))
     best = max(found, key=lambda r: r[1])
     worst_null = max(_null_silhouette(rows, features, best[0], i, scaled, metric) for i in range(nulls))
-    flat.unpersist()
-    ok = best[2] >= worst_null + margin
-    out = [(k, t, h, float(worst_null) if k == best[0] else None, ("ok" if ok else "no_lift") if k == best[0] else "not_chosen") for k, t, h in found]
-    return df.sparkSession.createDataFrame(out, "k int, train double, held_out double, null double, status string")
+    told = models[best[0]].transform(flat).select("rid", "features", F.col("prediction").alias("own")).persist()
+    sizes = [r["count"] for r in told.groupBy("own").count().collect()]  # one row per cluster
+    share = min(sizes) / sum(sizes)
+    agreed = []
+    for b in range(BOOTSTRAPS):
+        again = KMeans(k=best[0], seed=SEED, maxIter=50).fit(flat.where("train").sample(True, 1.0, SEED + b).select("features"))
+        agreed.append(adjusted_rand(again.transform(told), "own", "prediction").first()["ari"])
+    ari = float(np.mean(agreed))
+    flat.unpersist(), told.unpersist()
+    status = "no_lift" if best[2] < worst_null + margin else "unstable" if ari < CLUSTER_ARI else "too_small" if share < CLUSTER_SHARE else "ok"
+    chosen = lambda k, v: v if k == best[0] else None
+    out = [(k, t, h, chosen(k, float(worst_null)), chosen(k, ari), chosen(k, share), status if k == best[0] else "not_chosen") for k, t, h in found]
+    return df.sparkSession.createDataFrame(out, "k int, train double, held_out double, null double, bootstrap_ari double, least_share double, status string")
 
 
 def _null_silhouette(rows: DataFrame, features: list[str], k: int, seed: int, scaled: Pipeline, metric: ClusteringEvaluator) -> float:
@@ -277,54 +335,102 @@ def path_lengths(x: np.ndarray, tree, depth: int = 0) -> np.ndarray:
     return out
 
 
+def rank_agreement(scores: np.ndarray) -> float:
+    """The least rank correlation between the rows of (seeds, rows) scores."""
+    order = pd.DataFrame(scores.T).rank().to_numpy().T
+    found = [np.corrcoef(order[i], order[j])[0, 1] for i in range(len(order)) for j in range(i + 1, len(order))]
+    return float(np.nan_to_num(min(found, default=1.0)))
+
+
 def anomalies(df: DataFrame, features: list[str], row_id: str, share: float = 0.02, seeds: int = 5, trees: int = 60, sample_rows: int = 5000) -> DataFrame:
-    """(row id, score, flagged, shifted): mean path length over seeds of isolation trees, the shortest share flagged.
+    """(row id, score, flagged, shifted, status): mean path length over seeds of isolation trees, the shortest share flagged.
 
-    Trees are grown on the driver from a bounded hash sample and sent to the tasks that score the rows; ``shifted``
-    marks flagged rows that are also robust outliers of a single column.
+    Trees are grown on the driver from a bounded hash sample and sent to the tasks that score the rows once; ``shifted``
+    marks flagged rows that are also robust outliers of a single column.  Where the seeds rank the sample's rows too
+    differently (RANK_MATCH) the status is ``unstable``.
     """
     ship(df.sparkSession)
     rows = df.select(F.col(row_id).alias("rid"), *[F.col(c).cast("double").alias(c) for c in features]).dropna()
     sample = rows.orderBy(seeded(SEED, F.col("rid"))).limit(sample_rows).select(*features).toPandas().to_numpy()
     forests = [isolation_trees(sample, trees, s) for s in range(seeds)]
+    of_seed = lambda f, x: np.mean([path_lengths(x, t) for t in f], axis=0)
+    status = "ok" if len(sample) < 2 or rank_agreement(np.array([of_seed(f, sample) for f in forests])) >= RANK_MATCH else "unstable"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             x = part[features].to_numpy()
-            score = np.mean([np.mean([path_lengths(x, t) for t in f], axis=0) for f in forests], axis=0) if len(x) else np.empty(0)
+            score = np.mean([of_seed(f, x) for f in forests], axis=0) if len(x) else np.empty(0)
             yield pd.DataFrame({"rid": part["rid"], "score": np.round(score, 6)})
 
-    scored = rows.mapInPandas(run, f"rid {dict(rows.dtypes)['rid']}, score double")
+    scored = rows.mapInPandas(run, f"rid {dict(rows.dtypes)['rid']}, score double").persist()
     cut = scored.agg(F.percentile_approx("score", share, 100_000).alias("cut")).first()["cut"]
     extreme = robust_scores(rows, features).select(F.col("rid").alias("r2"), (F.col("extremity") >= 3.5).alias("shifted"))
     flagged = scored.where(F.col("score") <= F.lit(cut))
-    return flagged.join(extreme, F.col("rid") == F.col("r2")).select(F.col("rid").alias("row_id"), "score", "shifted")
+    return flagged.join(extreme, F.col("rid") == F.col("r2")).select(F.col("rid").alias("row_id"), "score", "shifted", F.lit(status).alias("status"))
+
 
+def poisson_weight(draw: Column, most: int = 8) -> Column:
+    """A Poisson(1) draw from the first eight hexadecimal digits of a hash: how often a bootstrap takes a row."""
+    u = F.conv(F.substring(draw, 1, 8), 16, 10).cast("double") / float(2**32)
+    below, term, out = 0.0, float(np.exp(-1.0)), F.lit(0)
+    for k in range(most):
+        below += term
+        out = out + (u >= below).cast("int")
+        term /= k + 1
+    return out
 
-def components(df: DataFrame, features: list[str], nulls: int = 20, quantile: float = 0.95, seed: int = SEED) -> DataFrame:
-    """(component, eigenvalue, null, kept): eigenvalues of the correlation matrix against shuffled copies.
 
-    The matrix is one distributed aggregation over pairs of columns.  Shuffled columns of n rows have correlations of
-    a known spread, so null matrices are drawn from it rather than from n shuffled rows.
+def correlation_matrices(df: DataFrame, features: list[str], row_id: str | None, bootstraps: int, seed: int) -> tuple[int, list[np.ndarray]]:
+    """(rows, correlation matrices): of all rows, then of Poisson bootstraps, from one aggregation of weighted sums."""
+    p = len(features)
+    rows = df.dropna(subset=features).select(*([F.col(row_id).alias("rid")] if row_id else []), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)])
+    centre = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(p)]).first()
+    x = [F.col(f"x{i}") - F.lit(centre[f"m{i}"] or 0.0) for i in range(p)]
+    weights = [F.lit(1.0)] + [poisson_weight(seeded(f"{seed}:{b}", F.col("rid"))) for b in range(bootstraps if row_id else 0)]
+    sums = []
+    for b, w in enumerate(weights):
+        sums += [F.sum(w).cast("double").alias(f"n_{b}")] + [F.sum(w * x[i]).alias(f"s_{b}_{i}") for i in range(p)]
+        sums += [F.sum(w * x[i] * x[j]).alias(f"q_{b}_{i}_{j}") for i in range(p) for j in range(i, p)]
+    row = rows.agg(*sums).first()
+    out = []
+    for b in range(len(weights)):
+        n = row[f"n_{b}"] or 1.0
+        mean = np.array([row[f"s_{b}_{i}"] or 0.0 for i in range(p)]) / n
+        cov = np.zeros((p, p))
+        for i in range(p):
+            for j in range(i, p):
+                cov[i, j] = cov[j, i] = (row[f"q_{b}_{i}_{j}"] or 0.0) / n - mean[i] * mean[j]
+        sd = np.sqrt(np.maximum(np.diag(cov), 1e-300))
+        matrix = cov / np.outer(sd, sd)
+        matrix[sd <= 1e-150, :] = matrix[:, sd <= 1e-150] = 0.0
+        np.fill_diagonal(matrix, 1.0)
+        out.append(matrix)
+    return int(centre["n"]), out
+
+
+def components(df: DataFrame, features: list[str], nulls: int = 20, quantile: float = 0.95, seed: int = SEED, row_id: str | None = None, bootstraps: int = BOOTSTRAPS) -> DataFrame:
+    """(component, eigenvalue, null, stability, kept): eigenvalues of the correlation matrix against a null.
+
+    An approximation to parallel analysis: shuffled columns of n rows have correlations of spread 1 / sqrt(n - 1), and
+    null matrices are drawn from it instead of shuffling n rows.  With a row id a component also has to return in
+    bootstraps (``stability``: mean absolute cosine with the bootstrap's component, at least COMPONENT_MATCH).
     """
     p = len(features)
-    duos = [(i, j) for i in range(p) for j in range(i + 1, p)]
-    row = df.dropna(subset=features).agg(F.count(F.lit(1)).alias("n"), *[safe_corr(F.col(features[i]).cast("double"), F.col(features[j]).cast("double")).alias(f"r{i}_{j}") for i, j in duos]).first()
-    matrix = np.eye(p)
-    for i, j in duos:
-        matrix[i, j] = matrix[j, i] = row[f"r{i}_{j}"] or 0.0
-    values = np.sort(np.linalg.eigvalsh(matrix))[::-1]
+    n, matrices = correlation_matrices(df, features, row_id, bootstraps, seed)
+    values, vectors = np.linalg.eigh(matrices[0])
+    values, vectors = values[::-1], vectors[:, ::-1]
     rng = np.random.default_rng(seed)
     drawn = []
     for _ in range(nulls):
         m = np.eye(p)
-        for i, j in duos:
-            m[i, j] = m[j, i] = rng.normal(0, 1 / np.sqrt(max(row["n"] - 1, 1)))
-        drawn.append(np.sort(np.linalg.eigvalsh(m))[::-1])
+        m[np.triu_indices(p, 1)] = rng.normal(0, 1 / np.sqrt(max(n - 1, 1)), p * (p - 1) // 2)
+        drawn.append(np.sort(np.linalg.eigvalsh(np.triu(m) + np.triu(m, 1).T))[::-1])
     limit = np.quantile(drawn, quantile, axis=0)
-    run = np.cumprod(values > limit).astype(bool)
-    out = [(i + 1, float(values[i]), float(limit[i]), bool(run[i])) for i in range(p)]
-    return df.sparkSession.createDataFrame(out, "component int, eigenvalue double, null double, kept boolean")
+    again = [np.linalg.eigh(m)[1][:, ::-1] for m in matrices[1:]]
+    match = [float(np.mean([abs(vectors[:, i] @ v[:, i]) for v in again])) if again else None for i in range(p)]
+    run = np.cumprod([values[i] > limit[i] and (match[i] is None or match[i] >= COMPONENT_MATCH) for i in range(p)]).astype(bool)
+    out = [(i + 1, float(values[i]), float(limit[i]), match[i], bool(run[i])) for i in range(p)]
+    return df.sparkSession.createDataFrame(out, "component int, eigenvalue double, null double, stability double, kept boolean")
 
 
 def threshold_sums(df: DataFrame, x: str, y: str, grid: int = 15, edge: float = 0.15) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from evidenta.plans import association_queries, claim_queries, exact_queries, insight_queries, prepare_queries
+from evidenta.plans import association_queries, claim_queries, exact_queries, insight_queries, prepare_queries, report_queries
 
-MODULES = (exact_queries, prepare_queries, association_queries, claim_queries, insight_queries)
+MODULES = (exact_queries, prepare_queries, association_queries, claim_queries, insight_queries, report_queries)
 
 
 def queries() -> dict:

@@ -13,7 +13,7 @@ from evidenta.plans.config import GATE, STORY_WEIGHTS
 from evidenta.plans.exact_queries import rounded
 from evidenta.plans.views import REGION_MONTH_SQL, SALES_SQL, WHOLE_SQL, region_month, sales, table, whole_months
 
-SEED, B = GATE.seed, 99
+SEED, B, DRAWS = GATE.seed, GATE.resamples, GATE.interval_resamples
 
 
 def _suppliers(spark, d):
@@ -107,15 +107,15 @@ def perm_unpaired(spark, d):
 
 
 def effect_interval(spark, d):
-    return rounded(R.effect_interval(_suppliers(spark, d), "s_nationkey", "s_acctbal", "s_suppkey", B), 6)
+    return rounded(R.effect_interval(_suppliers(spark, d), "s_nationkey", "s_acctbal", "s_suppkey", DRAWS), 6)
 
 
 def effect_interval_entities(spark, d):
-    return rounded(R.effect_interval(region_month(spark, d), "units", "lines", "region", B), 6)
+    return rounded(R.effect_interval(region_month(spark, d), "units", "lines", "region", DRAWS), 6)
 
 
 def bootstrap_ci(spark, d):
-    return rounded(R.bootstrap_mean(_suppliers(spark, d), "s_acctbal", "s_suppkey", B), 3)
+    return rounded(R.bootstrap_mean(_suppliers(spark, d), "s_acctbal", "s_suppkey", DRAWS), 3)
 
 
 def _tested(spark, d):
@@ -272,7 +272,7 @@ SELECT round(stat, 9) AS statistic, resamples, extreme, round((extreme + 1) / (r
 
 def _interval(rows: str, with_: str = "WITH") -> str:
     return f"""{with_} r AS ({rows}), u AS (SELECT unit, row_number() OVER (ORDER BY unit) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM r)),
-k AS (SELECT b, CAST('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8) AS BIGINT) % n + 1 AS j FROM u, (SELECT unnest(range({B})) AS b)), g AS (SELECT b, x, y FROM k JOIN u ON u.i = k.j JOIN r ON r.unit = u.unit),
+k AS (SELECT b, CAST('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8) AS BIGINT) % n + 1 AS j FROM u, (SELECT unnest(range({DRAWS})) AS b)), g AS (SELECT b, x, y FROM k JOIN u ON u.i = k.j JOIN r ON r.unit = u.unit),
 e AS (SELECT b, round(corr(rx, ry), 9) AS e FROM (SELECT b, {rank_sql('x', 'b')} AS rx, {rank_sql('y', 'b')} AS ry FROM g) GROUP BY 1)
 SELECT count(*) AS resamples, count(e) AS valid, round(quantile_cont(e, 0.025), 6) AS low, round(quantile_cont(e, 0.975), 6) AS high FROM e"""
 
@@ -317,7 +317,7 @@ z AS (SELECT sum(a) AS n1, sum(1 - a) AS n0, CAST(sum(v) AS DOUBLE) AS al, CAST(
 d AS (SELECT b, CAST(sum(v) AS DOUBLE) AS t FROM s JOIN p ON p.i = s.j WHERE s.a = 1 GROUP BY 1), o AS (SELECT round((t / n1 - (al - t) / n0) / abs((al - t) / n0), 12) AS stat FROM z), e AS (SELECT round((d.t / n1 - (al - d.t) / n0) / abs((al - d.t) / n0), 12) AS stat FROM d, z)"""),
     "effect_interval": _interval("SELECT s_suppkey AS unit, CAST(s_nationkey AS DOUBLE) AS x, s_acctbal AS y FROM supplier"),
     "effect_interval_entities": _interval("SELECT region AS unit, units AS x, CAST(lines AS DOUBLE) AS y FROM region_month", f"{_P},"),
-    "bootstrap_ci": f"""WITH p AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_suppkey) AS i, count(*) OVER () AS n FROM supplier), k AS (SELECT b, CAST('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8) AS BIGINT) % n + 1 AS j FROM p, (SELECT unnest(range({B})) AS b)),
+    "bootstrap_ci": f"""WITH p AS (SELECT s_acctbal AS v, row_number() OVER (ORDER BY s_suppkey) AS i, count(*) OVER () AS n FROM supplier), k AS (SELECT b, CAST('0x' || substr(md5('{SEED}:' || b || ':' || i), 1, 8) AS BIGINT) % n + 1 AS j FROM p, (SELECT unnest(range({DRAWS})) AS b)),
 m AS (SELECT b, round(avg(v), 9) AS m FROM k JOIN p ON p.i = k.j GROUP BY 1) SELECT count(*) AS resamples, round(quantile_cont(m, 0.025), 3) AS low, round(quantile_cont(m, 0.975), 3) AS high FROM m""",
     "bh_qvalues": f"WITH {_TESTED} SELECT claim_id, round(p_value, 9) AS p_value, round(q_value, 9) AS q_value, family FROM q",
     "bh_rejections": f"WITH {_TESTED} SELECT claim_id, round(q_value, 9) AS q_value FROM q WHERE q_value < 0.01",

@@ -144,12 +144,17 @@ def perm_fast(spark, d):
 
 def driver_regression(spark, d):
     p = region_month(spark, d).withColumn("cell", F.concat_ws("-", "region", "month"))
-    return rounded(M.driver_regression(p, "revenue", ["units", "lines"], ["region"], "cell", 3), 6)
+    return rounded(M.driver_regression(p, "revenue", ["units", "lines"], ["region"], "cell"), 6)
+
+
+def driver_importance(spark, d):
+    p = region_month(spark, d).withColumn("cell", F.concat_ws("-", "region", "month"))
+    return rounded(M.driver_importance(p, "revenue", ["units", "lines"], ["region"], "cell"), 6)
 
 
 def driver_classification(spark, d):
     p = region_month(spark, d).withColumn("cell", F.concat_ws("-", "region", "month")).withColumn("large", F.when(F.col("units") > 700, "yes").otherwise("no"))
-    return rounded(M.driver_classification(p, "large", ["revenue", "cost"], ["region"], "cell", 3), 6)
+    return rounded(M.driver_classification(p, "large", ["revenue", "cost"], ["region"], "cell"), 6)
 
 
 def leakage_lint(spark, d):
@@ -164,11 +169,11 @@ def leakage_proxies(spark, d):
 
 def adjusted_association(spark, d):
     p = region_month(spark, d).withColumn("cell", F.concat_ws("-", "region", "month"))
-    return rounded(M.adjusted_association(p, "units", "revenue", ["month_no"], "cell", 3), 6)
+    return rounded(M.adjusted_association(p, "units", "revenue", ["month_no"], "cell"), 6)
 
 
 def segments(spark, d):
-    return rounded(M.segments(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], "c_custkey", 4, 2), 6)
+    return rounded(M.segments(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], "c_custkey"), 6)
 
 
 def adjusted_rand(spark, d):
@@ -176,11 +181,12 @@ def adjusted_rand(spark, d):
 
 
 def anomalies(spark, d):
-    return M.anomalies(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], "c_custkey", seeds=2, trees=25)
+    return M.anomalies(table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], "c_custkey")
 
 
 def components(spark, d):
-    return rounded(M.components(region_month(spark, d), ["revenue", "cost", "units", "lines"]), 6)
+    p = region_month(spark, d).withColumn("cell", F.concat_ws("-", "region", "month"))
+    return rounded(M.components(p, ["revenue", "cost", "units", "lines"], row_id="cell"), 6)
 
 
 def threshold_fit(spark, d):
@@ -206,7 +212,7 @@ QUERIES = {
     for f in (
         check_change, check_change_year, check_share, check_rank, rank_board, linked_proofs, match_truth, score_claims, aggregate_scores, recall_by_level,
         schema_fingerprint, lesson_topk, lesson_browse, lesson_upsert, trend_differenced, corr_differenced, seasonality_test, forecast_backtest,
-        forecast_naive_backtest, forecast_loss_test, forecast_checks, interval_coverage, perm_fast, driver_regression, driver_classification, leakage_lint,
+        forecast_naive_backtest, forecast_loss_test, forecast_checks, interval_coverage, perm_fast, driver_regression, driver_importance, driver_classification, leakage_lint,
         leakage_proxies, adjusted_association, segments, adjusted_rand, anomalies, components, threshold_fit, fold_sizes, stream_windows, stream_sessions,
     )
 }

@@ -9,8 +9,8 @@ from evidenta.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUERIES, ORACLES = catalog.queries(), catalog.oracle_sql()
-#: Fitted models take long; they are covered by test_models.
-SLOW = {"driver_regression", "driver_classification", "segments", "adjusted_association"}
+#: Fitted models and whole claim runs take long; test_models and test_reports_and_claims cover them on small tables.
+SLOW = {"driver_regression", "driver_classification", "driver_importance", "segments", "adjusted_association", "claims_proved", "claims_tested"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 

@@ -50,8 +50,8 @@ def fold_of(row_id: Column, folds: int = FOLDS, seed: int = SEED) -> Column:
 def time_folds(df: DataFrame, ordinal: str, folds: int = FOLDS) -> DataFrame:
     """Folds of consecutive periods; a fold is tested on models of earlier ones only."""
     periods = df.select(F.col(ordinal).alias("p")).distinct().withColumn("rn", F.row_number().over(Window.orderBy("p")) - 1).withColumn("k", F.count(F.lit(1)).over(everything()))
-    placed = periods.select("p", F.floor(F.col("rn") * (folds + 1) / F.col("k")).cast("int").alias("fold"))
-    return df.join(F.broadcast(placed), F.col(ordinal) == F.col("p")).drop("p")
+    placed = periods.select(F.col("p").alias("fold_period"), F.floor(F.col("rn") * (folds + 1) / F.col("k")).cast("int").alias("fold"))
+    return df.join(F.broadcast(placed), F.col(ordinal) == F.col("fold_period")).drop("fold_period")
 
 
 def preprocessor(numeric: list[str], labels: list[str]) -> list:

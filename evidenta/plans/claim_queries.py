@@ -13,7 +13,8 @@ from evidenta.plans.config import GATE, STORY_WEIGHTS
 from evidenta.plans.exact_queries import rounded
 from evidenta.plans.views import REGION_MONTH_SQL, SALES_SQL, WHOLE_SQL, region_month, sales, table, whole_months
 
-SEED, B, DRAWS = GATE.seed, GATE.resamples, GATE.interval_resamples
+#: Resamples of the registered tests (the gate itself takes 10,000) and draws of the intervals.
+SEED, B, DRAWS = GATE.seed, 999, GATE.interval_resamples
 
 
 def _suppliers(spark, d):

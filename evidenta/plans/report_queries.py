@@ -78,7 +78,7 @@ def latest_absolute_change(spark, d):
 
 def gaps_filled(spark, d):
     days = table(spark, d, "orders").groupBy("o_orderpriority", F.datediff("o_orderdate", F.lit("1995-01-01").cast("date")).alias("day_no")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,4)")).cast("double").alias("total"))
-    return rounded(A.gaps_filled(days, "total", "day_no", "o_orderpriority"), 4)
+    return rounded(A.gaps_filled(days, "total", "day_no", "o_orderpriority"), 7)
 
 
 QUERIES = {
@@ -173,5 +173,5 @@ ORACLES = {
     "seasonal_range": f"WITH m AS (SELECT CAST({_MONTH} % 12 + 1 AS INTEGER) AS p, avg(o_totalprice) AS m FROM orders GROUP BY 1) SELECT count(*) AS positions, first(p ORDER BY m DESC, p) AS peak, first(p ORDER BY m, p) AS trough, round((max(m) - min(m)) / abs(avg(m)), 7) AS seasonal_range FROM m",
     "latest_absolute_change": f"WITH m AS (SELECT {_MONTH} AS o, avg(o_totalprice) AS m FROM orders GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY o DESC) AS rn FROM m) SELECT max(CASE WHEN rn = 1 THEN o END) AS latest, max(CASE WHEN rn = 2 THEN o END) AS before, round(max(CASE WHEN rn = 1 THEN m END) - max(CASE WHEN rn = 2 THEN m END), 5) AS absolute_change FROM r",
     "gaps_filled": """WITH t AS (SELECT o_orderpriority AS p, CAST(o_orderdate AS DATE) - DATE '1995-01-01' AS o, CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS v FROM orders GROUP BY 1, 2), n AS (SELECT *, lead(o) OVER w AS o2, lead(v) OVER w AS v2 FROM t WINDOW w AS (PARTITION BY p ORDER BY o)),
-s AS (SELECT *, unnest(range(o, coalesce(o2, o + 1))) AS pt FROM n) SELECT p AS o_orderpriority, pt AS day_no, round(v + coalesce(v2 - v, 0) * coalesce((pt - o) / (o2 - o), 0), 4) AS total, pt > o AS filled FROM s""",
+s AS (SELECT *, unnest(range(o, coalesce(o2, o + 1))) AS pt FROM n) SELECT p AS o_orderpriority, pt AS day_no, round(v + coalesce(v2 - v, 0) * coalesce((pt - o) / (o2 - o), 0), 7) AS total, pt > o AS filled FROM s""",
 }

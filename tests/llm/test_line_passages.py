@@ -23,7 +23,7 @@ def remaining(text, passage):
     return sum(w in left for w in passage.split())
 
 
-@pytest.mark.parametrize("line", [4, 6, 9, 14, 30, 500])
+@pytest.mark.parametrize("line", [6, 30, 500])
 @pytest.mark.parametrize("size, share", [(60, 0.8), (120, 0.97)])
 def test_repeated_passages_are_caught_whatever_their_lines(spark, line, size, share):
     """Of 60 passages that two documents hold, in short lines, long lines or inside one line, most lose most of a copy."""

@@ -43,6 +43,8 @@ def p_value(observed: DataFrame, resampled: DataFrame, statistic: str = "stat")
 
 #: Rows that a test by shuffled places takes: each resample orders all rows of a stratum once, in one task.
 PLACED_ROWS = 2_000_000
+#: Rows that travel as one array, and replicated rows that a task orders (whole resamples).
+PIECE, TASK_ROWS = 4096, 500_000
 
 
 def numbered(df: DataFrame, row_id: str, stratum: list[str] | None = None) -> DataFrame:
@@ -57,9 +59,33 @@ def numbered(df: DataFrame, row_id: str, stratum: list[str] | None = None) -> Da
 
 
 def shuffled(rows: DataFrame, resamples: int, seed: int, row_id: str, stratum: list[str] | None = None) -> DataFrame:
-    """Every resample's rows with a place ``j``: a random permutation of the places (within each stratum)."""
+    """Every resample's rows with a place ``j``: a random permutation of the places (within each stratum).
+
+    A task draws whole resamples from the sample, which it gets as arrays: replicated rows are neither moved between
+    tasks nor gathered in one.
+    """
+    spark, n = rows.sparkSession, rows.count()
+    tasks = min(resamples, max(spark.sparkContext.defaultParallelism, -(-n * resamples // TASK_ROWS)))
+    piece = F.pmod(F.xxhash64(row_id), F.lit(-(-n // PIECE) or 1))
+    pieces = rows.groupBy(piece.alias("piece")).agg(F.collect_list(F.struct(*rows.columns)).alias("held")).select("held")
+    copies = spark.range(0, resamples, 1, tasks).withColumnRenamed("id", "b").crossJoin(F.broadcast(pieces)).select("b", F.inline("held"))
     by = Window.partitionBy("b", *(stratum or [])).orderBy("draw", row_id)
-    return replicated(rows, resamples).withColumn("draw", seeded(seed, F.col("b"), F.col(row_id))).withColumn("j", F.row_number().over(by)).drop("draw")
+    return copies.withColumn("draw", seeded(seed, F.col("b"), F.col(row_id))).withColumn("j", F.row_number().over(by)).drop("draw")
+
+
+def waiting(moved: DataFrame, placed: DataFrame, columns: list[str], stratum: list[str] | None = None) -> DataFrame:
+    """``moved`` with the ``columns`` of the row whose place ``i`` (in the same stratum) is its ``j``.
+
+    The sample is the side that is broadcast, as arrays of PIECE rows.  A planner that chose would take the replicated
+    rows for as few as the sample's, and could send them to the driver.
+    """
+    keys = [F.col(c).alias(f"at_{c}") for c in stratum or []]
+    piece = lambda place: F.floor((F.col(place) - 1) / PIECE).cast("int")
+    held = placed.groupBy(*keys, piece("i").alias("piece")).agg(F.array_sort(F.collect_list(F.struct("i", *columns))).alias("held"))
+    base = held.select(*[f"at_{c}" for c in stratum or []], "piece", *[F.col("held")[c].alias(f"at_{c}") for c in columns])
+    same = [F.col(c) == F.col(f"at_{c}") for c in stratum or []]
+    found = moved.join(F.broadcast(base), [*same, piece("j") == F.col("piece")])
+    return found.select(*moved.columns, *[F.get(F.col(f"at_{c}"), (F.col("j") - 1) % PIECE).alias(c) for c in columns])
 
 
 def _rank_moments(r: DataFrame) -> DataFrame:
@@ -99,9 +125,9 @@ def group_test(df: DataFrame, group: str, value: str, reference: str, row_id: st
     placed = numbered(ranked(rows, "v", "r"), "rid", ["stratum"]).select("rid", "stratum", "i", "a", "r").persist()
     sizes = F.broadcast(placed.agg(F.sum("a").cast("double").alias("na"), F.sum(1 - F.col("a")).cast("double").alias("nb")).withColumn("one", F.lit(0)))
     seen = placed.agg(F.sum(F.col("a") * F.col("r")).alias("t")).withColumn("one", F.lit(0)).join(sizes, "one").select(_delta(F.col("t")).alias("stat"))
-    moved = shuffled(placed.select("rid", "stratum", "a").where("a = 1 or a = 0"), resamples, seed, "rid", ["stratum"]).where("a = 1")
-    base = placed.select(F.col("stratum").alias("s2"), "i", "r")
-    sums = moved.join(base, (F.col("stratum") == F.col("s2")) & (F.col("j") == F.col("i"))).groupBy("b").agg(F.sum("r").alias("t"))
+    within = ["stratum"] if stratum else []
+    moved = shuffled(placed.select("rid", *within, "a"), resamples, seed, "rid", within).where("a = 1")
+    sums = waiting(moved, placed, ["r"], within).groupBy("b").agg(F.sum("r").alias("t"))
     return p_value(seen, sums.withColumn("one", F.lit(0)).join(sizes, "one").select("b", _delta(F.col("t")).alias("stat")))
 
 

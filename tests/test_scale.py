@@ -1,6 +1,9 @@
 """No plan orders rows in one task: windows without a partition run over bounded tables only, and cuts are exact."""
 
+from hashlib import md5
+
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +75,50 @@ def test_sales_joins_only_what_its_columns_need(spark):
     assert files(sales(spark, sf, "revenue")) == {"lineitem"}
     assert files(sales(spark, sf, "cost", "month_no")) == {"lineitem", "part", "orders"}
     assert sales(spark, sf).count() == table(spark, sf, "lineitem").count() == sales(spark, sf, "nation").count()
+
+
+@pytest.fixture
+def small_broadcasts(spark):
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "40m")
+    yield
+    spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+@pytest.mark.parametrize("kind", ["groups"])
+def test_resamples_do_not_reach_the_driver(spark, small_broadcasts, kind):
+    """3,000 rows fit into a broadcast of 40 MB, their 999 resamples do not; the figures are those of a plain version."""
+    rng = np.random.default_rng(4)
+    rows = pd.DataFrame({"rid": np.arange(3000), "s": rng.integers(0, 3, 3000), "x": rng.integers(0, 25, 3000), "y": rng.normal(size=3000).round(2)})
+    if kind == "unpaired":
+        rows["s"] = 1 + rows["s"] % 2
+    df = spark.createDataFrame(rows).repartition(3)
+    test, label = {
+        "free": (lambda: R.correlation_test(df, "x", "y", "rid", 999, 7), None),
+        "stratified": (lambda: R.correlation_test(df, "x", "y", "rid", 999, 7, "s"), "s"),
+        "groups": (lambda: R.group_test(df, "s", "y", "1", "rid", 999, 7), None),
+        "unpaired": (lambda: R.unpaired_change_test(df, "y", "s", "rid", 999, 7), None),
+    }[kind]
+    got = test().first()
+    moves = {"groups": rows["s"] == 1, "unpaired": rows["s"] == 2}.get(kind, rows["y"].rank()).to_numpy(float)
+    waits = {"free": rows["x"].rank(), "stratified": rows["x"].rank(), "groups": rows["y"].rank(), "unpaired": rows["y"]}[kind].to_numpy(float)
+    strata = rows[label].to_numpy() if label else np.zeros(len(rows), dtype=int)
+    rid, na, n = rows["rid"].to_numpy(), moves.sum(), len(rows)
+
+    def statistic(m):
+        if kind == "groups":
+            return 2 * (m @ waits - na * (na + 1) / 2) / (na * (n - na)) - 1
+        if kind == "unpaired":
+            rest = (waits.sum() - m @ waits) / (n - na)
+            return (m @ waits / na - rest) / abs(rest)
+        return np.corrcoef(m, waits)[0, 1]
+
+    def drawn(b):
+        m = np.empty(n)
+        for s in np.unique(strata):
+            at = np.flatnonzero(strata == s)
+            m[at] = moves[sorted(at, key=lambda k: md5(f"7:{b}:{rid[k]}".encode()).digest())]
+        return m
+
+    seen = statistic(moves)
+    assert got["statistic"] == pytest.approx(seen, abs=1e-9)
+    assert got["extreme"] == sum(abs(statistic(drawn(b))) >= abs(seen) - 1e-12 for b in range(999))

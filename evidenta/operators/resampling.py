@@ -106,9 +106,9 @@ def correlation_test(df: DataFrame, x: str, y: str, row_id: str, resamples: int,
     placed = numbered(r, "rid", ["stratum"]).select("rid", "stratum", "i", "rx", "ry").persist()
     moments = F.broadcast(_rank_moments(placed).withColumn("one", F.lit(0)))
     seen = placed.agg(F.sum(F.col("rx") * F.col("ry")).alias("t")).withColumn("one", F.lit(0)).join(moments, "one").select(_rho(F.col("t")).alias("stat"))
-    moved = shuffled(placed.select("rid", "stratum", "ry"), resamples, seed, "rid", ["stratum"])
-    base = placed.select(F.col("stratum").alias("s2"), "i", "rx")
-    sums = moved.join(base, (F.col("stratum") == F.col("s2")) & (F.col("j") == F.col("i"))).groupBy("b").agg(F.sum(F.col("rx") * F.col("ry")).alias("t"))
+    within = ["stratum"] if stratum else []
+    moved = shuffled(placed.select("rid", *within, "ry"), resamples, seed, "rid", within)
+    sums = waiting(moved, placed, ["rx"], within).groupBy("b").agg(F.sum(F.col("rx") * F.col("ry")).alias("t"))
     drawn = sums.withColumn("one", F.lit(0)).join(moments, "one").select("b", _rho(F.col("t")).alias("stat"))
     return p_value(seen, drawn)
 

@@ -147,8 +147,7 @@ def cluster_test(df: DataFrame, group: str, value: str, reference: str, entity:
 
     mark = F.sum(F.when(F.col("a") == 1, F.col("sr"))).alias("t"), F.sum(F.when(F.col("a") == 1, F.col("m"))).alias("na")
     moved = shuffled(placed.select("e", "a"), resamples, seed, "e").where("a = 1").select("b", "j")
-    base = placed.select("i", "sr", "m")
-    sums = moved.join(base, F.col("j") == F.col("i")).groupBy("b").agg(F.sum("sr").alias("t"), F.sum("m").alias("na"))
+    sums = waiting(moved, placed, ["sr", "m"]).groupBy("b").agg(F.sum("sr").alias("t"), F.sum("m").alias("na"))
     return p_value(delta(placed.agg(*mark)).select("stat"), delta(sums).select("b", "stat"))
 
 
@@ -186,7 +185,7 @@ def unpaired_change_test(df: DataFrame, value: str, ordinal: str, row_id: str, r
 
     total = F.sum("v").cast("double").alias("t")
     moved = shuffled(placed.select("rid", "a"), resamples, seed, "rid").where("a = 1").select("b", "j")
-    sums = moved.join(placed.select("i", "v"), F.col("j") == F.col("i")).groupBy("b").agg(total)
+    sums = waiting(moved, placed, ["v"]).groupBy("b").agg(total)
     return p_value(change(placed.where("a = 1").agg(total)).select("stat"), change(sums).select("b", "stat"))
 
 

@@ -84,7 +84,7 @@ def small_broadcasts(spark):
     spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
-@pytest.mark.parametrize("kind", ["free", "stratified", "groups"])
+@pytest.mark.parametrize("kind", ["free", "stratified", "groups", "unpaired"])
 def test_resamples_do_not_reach_the_driver(spark, small_broadcasts, kind):
     """3,000 rows fit into a broadcast of 40 MB, their 999 resamples do not; the figures are those of a plain version."""
     rng = np.random.default_rng(4)

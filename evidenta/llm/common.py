@@ -57,11 +57,11 @@ def release(spark: SparkSession) -> None:
             found.getPath().getFileSystem(conf).delete(found.getPath(), True)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage at a table in the shared folder, so that a lost executor costs only its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{label}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 

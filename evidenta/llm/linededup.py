@@ -11,8 +11,8 @@ each chunk keeps its first occurrence (smallest id, then place).  Later occurren
 ones together hold MIN_WORDS words; shorter repeats (headings, greetings) stay.  What stays of a repeated passage is
 its first occurrence, and of its copies at most the soft lines before the first and after the last boundary inside it.
 
-Only narrow rows (row, place, key) of the whole corpus are shuffled; texts are cut again only for documents that hold
-a repeated key, and only documents that lose something are joined with their places.
+Of the whole corpus only keys are shuffled.  Texts are cut once and stored with their keys, chunk by chunk; only
+documents that lose something are cut again, and joined with their places.
 
 Defined cases: a null text stays null; an empty text has no line and loses nothing; rows are told apart by id and
 text, so rows that share an id keep their own texts and equal rows of one id count as one document (none loses
@@ -82,11 +82,6 @@ def text_of(lines: Column) -> Column:
     return F.array_join(lines, "")
 
 
-def key_of(lines: Column) -> Column:
-    """64 bits of a chunk, from its lines: two chunks of one text have one key, as equal texts have equal lines."""
-    return F.xxhash64(lines)
-
-
 def chunks(text: Column) -> Column:
     """array<string> of the chunks of a text; put together they give the text again.  Null for a null or empty text."""
     return chunked(text, text_of)
@@ -109,22 +104,24 @@ def place_rank(id_col: Column, tie: Column, place: Column) -> Column:
     return (id_col.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + inside).cast("decimal(38,0)")
 
 
-def occurrences(texts: DataFrame) -> DataFrame:
-    """(id, tie, row, place, key, chunk) of every chunk of the rows of ``_rows``."""
-    told = chunked(F.col("text"), lambda x: F.struct(key_of(x).alias("key"), text_of(x).alias("chunk")))
-    return texts.select("id", "tie", "row", F.posexplode(told).alias("place", "x")).select("id", "tie", "row", "place", "x.key", "x.chunk")
+def cut_rows(texts: DataFrame) -> DataFrame:
+    """(id, tie, row, keys, chunks) of the rows of ``_rows``, stored, so that a text is cut once.
+
+    The arrays are not exploded before they are stored, and outer when they are: the optimiser puts a filter on an
+    array's size in front of a plain ``explode``, which makes the array again.
+    """
+    cut = texts.select("id", "tie", "row", chunks(F.col("text")).alias("chunks"))
+    return stored(cut.withColumn("keys", F.transform("chunks", lambda x: F.xxhash64(x))), "line-cut", "zstd")
 
 
 def repeated_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, tie, row, place, chunk, key, words) of every chunk whose key occurs again (and of few others), stored."""
-    texts = _rows(df, id_col, text_col)
-    hashed = texts.select("row", chunked(F.col("text"), key_of).alias("keys"))
-    narrow = stored(hashed.select("row", F.explode("keys").alias("key")), "line-keys")
+    cut = cut_rows(_rows(df, id_col, text_col))
+    narrow = cut.select(F.explode_outer("keys").alias("key"))
     again = stored(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "line-again")
-    keys = candidate_filter(again, "key")
-    holders = stored(may_contain(narrow, "key", keys).select("row").distinct(), "line-holders")
-    found = occurrences(may_contain(texts, "row", candidate_filter(holders, "row")))
-    return stored(may_contain(found, "key", keys).withColumn("words", word_count(F.col("chunk"))), "line-chunks")
+    every = cut.select("id", "tie", "row", F.posexplode_outer(F.arrays_zip(F.col("keys").alias("key"), F.col("chunks").alias("chunk"))).alias("place", "x"))
+    found = may_contain(every.select("id", "tie", "row", "place", "x.key", "x.chunk"), "key", candidate_filter(again, "key"))
+    return stored(found.withColumn("words", word_count(F.col("chunk"))), "line-chunks")
 
 
 def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -75,3 +75,14 @@ def test_rows_that_share_an_id_keep_their_own_texts(spark):
     assert (2, unique) in texts and len(texts) == 6
     assert [t for i, t in texts if i == 3] == ["", ""]
     assert next(len(t) for i, t in texts if i == 2 and t != unique) < len(passage) / 3
+
+
+def test_texts_are_cut_once_to_find_repeats(spark, monkeypatch):
+    """No plan cuts a text for its keys and again for its chunks, nor in a filter that the optimiser adds."""
+    plans, stored = [], linededup.stored
+    monkeypatch.setattr(linededup, "stored", lambda df, *a: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or stored(df, *a))
+    rng = random.Random(5)
+    passage = prose(rng, words_of(rng, 90), 10)
+    docs = spark.createDataFrame([(k, f"own {k}\n{passage}") for k in range(3)], "doc_id long, text string")
+    assert linededup.repeated_chunks(docs, "doc_id", "text").count() > 0
+    assert sum(p.count(linededup.SOFT_LINE) for p in plans) == 1

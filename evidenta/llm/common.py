@@ -7,6 +7,7 @@ import gc
 import os
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,6 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _written: dict[str, list[str]] = {}
+#: Folders of the stored tables, for ``dropped``.
+_places: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -62,7 +65,16 @@ def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}-{label}"
     df.write.parquet(path, compression=compression)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _places[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more: whatever was made of them has been stored itself."""
+    for df in tables:
+        spark, path = df.sparkSession, df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(_places.pop(df))
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def word_count(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 No neighbourhood is ever collected: each round is a minimum per node (with a map-side combine) and a join that
 broadcasts the counted minima of hubs, so a hub with a third of all links is spread over all tasks.  Each round is
-written to the shared folder.
+written to the shared folder, and the round before is deleted.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import heavy_rows, join_counted, stored
+from .common import dropped, heavy_rows, join_counted, stored
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -55,7 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(now)
     while before[0]:
         large = _large_star(now, before[0], before[2]).where("a <> b").distinct()
-        now = stored(_small_star(large).where("a <> b").distinct(), "links")
+        last, now = now, stored(_small_star(large).where("a <> b").distinct(), "links")
+        dropped(last)
         after = _state(now)
         if after == before:
             break

@@ -12,7 +12,8 @@ ones together hold MIN_WORDS words; shorter repeats (headings, greetings) stay.
 its first occurrence, and of its copies at most the soft lines before the first and after the last boundary inside it.
 
 Of the whole corpus only keys are shuffled.  Texts are cut once and stored with their keys, chunk by chunk; only
-documents that lose something are cut again, and joined with their places.
+documents that lose something are cut again, and joined with their places.  A stored table goes as soon as what was
+made of it is stored.
 
 Defined cases: a null text stays null; an empty text has no line and loses nothing; rows are told apart by id and
 text, so rows that share an id keep their own texts and equal rows of one id count as one document (none loses
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import candidate_filter, join_counted, marked, may_contain, stored, word_count
+from .common import candidate_filter, dropped, join_counted, marked, may_contain, stored, word_count
 
 #: Soft lines as a pattern: up to seven words that end in a space and no punctuation, then a word with the space or
 #: line feed behind it, or the text's last word.  The second form finds the same without possessive steps, for SQL.
@@ -121,11 +122,13 @@ def repeated_chunks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     again = stored(narrow.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "line-again")
     every = cut.select("id", "tie", "row", F.posexplode_outer(F.arrays_zip(F.col("keys").alias("key"), F.col("chunks").alias("chunk"))).alias("place", "x"))
     found = may_contain(every.select("id", "tie", "row", "place", "x.key", "x.chunk"), "key", candidate_filter(again, "key"))
-    return stored(found.withColumn("words", word_count(F.col("chunk"))), "line-chunks")
+    out = stored(found.withColumn("words", word_count(F.col("chunk"))), "line-chunks")
+    dropped(cut, again)
+    return out
 
 
 def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, removed array<int>, removed_words) of the rows that hold repeated passages."""
+    """(id, row, removed array<int>, removed_words) of the rows that hold repeated passages, stored."""
     found = repeated_chunks(df, id_col, text_col)
     ranked = place_rank(F.col("id"), F.col("tie"), F.col("place"))
     firsts = stored(
@@ -136,20 +139,20 @@ def repeated_places(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "line-firsts",
     )
     told = stored(found.select("id", "tie", "row", "place", "words", "key", F.md5("chunk").alias("digest")), "line-places")
+    dropped(found)
     later = join_counted(told, firsts, ["key", "digest"], "n", told.count()).where(ranked > F.col("first"))
     by_place = Window.partitionBy("id", "row").orderBy("place")
     runs = later.select("id", "row", "place", "words").distinct().withColumn("run", F.col("place") - F.row_number().over(by_place))
     in_run = runs.withColumn("run_words", F.sum("words").over(Window.partitionBy("id", "row", "run")))
-    return (
-        in_run.where(F.col("run_words") >= MIN_WORDS)
-        .groupBy("id", "row")
-        .agg(F.array_sort(F.collect_list("place")).alias("removed"), F.sum("words").alias("removed_words"))
-    )
+    removed = in_run.where(F.col("run_words") >= MIN_WORDS).groupBy("id", "row")
+    out = stored(removed.agg(F.array_sort(F.collect_list("place")).alias("removed"), F.sum("words").alias("removed_words")), "line-removed")
+    dropped(firsts, told)
+    return out
 
 
 def clean(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: bool = False) -> DataFrame:
     """``df`` with repeated passages cut out of its texts; with ``marks`` also n_removed and removed_words."""
-    places = stored(repeated_places(df, id_col, text_col), "line-removed")
+    places = repeated_places(df, id_col, text_col)
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("all"))
     own = whole.select("all", F.col("all")[id_col].cast("long").alias("own_id"), F.col("all")[text_col].alias("own_text"))
     keyed = own.select("all", "own_id", "own_text", row_key("own_id", "own_text")[1].alias("own_row"))

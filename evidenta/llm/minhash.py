@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import (
-    WORD_RE, arrow_map, candidate_filter, flat_words, join_counted, marked, may_contain, mix64, prepare, steps, stored, text_bytes,
+    WORD_RE, arrow_map, candidate_filter, dropped, enter, flat_words, join_counted, marked, may_contain, mix64, prepare, steps, stored,
+    text_bytes,
 )
 from .components import components
 
@@ -253,6 +254,7 @@ def _compared(sent: DataFrame, sets: DataFrame, keys: list[str], s: Settings) ->
     """Confirmed links (a, b) between the different labels of rows (node, label, keys), one task per value of the keys."""
 
     def compare(found: pa.Table) -> pa.Table:
+        enter("minhash")
         nodes, labels = found.column("node").to_numpy(), found.column("label").to_numpy()
         return _links(spanning_links(nodes, labels, _lists(found.column("shingles")), s))
 
@@ -276,6 +278,7 @@ def star_links(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
     centres = hubs.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
 
     def compare(found: pa.Table) -> pa.Table:
+        enter("minhash")
         nodes, sets_ = found.column("node").to_numpy(), _lists(found.column("shingles"))
         hub = found.column("hub")[0].as_py()
         centre = next((x for n, x in zip(nodes.tolist(), sets_, strict=True) if n == hub), None)
@@ -339,27 +342,51 @@ def large_part_links(hits: DataFrame, sets: DataFrame, s: Settings) -> DataFrame
     return star.unionByName(bucket_links(open_, sets, s))
 
 
+def class_rows(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, bands) of the rows that stand for their class, stored.
+
+    Rows whose class has no copies, nearly all, are told by a bitmap, so that their bands are not shuffled.
+    """
+    doubled = stored(classes.where("copies > 1").select("set_a"), "doubled")
+    told = marked(known, "set_a", candidate_filter(doubled, "set_a"), "may_repeat")
+    same = classes.select(F.col("class").alias("own_id"), F.col("set_a").alias("own_a"), F.col("set_b").alias("own_b"))
+    own = (F.col("id") == F.col("own_id")) & (F.col("set_a") == F.col("own_a")) & (F.col("set_b") == F.col("own_b"))
+    lone = told.where("not may_repeat").unionByName(told.where("may_repeat").join(same, own, "left_semi"))
+    out = stored(lone.select(F.col("set_a").alias("node"), "bands"), "lone")
+    dropped(doubled)
+    return out
+
+
 def candidate_hits(lone: DataFrame) -> DataFrame:
-    """(node, key, first) of every class in a bucket of two or more; ``first`` is the bucket's smallest node."""
-    banded = stored(lone.select("node", F.explode("bands").alias("key")), "bands")
+    """(node, key, first) of every class in a bucket of two or more, stored; ``first`` is the bucket's smallest node."""
+    banded = lone.select("node", F.explode("bands").alias("key"))
     buckets = stored(
         banded.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first < last").select("key", "first"), "buckets"
     )
-    return stored(may_contain(banded, "key", candidate_filter(buckets, "key")).join(buckets, "key").select("node", "key", "first"), "hits")
+    out = stored(may_contain(banded, "key", candidate_filter(buckets, "key")).join(buckets, "key").select("node", "key", "first"), "hits")
+    dropped(buckets)
+    return out
 
 
 def near_duplicates(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, tie, n, component) of every row of ``df``; a component is the smallest id that confirmed links reach."""
-    rows = stored(sketch(df, s, id_col, text_col), "sketches")
+    """(id, tie, n, component, least_node) of every row of ``df``; a component is the smallest id that confirmed links reach.
+
+    Where rows share an id two components can have one name; ``least_node`` tells them apart (null for an empty set or
+    a null id).
+    """
+    sketches = stored(sketch(df, s, id_col, text_col), "sketches")
+    rows = stored(sketches.drop("bands"), "rows")
     known = rows.where("n > 0 and id is not null")
     classes = stored(
         known.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("copies")), "classes"
     )
-    own = (F.col("id") == F.col("class")) & (known["set_a"] == classes["set_a"]) & (known["set_b"] == classes["set_b"])
-    lone = stored(known.join(classes, own, "left_semi").select("id", F.col("set_a").alias("node"), "bands"), "lone")
+    lone = class_rows(sketches.where("n > 0 and id is not null"), classes)
+    dropped(sketches)
     hits = candidate_hits(lone)
+    dropped(lone)
     parts = stored(components(hits.where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))), "parts")
-    wanted = stored(lone.join(parts.select("node"), "node", "left_semi").select(F.xxhash64("id").alias("h")), "wanted")
+    named = classes.select(F.col("class").alias("id"), F.col("set_a").alias("node"))
+    wanted = stored(named.join(parts.select("node"), "node", "left_semi").select(F.xxhash64("id").alias("h")), "wanted")
     near = df.select(F.col(id_col).cast("long").alias("cand_id"), F.col(text_col).alias("cand_text"))
     found = full_sets(may_contain(near.withColumn("h", F.xxhash64("cand_id")), "h", candidate_filter(wanted, "h")), s, "cand_id", "cand_text")
     sets = stored(found.join(parts.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -373,17 +400,23 @@ def near_duplicates(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col
         links = links.unionByName(part_links(members, sets, s))
     else:
         links = part_links(members, sets, s)
-    joined = stored(components(stored(links, "confirmed")), "joined")
+    confirmed = stored(links, "confirmed")
+    dropped(hits, sets, parts, wanted, large)
+    joined = stored(components(confirmed), "joined")
     named = joined.join(classes.select(F.col("set_a").alias("node"), "class"), "node")
     least = named.groupBy("component").agg(F.min("class").alias("named"), F.count(F.lit(1)).alias("members"))
-    by_node = join_counted(joined, least, ["component"], "members", joined.count()).groupBy("node").agg(F.min("named").alias("named"))
+    by_node = join_counted(joined, least, ["component"], "members", joined.count()).groupBy("node").agg(
+        F.min("named").alias("named"), F.min("component").alias("least_node")
+    )
     labelled = classes.join(by_node, F.col("set_a") == F.col("node"), "left").select(
-        "set_a", "set_b", "n", "copies", F.coalesce("named", "class").alias("component")
+        "set_a", "set_b", "n", "copies", F.coalesce("named", "class").alias("component"), F.coalesce("least_node", "set_a").alias("least_node")
     )
     labelled = stored(labelled, "labelled-classes")
     some = known.select("id", "tie", "n", "set_a", "set_b")
-    out = join_counted(some, labelled, ["set_a", "set_b", "n"], "copies", some.count()).select("id", "tie", "n", "component")
-    return out.unionByName(rows.where("n = 0 or id is null").select("id", "tie", "n", F.col("id").alias("component")))
+    columns = ["id", "tie", "n", "component", "least_node"]
+    out = join_counted(some, labelled, ["set_a", "set_b", "n"], "copies", some.count()).select(*columns)
+    alone = rows.where("n = 0 or id is null").select("id", "tie", "n", F.col("id").alias("component"), F.lit(None).cast("long").alias("least_node"))
+    return out.unionByName(alone)
 
 
 def keep_one(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -398,8 +431,8 @@ def keep_one(df: DataFrame, s: Settings, id_col: str = "doc_id", text_col: str =
     keys = F.xxhash64("id", "tie").alias("row_hash")
     shared = stored(some.groupBy("id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(F.col("id").alias("shared_id")), "shared-ids")
     heads = some.where("id = component").join(shared, F.col("id") == F.col("shared_id"), "left_semi")
-    least = heads.groupBy("component").agg(F.min("tie").alias("least"))
-    doubled = heads.join(least, "component").where("tie > least").select("id", "tie")
+    least = heads.groupBy("least_node").agg(F.min("tie").alias("least"))
+    doubled = heads.join(least, "least_node").where("tie > least").select("id", "tie")
     gone = stored(some.where("id <> component").select("id", "tie").unionByName(doubled).distinct().withColumn("row_hash", keys), "gone")
     whole = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     own = whole.select("row", F.col("row")[id_col].cast("long").alias("own_id"), F.xxhash64(F.col("row")[text_col]).alias("own_tie"))

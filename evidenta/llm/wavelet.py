@@ -44,6 +44,8 @@ ENCODE_BYTES = 4_000_000
 LEARN_WORDS = 100_000
 #: Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
+#: First bits of a block's words, and positions that are ranked at a time.
+WORD_AT, RANK_STEP = np.arange(0, RANK_BITS, 64), 1 << 15
 MAGIC = b"WVM1"
 HEADER = struct.Struct("<4sQIIQ")
 
@@ -104,6 +106,7 @@ class WaveletMatrix:
         self.alphabet, self.counts, self.planes, self.ranks = alphabet, counts.astype(np.int64), planes, ranks
         self.codes = Codes(self.counts, lengths)
         self.n = self.codes.sizes[0]
+        self._rows: dict[int, np.ndarray] = {}
 
     @property
     def levels(self) -> int:
@@ -161,17 +164,25 @@ class WaveletMatrix:
         matrix = cls(alphabet, counts, lengths, planes, ranks)
         return matrix, take("<i8", docs), take("u1", docs).astype(bool), take("<u8", docs).astype(np.int64)
 
+    def _words(self, level: int) -> np.ndarray:
+        """A plane as rows of 64-bit words, one row for each entry of the rank directory."""
+        if level not in self._rows:
+            plane = self.planes[level]
+            padded = np.zeros(len(self.ranks[level]) * (RANK_BITS // 8), dtype=np.uint8)
+            padded[: len(plane)] = plane
+            self._rows[level] = padded.view(">u8").astype(np.uint64).reshape(-1, RANK_BITS // 64)
+        return self._rows[level]
+
     def _ones(self, level: int, i: np.ndarray) -> np.ndarray:
-        """One bits before positions i of a plane: the directory's entry, then the bytes of its block."""
-        plane, i = self.planes[level], np.asarray(i, dtype=np.int64)
+        """One bits before positions i of a plane: the directory's entry, then the words of its block."""
+        words, i = self._words(level), np.asarray(i, dtype=np.int64)
         block = i // RANK_BITS
         out = self.ranks[level][block].astype(np.int64)
-        for k in range(RANK_BITS // 8):
-            byte = block * (RANK_BITS // 8) + k
-            value = np.where(byte < len(plane), plane[np.minimum(byte, len(plane) - 1)], 0).astype(np.uint8)
-            partial = (byte == i // 8) & (i % 8 > 0)
-            mask = np.where(byte < i // 8, 0xFF, np.where(partial, (0xFF00 >> (i % 8)) & 0xFF, 0)).astype(np.uint8)
-            out = out + np.bitwise_count(value & mask)
+        for begin in range(0, len(i), RANK_STEP):
+            part = slice(begin, begin + RANK_STEP)
+            bits = np.clip(i[part, None] % RANK_BITS - WORD_AT, 0, 64)
+            head = words[block[part]] >> np.minimum(64 - bits, 63).astype(np.uint64)
+            out[part] += np.bitwise_count(np.where(bits > 0, head, np.uint64(0))).sum(axis=1, dtype=np.int64)
         return out
 
     def _zeros(self, level: int) -> int:
@@ -338,16 +349,18 @@ class ByteLevelEncoder:
             found = self.pieces[piece] = self._remember(np.array(ids, dtype=np.uint32), [0])
         return found
 
-    def _learn(self, new: list[str], mark: str, into: dict[str, int], whole: bool) -> None:
+    def _learn(self, keys: list[str], mark: str, into: dict[str, int], whole: bool, cut: int = 0) -> np.ndarray:
         """Encode new words together, each behind the mark (a space or a line feed); its token starts a word.
 
         With ``whole`` the mark belongs to the word (a space merges into its first token); without, it is a token of
-        its own and left out.
+        its own and left out.  A key's first ``cut`` characters are not of the word.  Returns the piece numbers.
         """
         starts = self.spaced if mark == " " else self.lined
-        for begin in range(0, len(new), LEARN_WORDS):
-            part = new[begin : begin + LEARN_WORDS]
-            ids = np.array(self.library.encode_batch_fast([mark + mark.join(part)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        out = np.empty(len(keys), dtype=np.int64)
+        for begin in range(0, len(keys), LEARN_WORDS):
+            part = keys[begin : begin + LEARN_WORDS]
+            text = mark + mark.join([k[cut:] for k in part] if cut else part)
+            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             begins = np.flatnonzero(starts[ids])
             if len(begins) != len(part):
                 raise AssertionError("a word has other than one token that starts with its mark")
@@ -357,25 +370,26 @@ class ByteLevelEncoder:
                 ids, begins = ids[keep], begins - np.arange(len(begins))
             first = self._remember(ids, begins)
             into.update(zip(part, range(first, first + len(part)), strict=True))
+            out[begin : begin + len(part)] = np.arange(first, first + len(part))
+        return out
 
-    def _look_up(self, keys: list[str], into: dict[str, int], learn: Callable[[list[str]], None]) -> np.ndarray:
+    def _look_up(self, keys: list[str], into: dict[str, int], learn: Callable[[list[str]], np.ndarray]) -> np.ndarray:
+        """The piece number of each of the keys, all different."""
         found = np.fromiter(map(into.get, keys, itertools.repeat(-1)), dtype=np.int64, count=len(keys))
         if len(fresh := np.flatnonzero(found < 0)):
-            new = [keys[i] for i in fresh.tolist()]
-            learn(list(dict.fromkeys(new)))
-            found[fresh] = [into[k] for k in new]
+            found[fresh] = learn(list(map(keys.__getitem__, fresh.tolist())))
         self.seen[found] += 1
         return found
 
-    def _learn_words(self, new: list[str]) -> None:
-        self._learn([w for w in new if w[0] != "\n"], " ", self.words, True)
-        lined = [w for w in new if w[0] == "\n"]
-        bare: dict[str, int] = {}
-        self._learn([w[1:] for w in lined], "\n", bare, True)
-        self.words.update((w, bare[w[1:]]) for w in lined)
+    def _learn_words(self, new: list[str]) -> np.ndarray:
+        lined = np.array([w[0] == "\n" for w in new])
+        out = np.empty(len(new), dtype=np.int64)
+        out[~lined] = self._learn([w for w in new if w[0] != "\n"], " ", self.words, True)
+        out[lined] = self._learn([w for w in new if w[0] == "\n"], "\n", self.words, True, cut=1)
+        return out
 
-    def _learn_heads(self, new: list[str]) -> None:
-        self._learn(new, "\n", self.heads, False)
+    def _learn_heads(self, new: list[str]) -> np.ndarray:
+        return self._learn(new, "\n", self.heads, False)
 
     def _numbers(self, texts: list[str]) -> list[np.ndarray]:
         """Piece numbers of each text, the end's at its end."""
@@ -386,10 +400,11 @@ class ByteLevelEncoder:
             cut = pa.compute.split_pattern(spaced, " ")
             offsets = cut.offsets.to_numpy()
             coded = cut.flatten().dictionary_encode()
-            table = self._look_up(coded.dictionary.to_pylist(), self.words, self._learn_words)
+            table = self._look_up(strings(coded.dictionary), self.words, self._learn_words)
             numbers = table[coded.indices.to_numpy(zero_copy_only=False)]
             first = (offsets - offsets[0])[:-1]
-            numbers[first] = self._look_up(cut.flatten().take(pa.array(first)).to_pylist(), self.heads, self._learn_heads)
+            heads = cut.flatten().take(pa.array(first)).dictionary_encode()
+            numbers[first] = self._look_up(strings(heads.dictionary), self.heads, self._learn_heads)[heads.indices.to_numpy(zero_copy_only=False)]
             numbers = np.insert(numbers, (offsets - offsets[0])[1:], self.end)
             if len(plain) == len(texts):
                 self.lengths = np.diff(offsets) + 1
@@ -416,6 +431,11 @@ class ByteLevelEncoder:
         return self.ids[at], np.diff(doc_ends, prepend=0)
 
 
+def strings(column: pa.Array) -> list[str]:
+    """As ``to_pylist``, without a scalar per value."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 _ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
 _ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 

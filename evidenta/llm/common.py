@@ -278,6 +278,11 @@ def arrow_map(df: DataFrame, run, schema, operator: str = "") -> DataFrame:
 def give_back() -> None:
     """Return freed memory to the system: an idle worker should not hold what its last task needed."""
     gc.collect()
+    trim()
+
+
+def trim() -> None:
+    """``give_back`` without looking for cycles: a few milliseconds."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import array_steps, enter, flat_words, mix64, prepare, stored, text_bytes
+from .common import array_steps, enter, flat_words, mix64, prepare, stored, text_bytes, trim
 
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -96,6 +96,7 @@ def measures_of(text: pa.Array) -> pa.Array:
     for part in array_steps(text):
         found = measure_texts(text_bytes(part))
         parts.append(pa.StructArray.from_arrays([pa.array(found[m]) for m in MEASURES], names=list(MEASURES)))
+    trim()  # a scalar function does not see its task's end
     return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([pa.array([], pa.int64())] * len(MEASURES), names=list(MEASURES))
 
 

@@ -1,10 +1,14 @@
 """What operators leave in the shared folder, and rows that share an id and lead different groups."""
 
+import hashlib
 import random
 from collections import Counter
 from pathlib import Path
 
-from evidenta.llm import common, linededup, minhash
+import pyarrow as pa
+import pytest
+
+from evidenta.llm import bpe, common, linededup, minhash, quality
 
 
 def texts(n, seed=9):
@@ -40,3 +44,22 @@ def test_rows_of_one_id_that_lead_different_groups_all_stay(spark):
     for order in (rows, rows[::-1]):
         out = minhash.keep_one(spark.createDataFrame(order, "doc_id long, text string"), minhash.Settings()).collect()
         assert Counter((r["doc_id"], r["text"]) for r in out) == Counter([(4, a), (4, b), (7, c)])
+
+
+def test_a_remembered_word_is_one_value():
+    """A worker keeps hundreds of thousands of words: a tuple of two values each takes half as much again."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    codec = bpe.ForcedBoundaryCodec(public_tokenizers.path("word_bpe_49k.json"))
+    text = "Hello wörld,  hello don't \x01 x"
+    ids = codec.library.encode(text, add_special_tokens=False).ids
+    digests = [hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), codec.decode(ids))]
+    assert codec.digest(text.encode()) == (len(ids), *digests)
+    assert codec.digest(b"") == (0, *[hashlib.sha256(b"").hexdigest()] * 2)
+    assert {type(v) for v in codec.written.values()} == {bytes}
+
+
+def test_measuring_gives_memory_back_after_each_batch(monkeypatch):
+    calls = []
+    monkeypatch.setattr(quality, "trim", lambda: calls.append(1))
+    out = quality.measures_of.func(pa.array(["a b c", None]))
+    assert [r["n_words"] for r in out.to_pylist()] == [3, 0] and calls == [1]

@@ -21,8 +21,10 @@ from __future__ import annotations
 import functools
 import heapq
 import itertools
+import json
 import os
 import re
+import string
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -41,7 +43,7 @@ CACHE_ENTRIES = 900_000
 #: Bytes of text that are cut into words at a time.
 ENCODE_BYTES = 4_000_000
 #: New words that go to the library at a time.
-LEARN_WORDS = 100_000
+LEARN_WORDS = 1_000
 #: Bits between two entries of a plane's rank directory.
 RANK_BITS = 512
 #: First bits of a block's words, and positions that are ranked at a time.
@@ -49,8 +51,10 @@ WORD_AT, RANK_STEP = np.arange(0, RANK_BITS, 64), 1 << 15
 MAGIC = b"WVM1"
 HEADER = struct.Struct("<4sQIIQ")
 
-# White space as the byte-level pre-tokeniser's pattern has it.
+# White space as the byte-level pre-tokeniser's pattern has it, and the Latin ones of its letters.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+LETTERS = "".join(filter(re.compile(f"[{LATIN}]").match, map(chr, range(0x250))))
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
@@ -119,18 +123,21 @@ class WaveletMatrix:
         counts = every[alphabet]
         lengths = code_lengths(counts)
         codes = Codes(counts, lengths)
-        small = np.uint16 if len(alphabet) <= 1 << 16 else np.uint32
-        symbol = np.zeros(len(every), dtype=small)
-        symbol[alphabet] = np.arange(len(alphabet))
-        now = symbol[tokens]
+        # tokens are held as their codes, the bit of the level as the sign
+        kind, signed, top = (np.uint32, np.int32, 31) if codes.levels <= 32 else (np.uint64, np.int64, 63)
+        code = np.zeros(len(every), dtype=kind)
+        for level, bits in enumerate(codes.bits):
+            code[alphabet] |= bits.astype(kind) << kind(top - level)
+        now = code[tokens]
         planes, ranks = [], []
         for level in range(codes.levels):
-            bits = codes.bits[level][now]
+            bits = now.view(signed) < 0
             plane = np.packbits(bits)
             planes.append(plane)
             ranks.append(_directory(plane))
             # compress finds the places without a branch per token, several times faster than indexing by a mask
             now = np.concatenate([np.compress(~bits, now), np.compress(bits, now)])[: codes.sizes[level + 1]]
+            now <<= kind(1)
         return cls(alphabet, counts, lengths, planes, ranks)
 
     def to_bytes(self, doc_ids: np.ndarray, valid: np.ndarray, lengths: np.ndarray) -> bytes:
@@ -286,6 +293,10 @@ class ByteLevelEncoder:
     or line feed in front; they are cut and numbered by Arrow, so only new words are seen by Python.  New words go to
     the library together: a token that starts with a space starts a word.
 
+    A word of Latin letters that ASCII punctuation follows is two pieces, stem and tail: the pre-tokeniser takes a run of
+    letters whole, and what follows is cut as if it stood alone.  So a stem is learnt once, whatever closes it, and
+    new stems go to the library's model without the pre-tokeniser's pattern, which would not cut them.
+
     The ids of all remembered pieces stand in one array; a text is a list of piece numbers until its ids are gathered.
     """
 
@@ -301,15 +312,32 @@ class ByteLevelEncoder:
         self.lined = np.array([(self.library.id_to_token(i) or "").startswith("\u010a") for i in range(size)])
         self.split = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
         self.end_id = end_id
+        self.stems = self._stem_library()
         self.forget()
 
+    def _stem_library(self):
+        """The library's model behind a cut at spaces alone; None where its own steps are not known to leave stems whole."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        known = json.loads(self.library.pre_tokenizer.__getstate__()) if self.library.pre_tokenizer else {}
+        whole = known.get("type") == "ByteLevel" and known.get("use_regex") and not known.get("add_prefix_space")
+        word = re.compile(f"[{LATIN}]*[{re.escape(string.punctuation)}]*")
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        if not whole or self.library.normalizer is not None or any(map(word.fullmatch, added)):
+            return None
+        out = Tokenizer(self.library.model)
+        spaced = pre_tokenizers.ByteLevel(add_prefix_space=True, use_regex=False)
+        out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), spaced])
+        return out
+
     def forget(self) -> None:
-        self.words: dict[str, int] = {}  # after one space; a word that starts with a line feed stands for itself
+        self.words: dict[str, int] = {}  # words and stems after one space; what starts with a line feed stands for itself
         self.heads: dict[str, int] = {}  # first words of texts, after nothing
         self.pieces: dict[str, int] = {}  # of any form
         self.ids = np.empty(1 << 16, dtype=np.uint32)
         self.starts, self.used, self.count = np.zeros(1 << 14, dtype=np.int64), 0, 0
         self.seen = np.zeros(1 << 14, dtype=np.int32)  # steps that used a piece
+        self.passing = 0  # last pieces, which go after the step
         self.end = self._remember(np.array([self.end_id], dtype=np.uint32), [0])
 
     def shrink(self) -> None:
@@ -322,10 +350,7 @@ class ByteLevelEncoder:
             if len(keys) > CACHE_ENTRIES // 2:
                 continue
             kept = np.fromiter(map(numbers.__getitem__, keys), dtype=np.int64, count=len(keys))
-            sizes = starts[kept + 1] - starts[kept]
-            begins = np.cumsum(sizes) - sizes
-            at = np.arange(int(sizes.sum())) + np.repeat(starts[kept] - begins, sizes)
-            first = self._remember(ids[at], begins)
+            first = self._remember(*gathered(ids, starts, kept)[:2])
             getattr(self, name).update(zip(keys, range(first, first + len(keys)), strict=True))
             self.seen[first : first + len(keys)] = 1
 
@@ -349,7 +374,7 @@ class ByteLevelEncoder:
             found = self.pieces[piece] = self._remember(np.array(ids, dtype=np.uint32), [0])
         return found
 
-    def _learn(self, keys: list[str], mark: str, into: dict[str, int], whole: bool, cut: int = 0) -> np.ndarray:
+    def _learn(self, keys: list[str], mark: str, into: dict[str, int], whole: bool, cut: int = 0, library=None) -> np.ndarray:
         """Encode new words together, each behind the mark (a space or a line feed); its token starts a word.
 
         With ``whole`` the mark belongs to the word (a space merges into its first token); without, it is a token of
@@ -360,7 +385,7 @@ class ByteLevelEncoder:
         for begin in range(0, len(keys), LEARN_WORDS):
             part = keys[begin : begin + LEARN_WORDS]
             text = mark + mark.join([k[cut:] for k in part] if cut else part)
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            ids = np.array((library or self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
             begins = np.flatnonzero(starts[ids])
             if len(begins) != len(part):
                 raise AssertionError("a word has other than one token that starts with its mark")
@@ -382,53 +407,83 @@ class ByteLevelEncoder:
         return found
 
     def _learn_words(self, new: list[str]) -> np.ndarray:
-        lined = np.array([w[0] == "\n" for w in new])
+        lined = np.array([w[:1] == "\n" for w in new])
+        stem = is_stem(pa.array(new, pa.string())) if self.stems else np.zeros(len(new), dtype=bool)
         out = np.empty(len(new), dtype=np.int64)
-        out[~lined] = self._learn([w for w in new if w[0] != "\n"], " ", self.words, True)
-        out[lined] = self._learn([w for w in new if w[0] == "\n"], "\n", self.words, True, cut=1)
+        out[stem] = self._learn(chosen(new, stem), " ", self.words, True, library=self.stems)
+        out[~lined & ~stem] = self._learn(chosen(new, ~lined & ~stem), " ", self.words, True)
+        out[lined] = self._learn(chosen(new, lined), "\n", self.words, True, cut=1)
         return out
 
     def _learn_heads(self, new: list[str]) -> np.ndarray:
         return self._learn(new, "\n", self.heads, False)
 
-    def _numbers(self, texts: list[str]) -> list[np.ndarray]:
-        """Piece numbers of each text, the end's at its end."""
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if is_plain(t)]
-        if plain:
-            spaced = pa.compute.replace_substring(pa.array([texts[i] for i in plain], pa.string()), "\n", " \n")
-            cut = pa.compute.split_pattern(spaced, " ")
-            offsets = cut.offsets.to_numpy()
-            coded = cut.flatten().dictionary_encode()
-            table = self._look_up(strings(coded.dictionary), self.words, self._learn_words)
-            numbers = table[coded.indices.to_numpy(zero_copy_only=False)]
-            first = (offsets - offsets[0])[:-1]
-            heads = cut.flatten().take(pa.array(first)).dictionary_encode()
-            numbers[first] = self._look_up(strings(heads.dictionary), self.heads, self._learn_heads)[heads.indices.to_numpy(zero_copy_only=False)]
-            numbers = np.insert(numbers, (offsets - offsets[0])[1:], self.end)
-            if len(plain) == len(texts):
-                self.lengths = np.diff(offsets) + 1
-                return [numbers]
-            ends = (offsets - offsets[0])[1:] + np.arange(1, len(plain) + 1)
-            for i, begin, end in zip(plain, [0, *ends[:-1]], ends, strict=True):
-                out[i] = numbers[begin:end]
-        for i, t in enumerate(texts):
-            if out[i] is None:
-                out[i] = np.array([*map(self._piece, self.split(t)), self.end], dtype=np.int64)
-        self.lengths = np.array([len(x) for x in out], dtype=np.int64)
+    def _of_words(self, words: pa.Array) -> np.ndarray:
+        """The piece number of each word, all different; stem and tail become one piece for this step."""
+        if not self.stems:
+            return self._look_up(strings(words), self.words, self._learn_words)
+        stems = pa.compute.utf8_rtrim(words, string.punctuation)
+        cut = is_stem(stems)
+        keys = pa.compute.if_else(pa.array(cut), stems, words).dictionary_encode()
+        out = self._look_up(strings(keys.dictionary), self.words, self._learn_words)[keys.indices.to_numpy(zero_copy_only=False)]
+        tails = pa.compute.utf8_ltrim(words.filter(pa.array(cut)), LETTERS).dictionary_encode()
+        table = np.array([self._piece(t) if t else -1 for t in strings(tails.dictionary)], dtype=np.int64)
+        tail = np.full(len(words), -1, dtype=np.int64)
+        tail[cut] = table[tails.indices.to_numpy(zero_copy_only=False)]
+        if len(closed := np.flatnonzero(tail >= 0)):
+            ids, begins, _ = gathered(self.ids, self.starts, np.stack([out[closed], tail[closed]], axis=1).ravel())
+            out[closed] = self._remember(ids, begins[::2]) + np.arange(len(closed))
+            self.passing = len(closed)
         return out
 
-    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _numbers(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(piece numbers of all texts, the end's at the end of each; numbers of each text)."""
+        plain = is_plain(texts)
+        odd = [np.array([*map(self._piece, self.split(t)), self.end], dtype=np.int64) for t in strings(texts.filter(pa.array(~plain)))]
+        lengths = np.empty(len(texts), dtype=np.int64)
+        lengths[~plain] = [len(x) for x in odd]
+        if not plain.any():
+            return np.concatenate(odd), lengths
+        spaced = pa.compute.replace_substring(texts.filter(pa.array(plain)), "\n", " \n")
+        cut = pa.compute.split_pattern(spaced, " ")
+        offsets = cut.offsets.to_numpy()
+        offsets, words = offsets - offsets[0], cut.flatten()
+        first = offsets[:-1]
+        heads = words.take(pa.array(first)).dictionary_encode()
+        head = self._look_up(strings(heads.dictionary), self.heads, self._learn_heads)[heads.indices.to_numpy(zero_copy_only=False)]
+        coded = words.dictionary_encode()
+        numbers = self._of_words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+        numbers[first] = head
+        numbers = np.insert(numbers, offsets[1:], self.end)
+        lengths[plain] = np.diff(offsets) + 1
+        if odd:
+            own, mixed = np.repeat(plain, lengths), np.empty(int(lengths.sum()), dtype=np.int64)
+            mixed[own], mixed[~own] = numbers, np.concatenate(odd)
+            numbers = mixed
+        return numbers, lengths
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, ids of each text); every text is closed by the end id."""
         if len(self.words) + len(self.heads) + len(self.pieces) > CACHE_ENTRIES:
             self.shrink()
-        numbers = np.concatenate(self._numbers(texts))
-        begins = self.starts[numbers]
-        sizes = self.starts[numbers + 1] - begins
-        upto = np.cumsum(sizes)
-        at = np.arange(upto[-1]) + np.repeat(begins - (upto - sizes), sizes)
-        doc_ends = upto[np.cumsum(self.lengths) - 1]
-        return self.ids[at], np.diff(doc_ends, prepend=0)
+        numbers, lengths = self._numbers(texts)
+        ids, _, upto = gathered(self.ids, self.starts, numbers)
+        self.count, self.passing = self.count - self.passing, 0
+        self.used = int(self.starts[self.count])
+        return ids, np.diff(upto[np.cumsum(lengths) - 1], prepend=0)
+
+
+def gathered(ids: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of the pieces one after another, where each begins, where each ends)."""
+    begins = starts[numbers]
+    sizes = starts[numbers + 1] - begins
+    ends = np.cumsum(sizes)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins - (ends - sizes), sizes)
+    return ids[at], ends - sizes, ends
+
+
+def chosen(values: list[str], mask: np.ndarray) -> list[str]:
+    return list(itertools.compress(values, mask.tolist()))
 
 
 def strings(column: pa.Array) -> list[str]:
@@ -436,15 +491,24 @@ def strings(column: pa.Array) -> list[str]:
     return column.to_numpy(zero_copy_only=False).tolist()
 
 
-_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
-_ODD_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+def _pattern(chars: str) -> str:
+    """A class of characters as Arrow's patterns have it."""
+    return "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in chars)
+
+
+_OTHER_WHITE = "\t\x0b-\r" + WHITE.removeprefix("\t-\r ")
+_ODD = rf"^$|^[ \n]|[ \n]$|[ \n][ \n]|[{_pattern(_OTHER_WHITE)}]"
+_STEM = f"^[{_pattern(LATIN)}]+$"
 
 
-def is_plain(text: str) -> bool:
+def is_plain(texts: pa.Array) -> np.ndarray:
     """Whether white space is single spaces and line feeds between other characters."""
-    if any(x in text for x in _ODD) or text[-1:] in ("", " ", "\n") or text[:1] in (" ", "\n"):
-        return False
-    return text.isascii() or not any(x in text for x in _ODD_WIDE)
+    return ~pa.compute.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+
+
+def is_stem(words: pa.Array) -> np.ndarray:
+    """Whether a word is of Latin letters alone."""
+    return pa.compute.match_substring_regex(words, _STEM).to_numpy(zero_copy_only=False)
 
 
 @functools.lru_cache(maxsize=2)
@@ -465,23 +529,27 @@ def write_shards(df: DataFrame, path: str, end_id: int, id_col: str = "doc_id",
     names = ["part", "seq", "first_id", "docs", "tokens", "file"]
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-    def shard(part: int, seq: int, ids: list[int | None], coded: list[np.ndarray], lengths: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.concatenate(coded)
+    def shard(part: int, seq: int, ids: list[int | None], tokens: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
         valid = np.array([i is not None for i in ids])
-        made = WaveletMatrix.build(tokens).to_bytes(np.array([i or 0 for i in ids], dtype=np.int64), valid, np.concatenate(lengths))
+        made = WaveletMatrix.build(tokens).to_bytes(np.array([i or 0 for i in ids], dtype=np.int64), valid, lengths)
         values = ([part], [seq], [ids[0]], [len(ids)], [len(tokens)], [made])
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq = 0
-        for b in steps(joined(batches, ENCODE_BYTES), 1, ENCODE_BYTES):
-            tokens, sizes = encoder(path, end_id).encode_all([t or "" for t in b.column(1).to_pylist()])
-            ids, upto, begin = b.column(0).to_pylist(), np.cumsum(sizes), 0
-            while begin < len(ids):
-                base = int(upto[begin - 1]) if begin else 0
+        part, seq, ids, tokens, sizes = 0, 0, [], np.empty(0, dtype=np.uint32), np.empty(0, dtype=np.int64)
+        # twice: a batch is about ENCODE_BYTES long, and a little more should not become a step of its own
+        for b in steps(joined(batches, ENCODE_BYTES), 1, 2 * ENCODE_BYTES):
+            more, counts = encoder(path, end_id).encode_all(pa.compute.fill_null(b.column(1), ""))
+            part, ids = b.column(2)[0].as_py(), ids + b.column(0).to_pylist()
+            tokens, sizes = np.concatenate([tokens, more]), np.concatenate([sizes, counts])
+            upto, begin, base = np.cumsum(sizes), 0, 0
+            while len(tokens) - base > SHARD_TOKENS:
                 end = max(begin + 1, int(np.searchsorted(upto, base + SHARD_TOKENS, side="right")))
-                yield shard(b.column(2)[0].as_py(), seq, ids[begin:end], [tokens[base : upto[end - 1]]], [sizes[begin:end]])
-                begin, seq = end, seq + 1
+                yield shard(part, seq, ids[begin:end], tokens[base : upto[end - 1]], sizes[begin:end])
+                begin, base, seq = end, int(upto[end - 1]), seq + 1
+            ids, tokens, sizes = ids[begin:], tokens[base:].copy(), sizes[begin:]
+        if ids:
+            yield shard(part, seq, ids, tokens, sizes)
 
     return stored(arrow_map(ordered, run, "part int, seq long, first_id long, docs long, tokens long, file binary", "wavelet"), "tokens")
 
